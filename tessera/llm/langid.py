@@ -33,7 +33,8 @@ SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 2000, 50_000, 4
 UNKNOWN = 1e-9  # of a letter that is no piece
 SHARED, FLOOR = 0.02, 1e-8  # share of the languages' mean in each, and the least probability of a piece
 MARK = "▁"
-CACHE = 400_000  # words whose probabilities a worker keeps
+CACHE = 300_000  # words whose probabilities a worker keeps, before the next slice
+SLICE, WORDS = 512, 20_000  # documents, and new words, that it takes at a time
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -216,16 +217,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.empty((0, len(model.langs) if model else 0))
-        for b in batches:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             langs, scores = ["und"] * b.num_rows, np.zeros(b.num_rows)
             if model:
                 if len(known) > CACHE:
                     known, table = {}, table[:0]
-                of = [words_of(t.as_py()) for t in b.column(at)]
-                lines = [np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int64, len(ws)) for ws in of]
-                del of
+                lines = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t.as_py())), np.int32) for t in b.column(at)]
                 fresh = list(known)[len(table) :]
-                table = np.concatenate([table, model.score(fresh)])
+                table = np.concatenate([table, *(model.score(fresh[k : k + WORDS]) for k in range(0, len(fresh), WORDS))])
                 for i, line in enumerate(lines):
                     if len(line):
                         total = model.prior + table[line].sum(axis=0)
