@@ -12,9 +12,9 @@ last, so that their long lists are skipped wherever the short ones decide
 Pairs come from the lists in rounds. First each list pairs its nodes with one of
 them only; confirmed links join nodes to components. A second round does so with
 another choice, a last round pairs whatever nodes of a list are still in
-different components. So a group of thousands of near copies costs pairs in
-proportion to its size, and no link that would join two components is left
-out. Pairs must pass a length filter and a one-bit sketch of the signature, are
+different components and hold enough shingles that other components hold too. So
+a group of thousands of near copies costs pairs in proportion to its size, and
+no link that would join two components is left out. Pairs must pass a length filter and a one-bit sketch of the signature, are
 kept where ``MATCHES`` coordinates collide, and are confirmed on the full sets.
 
 Defined results: a null text, or one without words, has an empty set and is
@@ -98,13 +98,15 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def postings(nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """(value, node, n, sketch): each node under its first ``PREFIX`` values, those of long lists last."""
+    """(value, node, n, sketch): each node under its first ``PREFIX`` values, those
+    of long lists last. A node that shares fewer than ``MATCHES`` of its values with
+    any other has no partner and is left out."""
     every = nodes.select("node", F.explode("sig").alias("value"))
-    long = every.groupBy("value").agg(F.count("*").alias("_c")).where(F.col("_c") > long_list).select("value")
-    held = every.join(long, "value").groupBy("node").agg(F.collect_set("value").alias("long"))
-    both = nodes.join(held, "node", "left")
+    shared = every.groupBy("value").agg(F.count("*").alias("_c")).where("_c > 1")
+    held = every.join(shared, "value").groupBy("node").agg(F.count("*").alias("_s"), F.collect_set(F.when(F.col("_c") > long_list, F.col("value"))).alias("long"))
+    both = nodes.join(held.where(F.col("_s") >= MATCHES), "node")
     skipped = lambda keep: F.filter("sig", lambda v: F.array_contains("long", v) == keep)
-    order = F.when(F.col("long").isNull(), F.col("sig")).otherwise(F.concat(skipped(False), skipped(True)))
+    order = F.when(F.size("long") == 0, F.col("sig")).otherwise(F.concat(skipped(False), skipped(True)))
     return both.select(F.explode(F.slice(order, 1, PREFIX)).alias("value"), "node", "n", "sketch")
 
 
@@ -123,12 +125,36 @@ def _star_pairs(posts: DataFrame, salt: int) -> DataFrame:
     return pairs.where((F.col("x.comp") != F.col("hub.comp")) & _fits("x", "hub")).select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
-def _rest_pairs(posts: DataFrame) -> DataFrame:
-    """All pairs of a list across components."""
+def _set_rows(texts: DataFrame) -> DataFrame:
+    """(node, comp, h): a row for each shingle. texts: node, comp, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingles(t.as_py()) for t in part.column(2)]
+                rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "comp", "h"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "comp", "text").mapInArrow(run, f"node {kind}, comp {kind}, h long")
+
+
+def _rest_pairs(posts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of a list across components that their sets allow: only shingles
+    that another component holds can be common, so with ``s`` of them at most in
+    either set, the similarity is s / (n + m - s) at most. Members of a large family
+    that each differ from it in their own way drop out before any pair is made."""
     mixed = posts.groupBy("value").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("value")
-    left = posts.join(mixed, "value", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y")
+    left = materialize(posts.join(mixed, "value", "left_semi"), "mixed")
+    of = left.select("node", "comp").distinct()
+    rows = materialize(_set_rows(texts.join(of, "node")), "sets")
+    common = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h")
+    share = rows.join(common, "h", "left_semi").groupBy("node").agg(F.count("*").alias("s"))
+    able = materialize(left.join(share, "node").where(DEN * F.col("s") >= NUM * F.col("n")), "able")
+    x, y = able.alias("x"), able.alias("y")
+    s = F.least("x.s", "y.s")
+    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (DEN * s >= NUM * (F.col("x.n") + F.col("y.n") - s)) & _fits("x", "y")
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -172,7 +198,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     comps = None
     for step in range(3):
         known = posts.withColumn("comp", F.col("node")) if comps is None else posts.join(comps.withColumnRenamed("component", "_comp"), "node", "left").withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
-        pairs = materialize(_star_pairs(known, step) if step < 2 else _rest_pairs(known), "pairs")
+        pairs = materialize(_star_pairs(known, step) if step < 2 else _rest_pairs(known, texts), "pairs")
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         found = materialize(confirm(pairs, texts.join(used, "node", "left_semi")), "links")
         edges.append(found)
