@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .common import table
 
 
@@ -46,6 +47,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -61,8 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_dedup,
         op5_source_mixing,
         op6_minhash_near_dedup,
+        op7_quality_cascade,
         op10_best_fit_packing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_cascade": quality.SQL,
+}
