@@ -53,6 +53,12 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_main import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_source_mixing,
         op6_minhash_near_dedup,
         op7_quality_cascade,
+        op9_html_main_text,
         op10_best_fit_packing,
     )
 }
