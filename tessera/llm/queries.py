@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, token_rollup
 from .common import table
 
 
@@ -53,6 +53,12 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_rollup import rollup_report
+
+    return rollup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_main import extract
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_source_mixing,
         op6_minhash_near_dedup,
         op7_quality_cascade,
+        op8_token_counts,
         op9_html_main_text,
         op10_best_fit_packing,
     )
@@ -82,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_cascade": quality.SQL,
+    "op8_token_counts": token_rollup.SQL,
 }
