@@ -198,14 +198,19 @@ def fit(samples: dict[str, tuple[list[str], np.ndarray, int]], names: list[str],
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_words: int) -> dict[str, tuple[list[str], np.ndarray, int]]:
-    """Word counts of a bounded number of labelled documents, chosen by hash."""
-    one = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"), "id")
+    """Word counts of a bounded number of labelled documents, chosen by hash: by a
+    threshold that leaves about twice as many, then by rank among those."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    chosen = ids.select("lang", "id", "text").withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= sample_docs)
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    if not sizes:
+        return {}
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * sample_docs / n))])
+    few = ids.withColumn("_h", F.xxhash64("id", "text")).where(F.pmod("_h", F.lit(1_000_000)) < 1_000_000 * shares[F.col("lang")])
+    one = Window.partitionBy("lang").orderBy("_h", "id")
+    chosen = few.withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= sample_docs)
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     rows = words.withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= sample_words).drop("_n").toPandas()
-    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
     return {lang: (g["word"].tolist(), g["n"].to_numpy(float), sizes[lang]) for lang, g in rows.groupby("lang")}
 
 
