@@ -12,10 +12,11 @@ last, so that their long lists are skipped wherever the short ones decide
 Pairs come from the lists in rounds. First each list pairs its nodes with one of
 them only; confirmed links join nodes to components. A second round does so with
 another choice, a last round pairs whatever nodes of a list are still in
-different components and hold enough shingles that other components hold too. So
-a group of thousands of near copies costs pairs in proportion to its size, and
-no link that would join two components is left out. Pairs must pass a length filter and a one-bit sketch of the signature, are
-kept where ``MATCHES`` coordinates collide, and are confirmed on the full sets.
+different components, found by their full sets' rarest shingles. So a group of
+thousands of near copies costs pairs in proportion to its size, and no link that
+would join two components is left out. Pairs from the lists must pass a length
+filter and a one-bit sketch of the signature; all are kept where ``MATCHES``
+coordinates collide, and are confirmed on the full sets.
 
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; fewer than ``SHINGLE`` words are one shingle; rows that share
@@ -126,35 +127,52 @@ def _star_pairs(posts: DataFrame, salt: int) -> DataFrame:
 
 
 def _set_rows(texts: DataFrame) -> DataFrame:
-    """(node, comp, h): a row for each shingle. texts: node, comp, text."""
+    """(node, comp, n, h): a row for each shingle, n of them. texts: node, comp, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = [shingles(t.as_py()) for t in part.column(2)]
-                rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "comp", "h"])
+                sizes = np.array([len(s) for s in sets])
+                rows = np.repeat(np.arange(len(sets)), sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(sizes[rows]), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "comp", "n", "h"])
 
     kind = texts.schema["node"].dataType.simpleString()
-    return texts.select("node", "comp", "text").mapInArrow(run, f"node {kind}, comp {kind}, h long")
+    return texts.select("node", "comp", "text").mapInArrow(run, f"node {kind}, comp {kind}, n long, h long")
 
 
-def _rest_pairs(posts: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of a list across components that their sets allow: only shingles
-    that another component holds can be common, so with ``s`` of them at most in
-    either set, the similarity is s / (n + m - s) at most. Members of a large family
-    that each differ from it in their own way drop out before any pair is made."""
+def _allows(common: Column) -> Column:
+    """With ``common`` shingles at most, x and y can be similar enough."""
+    return DEN * common >= NUM * (F.col("x.n") + F.col("y.n") - common)
+
+
+def _rest_pairs(posts: DataFrame, texts: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+    """Candidates among the nodes of lists that still hold several components, on
+    their full sets. Of a set, by rising frequency, the first 1/7 and a little is
+    enough to find every partner as large or larger by its own first 1/4 (prefix
+    filter). Only shingles of several components count as common. A pair with no
+    rare shingle in common has at most as many in common as the fewer frequent ones
+    of the two; so members of a large family that each differ from it in their own
+    way drop out before any pair is made."""
     mixed = posts.groupBy("value").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("value")
-    left = materialize(posts.join(mixed, "value", "left_semi"), "mixed")
-    of = left.select("node", "comp").distinct()
+    of = materialize(posts.join(mixed, "value", "left_semi").select("node", "comp").distinct(), "mixed")
     rows = materialize(_set_rows(texts.join(of, "node")), "sets")
-    common = rows.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h")
-    share = rows.join(common, "h", "left_semi").groupBy("node").agg(F.count("*").alias("s"))
-    able = materialize(left.join(share, "node").where(DEN * F.col("s") >= NUM * F.col("n")), "able")
-    x, y = able.alias("x"), able.alias("y")
-    s = F.least("x.s", "y.s")
-    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (DEN * s >= NUM * (F.col("x.n") + F.col("y.n") - s)) & _fits("x", "y")
+    held = rows.groupBy("h").agg(F.count("*").alias("f"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h", "f")
+    own = rows.join(held, "h").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("own"))
+    able = own.where(DEN * F.size("own") >= NUM * F.col("n"))
+    frequent = F.size(F.filter("own", lambda t: t["f"] > long_list)).alias("c")
+    ranked = able.select("node", "comp", "n", F.size("own").alias("s"), frequent, F.posexplode("own").alias("r", "t"))
+    # shingles that no other component holds would come first; they only take up places
+    place = F.col("r") + F.col("n") - F.col("s")
+    least = F.ceil(F.lit(2 * NUM) * F.col("n") / (DEN + NUM))
+    first = ranked.select("node", "comp", "n", "s", "c", "t.f", "t.h", (place <= F.col("n") - least).alias("indexed")).where(place <= F.col("n") - F.ceil(NUM * F.col("n") / DEN))
+    first = materialize(first, "prefixes")
+    x, y = first.where("indexed").alias("x"), first.alias("y")
+    rare = F.least(F.col("x.s") - F.col("x.c"), F.col("y.s") - F.col("y.c"))
+    common = F.least("x.c", "y.c") + F.when(F.col("x.f") > long_list, F.lit(0)).otherwise(rare)
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & smaller & (DEN * F.col("x.n") >= NUM * F.col("y.n")) & _allows(common)
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
