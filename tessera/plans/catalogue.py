@@ -530,6 +530,6 @@ def symbol_resolution(b: Bound) -> DataFrame:
     return gov.resolve_symbols(names.select("project_id", "call_name"), v)
 
 
-@query("WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS changes FROM s GROUP BY user_id, g")
+@query("WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS changes FROM s GROUP BY user_id, g")
 def debounce_sessions(b: Bound) -> DataFrame:
     return sessions.debounce(b.table("events"), "user_id", "ts", "1 hour")

@@ -1,4 +1,4 @@
-"""Debounced change streams: changes of one key with less than a gap between them
+"""Debounced change streams: changes of one key with a gap at most between them
 are one session. The same code serves batch and streaming frames."""
 
 from __future__ import annotations
