@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -159,14 +159,21 @@ def _rest_pairs(posts: DataFrame, texts: DataFrame, long_list: int = LONG_LIST)
     of = materialize(posts.join(mixed, "value", "left_semi").select("node", "comp").distinct(), "mixed")
     rows = materialize(_set_rows(texts.join(of, "node")), "sets")
     held = rows.groupBy("h").agg(F.count("*").alias("f"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h", "f")
-    own = rows.join(held, "h").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("own"))
-    able = own.where(DEN * F.size("own") >= NUM * F.col("n"))
-    frequent = F.size(F.filter("own", lambda t: t["f"] > long_list)).alias("c")
-    ranked = able.select("node", "comp", "n", F.size("own").alias("s"), frequent, F.posexplode("own").alias("r", "t"))
+    of_node = Window.partitionBy("node")
+    ranked = rows.join(held, "h").select(
+        "node",
+        "comp",
+        "n",
+        "f",
+        "h",
+        (F.row_number().over(of_node.orderBy("f", "h")) - 1).alias("r"),
+        F.count("*").over(of_node).alias("s"),
+        F.count_if(F.col("f") > long_list).over(of_node).alias("c"),
+    ).where(DEN * F.col("s") >= NUM * F.col("n"))
     # shingles that no other component holds would come first; they only take up places
     place = F.col("r") + F.col("n") - F.col("s")
     least = F.ceil(F.lit(2 * NUM) * F.col("n") / (DEN + NUM))
-    first = ranked.select("node", "comp", "n", "s", "c", "t.f", "t.h", (place <= F.col("n") - least).alias("indexed")).where(place <= F.col("n") - F.ceil(NUM * F.col("n") / DEN))
+    first = ranked.select("node", "comp", "n", "s", "c", "f", "h", (place <= F.col("n") - least).alias("indexed")).where(place <= F.col("n") - F.ceil(NUM * F.col("n") / DEN))
     first = materialize(first, "prefixes")
     x, y = first.where("indexed").alias("x"), first.alias("y")
     rare = F.least(F.col("x.s") - F.col("x.c"), F.col("y.s") - F.col("y.c"))
