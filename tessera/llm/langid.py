@@ -37,7 +37,7 @@ CACHE = 300_000  # words whose probabilities a worker keeps, before the next sli
 SLICE, WORDS = 512, 20_000  # documents, and new words, that it takes at a time
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,11 +71,10 @@ def _prefix_hashes(codes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Pieces:
-    """Finds pieces by their hash in a table without collisions."""
+    """Finds pieces by their hash: a sparse table, where a taken slot leads to the next."""
 
     hashes: np.ndarray
     longest: int
-    factor: np.uint64
     shift: np.uint64
     slots: np.ndarray
     powers: np.ndarray
@@ -84,23 +83,29 @@ class Pieces:
     def of(cls, pieces: list[str]) -> Pieces:
         hashes = np.array([int(_prefix_hashes(_codes([p], len(p)))[-1][0]) for p in pieces], np.uint64)
         longest = max(map(len, pieces))
-        rng = np.random.default_rng(7)
-        for bits in range(16, 28):
-            for _ in range(60):
-                factor = rng.integers(1, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                at = hashes * factor >> np.uint64(64 - bits)
-                if len(np.unique(at)) == len(at):
-                    slots = np.zeros(1 << bits, np.int32)
-                    slots[at] = np.arange(len(pieces))
-                    powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(longest + 1)], np.uint64)
-                    return cls(hashes, longest, factor, np.uint64(64 - bits), slots, powers)
-        raise ValueError("no table without collisions")
+        bits = (16 * len(pieces)).bit_length()
+        shift = np.uint64(64 - bits)
+        slots = np.full(1 << bits, -1, np.int32)
+        for i, at in enumerate((hashes * _SPREAD >> shift).tolist()):
+            while slots[at] >= 0:
+                at = at + 1 & (1 << bits) - 1
+            slots[at] = i
+        powers = np.array([pow(int(_BASE), i, 1 << 64) for i in range(longest + 1)], np.uint64)
+        return cls(hashes, longest, shift, slots, powers)
 
     def find(self, prefix: list[np.ndarray], start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose substring is a piece, and which."""
         h = prefix[end] - prefix[start] * self.powers[end - start]
-        ids = self.slots[h * self.factor >> self.shift]
-        rows = np.flatnonzero(self.hashes[ids] == h)
+        at = (h * _SPREAD >> self.shift).astype(np.int64)
+        ids = self.slots[at]
+        hit = (ids >= 0) & (self.hashes[ids] == h)
+        rest = np.flatnonzero((ids >= 0) & ~hit)
+        while len(rest):
+            at[rest] = at[rest] + 1 & len(self.slots) - 1
+            ids[rest] = self.slots[at[rest]]
+            hit[rest] = (ids[rest] >= 0) & (self.hashes[ids[rest]] == h[rest])
+            rest = rest[(ids[rest] >= 0) & ~hit[rest]]
+        rows = np.flatnonzero(hit)
         return rows, ids[rows]
 
 
