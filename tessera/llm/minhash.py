@@ -15,8 +15,8 @@ another choice, a last round pairs whatever nodes of a list are still in
 different components, found by their full sets' rarest shingles. So a group of
 thousands of near copies costs pairs in proportion to its size, and no link that
 would join two components is left out. Pairs from the lists must pass a length
-filter and a one-bit sketch of the signature; all are kept where ``MATCHES``
-coordinates collide, and are confirmed on the full sets.
+filter and a one-bit sketch of the signature, all pairs one of the sets; they are
+kept where ``MATCHES`` coordinates collide, and confirmed on the full sets.
 
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; fewer than ``SHINGLE`` words are one shingle; rows that share
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 
-SHINGLE, COORDS, MATCHES, BITS = 5, 64, 32, 20
+SHINGLE, COORDS, MATCHES, BITS, ODD = 5, 64, 32, 20, 512
 PREFIX = COORDS - MATCHES + 1
 NUM, DEN = 75, 100  # links: DEN * intersection >= NUM * union
 LONG_LIST = 64
@@ -73,12 +73,18 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """``ODD`` bits, each the parity of the shingles that hash to it (Mitzenmacher, Pagh,
+    Pham, 2014). Two sketches differ in no more bits than their sets differ in shingles."""
+    return np.packbits(np.bincount((s >> np.uint64(7) & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_key, sketch, sig); an empty set has no key and no signature."""
+    """(id, n_shingles, set_key, sketch, odd, sig); an empty set has no key and no signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, sketches, sigs = [], [], [], []
+            n, keys, sketches, odds, sigs = [], [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 n.append(len(s))
@@ -86,16 +92,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     sig = signature(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sketches.append(np.packbits((sig >> np.uint64(20) & np.uint64(1)).astype(bool)).view(np.int64)[0])
+                    odds.append(odd_sketch(s))
                     sigs.append(sig.view(np.int64))
                 else:
-                    keys.append(None), sketches.append(None), sigs.append(None)
+                    keys.append(None), sketches.append(None), odds.append(None), sigs.append(None)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                names=[id_col, "n_shingles", "set_key", "sketch", "sig"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.int64()), pa.array(odds, longs), pa.array(sigs, longs)],
+                names=[id_col, "n_shingles", "set_key", "sketch", "odd", "sig"],
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles long, set_key binary, sketch long, sig array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles long, set_key binary, sketch long, odd array<long>, sig array<long>")
 
 
 def postings(nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
@@ -117,6 +125,19 @@ def _fits(a: str, b: str) -> Column:
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= BITS)
 
 
+def _near(a: str, b: str) -> Column:
+    """Sets that are similar enough differ in (n + m) (DEN - NUM) / (DEN + NUM) shingles at most."""
+    apart = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
+    return (DEN + NUM) * apart <= (DEN - NUM) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _keep_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the odd sketches of their nodes (node, n, odd) allow."""
+    x, y = nodes.alias("x"), nodes.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    return both.where(_near("x", "y")).select("a", "b").distinct()
+
+
 def _star_pairs(posts: DataFrame, salt: int) -> DataFrame:
     """Each list's nodes with the one of them that comes first in an order set by
     ``salt``; where ``comp`` is known, across components only."""
@@ -147,14 +168,14 @@ def _allows(common: Column) -> Column:
     return DEN * common >= NUM * (F.col("x.n") + F.col("y.n") - common)
 
 
-def _rest_pairs(posts: DataFrame, texts: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+def _rest_pairs(posts: DataFrame, texts: DataFrame, nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """Candidates among the nodes of lists that still hold several components, on
     their full sets. Of a set, by rising frequency, the first 1/7 and a little is
     enough to find every partner as large or larger by its own first 1/4 (prefix
     filter). Only shingles of several components count as common. A pair with no
     rare shingle in common has at most as many in common as the fewer frequent ones
-    of the two; so members of a large family that each differ from it in their own
-    way drop out before any pair is made."""
+    of the two, and odd sketches bound how much two sets can have in common; so members
+    of a large family that each differ from it in their own way make no pairs."""
     mixed = posts.groupBy("value").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("value")
     of = materialize(posts.join(mixed, "value", "left_semi").select("node", "comp").distinct(), "mixed")
     rows = materialize(_set_rows(texts.join(of, "node")), "sets")
@@ -173,13 +194,14 @@ def _rest_pairs(posts: DataFrame, texts: DataFrame, long_list: int = LONG_LIST)
     # shingles that no other component holds would come first; they only take up places
     place = F.col("r") + F.col("n") - F.col("s")
     least = F.ceil(F.lit(2 * NUM) * F.col("n") / (DEN + NUM))
-    first = ranked.select("node", "comp", "n", "s", "c", "f", "h", (place <= F.col("n") - least).alias("indexed")).where(place <= F.col("n") - F.ceil(NUM * F.col("n") / DEN))
-    first = materialize(first, "prefixes")
+    first = ranked.where(place <= F.col("n") - F.ceil(NUM * F.col("n") / DEN)).select("node", "comp", "n", "s", "c", "f", "h", place.alias("place"), (place <= F.col("n") - least).alias("indexed"))
+    first = materialize(first.join(nodes.select("node", "odd"), "node"), "prefixes")
     x, y = first.where("indexed").alias("x"), first.alias("y")
     rare = F.least(F.col("x.s") - F.col("x.c"), F.col("y.s") - F.col("y.c"))
     common = F.least("x.c", "y.c") + F.when(F.col("x.f") > long_list, F.lit(0)).otherwise(rare)
     smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & smaller & (DEN * F.col("x.n") >= NUM * F.col("y.n")) & _allows(common)
+    after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # at the first that they share
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & smaller & (DEN * F.col("x.n") >= NUM * F.col("y.n")) & _allows(common) & _allows(after) & _near("x", "y")
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -216,14 +238,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = rows.where("set_key is not null and _id is not null").groupBy("set_key").agg(F.min("_id").alias("node"))
     of = materialize(rows.select("_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("_id", "n_shingles", "node"), "classes")
     heads = of.where("node = _id").select("node").distinct()
-    nodes = rows.where("set_key is not null").withColumnRenamed("_id", "node").withColumnRenamed("n_shingles", "n").join(heads, "node", "left_semi")
-    posts = materialize(postings(nodes.select("node", "n", "sketch", "sig")), "postings")
+    own = rows.where("set_key is not null").withColumnRenamed("_id", "node").withColumnRenamed("n_shingles", "n").join(heads, "node", "left_semi")
+    posts = materialize(postings(own.select("node", "n", "sketch", "sig")), "postings")
+    nodes = materialize(own.select("node", "n", "odd").join(posts.select("node").distinct(), "node", "left_semi"), "nodes")
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     edges: list[DataFrame] = []
     comps = None
     for step in range(3):
         known = posts.withColumn("comp", F.col("node")) if comps is None else posts.join(comps.withColumnRenamed("component", "_comp"), "node", "left").withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
-        pairs = materialize(_star_pairs(known, step) if step < 2 else _rest_pairs(known, texts), "pairs")
+        pairs = materialize(_keep_near(_star_pairs(known, step), nodes) if step < 2 else _rest_pairs(known, texts, nodes), "pairs")
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         found = materialize(confirm(pairs, texts.join(used, "node", "left_semi")), "links")
         edges.append(found)

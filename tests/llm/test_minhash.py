@@ -102,6 +102,16 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(rates) - 0.75) < 0.04
 
 
+def test_odd_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (3, 50, 400, 3000):
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[: n - n // 6], rng.integers(0, 1 << 63, n // 6, np.uint64)])
+        x = M.odd_sketch(a) ^ M.odd_sketch(b)
+        apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x)
+        assert apart <= 2 * (n // 6) and (n != 400 or apart > n // 6)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (None, 3)]
