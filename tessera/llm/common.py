@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut as materialize
+from ..plans.storage import shared_folder as scratch
+
+__all__ = ["WORD", "materialize", "scratch", "table", "text_or_empty"]
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_scratch: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, which every
-    executor can reach. Only where it is unset (tests, one machine) a temporary
-    folder takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _local_scratch:
-        _local_scratch.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return _local_scratch[0]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: the
-    lineage ends there, so a lost executor costs a reread, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

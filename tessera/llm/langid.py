@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 2000, 50_000, 4
 UNKNOWN = 1e-9  # of a letter that is no piece
@@ -242,8 +243,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         langs[i], scores[i] = model.langs[k], 1 / np.exp(total - total[k]).sum()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*columns, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def default_vocabulary() -> list[str]:
@@ -275,5 +276,5 @@ LEAST_SCORE = 0.4
 def in_a_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told with a score of ``least`` at least."""
     model = train(docs.where(~held_out()))
-    clear = docs.select(*[F.col(c) for c in docs.columns])
-    return predict(clear, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    told = predict(docs.select("doc_id", "text", F.struct("*").alias("_doc")), model)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_doc.*")

@@ -166,6 +166,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents' columns with later copies deleted and n_chars renewed; documents
     left without a word by that go."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_doc")))
     left = done.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    return left.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": length}
+    return left.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("_doc").getField(f.name).alias(f.name) for f in docs.schema])

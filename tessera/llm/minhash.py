@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialize
-from .components import components
 
 SHINGLE, COORDS, MATCHES, BITS, ODD = 5, 64, 32, 20, 512
 PREFIX = COORDS - MATCHES + 1

@@ -5,6 +5,7 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as C
 from edge import edge_docs
+from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_minhash import brute as brute_links
 
@@ -60,6 +61,21 @@ def test_stages_against_brute_force(spark):
     assert max(size.values()) <= CAPACITY
 
 
+CLASHING = "size at uses component node score lang_pred removed n_removed n_lines _doc _row _t _turn _text _d taken sid target source_size block words shard held_out".split()
+
+
+def test_clashing_columns(spark):
+    docs = edge_docs(spark).drop("piece", "_n", "media")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.col("doc_id") * 2)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == 2 * r.doc_id for r in rows for c in CLASHING), name
+    assert C.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
 def test_run(spark, tmp_path):
     edge_docs(spark).union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).selectExpr("doc_id + 100", "text", "lang", "source", "n_chars", "'p'", "null", "'m'")).drop("piece", "_n", "media").write.parquet(f"{tmp_path}/documents.parquet")
     assert C.run(spark, str(tmp_path)).count() > 20
