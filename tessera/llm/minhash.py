@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialize
+from .common import materialize, small_batches
 
 SHINGLE, COORDS, MATCHES, BITS, ODD = 5, 64, 32, 20, 512
 PREFIX = COORDS - MATCHES + 1
@@ -234,6 +234,11 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component): the component is the least id reachable by links."""
+    with small_batches(docs.sparkSession):
+        return _link(docs, id_col, text_col)
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = materialize(signatures(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text"), "signatures")
     classes = rows.where("set_key is not null and _id is not null").groupBy("set_key").agg(F.min("_id").alias("node"))
     of = materialize(rows.select("_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("_id", "n_shingles", "node"), "classes")
