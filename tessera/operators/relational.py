@@ -139,3 +139,15 @@ def delete_project(project_id: str, files: DataFrame, symbols: DataFrame, edges:
     kept = edges.join(ids, edges.src == ids.k, "left_semi")
     ends = kept.join(ids, kept.dst == ids.k, "left").select("src", F.col("k").alias("dst"))
     return left, symbols.join(ids, symbols.file_id == ids.k, "left_semi"), ends
+
+
+def file_tree(files: DataFrame, query: str = "") -> DataFrame:
+    """(path, depth, is_dir, files): every folder with how many files lie below it, and
+    every file; with a query only files whose path holds it, in either case, and
+    their folders."""
+    if query:
+        files = files.where(F.lower("relative_path").contains(query.lower()))
+    parts = files.select(F.split("relative_path", "/").alias("p"))
+    nodes = parts.select(F.size("p").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice("p", 1, k), "/").alias("path")))).alias("x"))
+    rows = nodes.groupBy(F.col("x.path").alias("path"), F.col("x.depth").alias("depth"), (F.col("x.depth") < F.col("n")).alias("is_dir"))
+    return rows.agg(F.count("*").alias("files"))

@@ -129,6 +129,11 @@ def delete_project(b: Bound) -> DataFrame:
     return relational.delete_project("2", b.files, b.symbols, b.imports)[2]
 
 
+@query("SELECT path, CAST(depth AS INT) AS depth, depth < n AS is_dir, count(*) AS files FROM (SELECT len(p) AS n, depth, array_to_string(p[1:depth], '/') AS path FROM (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM (SELECT string_split(relative_path, '/') AS p FROM files WHERE contains(lower(relative_path), 'index')))) GROUP BY ALL", "files")
+def file_tree(b: Bound) -> DataFrame:
+    return relational.file_tree(b.files, "INDEX")
+
+
 # ---------------------------------------------------------------- metrics
 
 MI = "CASE WHEN end_line - start_line + 1 <= 0 THEN 100.0 ELSE greatest(0.0, least(100.0, 171 - 21.4 * ln(end_line - start_line + 1) - 0.23 * greatest(1, complexity_cyclomatic))) END"

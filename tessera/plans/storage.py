@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` and reads it back, so that its lineage ends in files that outlive executors."""
-    path = f"{shared_folder(df.sparkSession)}/tessera-{tag}-{uuid.uuid4().hex}"
+    """Writes ``df`` and reads it back, so that its lineage ends in files that outlive
+    executors. They go when the application ends, or at ``clear``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clear)
+    _made.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear() -> None:
+    """Deletes the tables written so far; results that read them end with that."""
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # the application may have ended
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

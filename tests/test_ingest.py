@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tessera.plans import tools
 from tessera.plans.store import Store
-from tessera.sources import extract, ingest
+from tessera.operators import governance
+from tessera.sources import extract, git, ingest
 from tessera.sources.languages import ignore_pattern
 from tessera.streaming import sessions, watch
 
@@ -174,3 +175,31 @@ def test_debounce(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.k, r.changes) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_git(spark, tmp_path):
+    import subprocess
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    assert not git.is_repository(str(tmp_path / "none"))
+    run("init", "-q", "-b", "trunk")
+    for k in range(2):
+        (root / "a.py").write_text(f"x = {k}\ny = 1\n")
+        (root / "b.py").write_text(f"z = {k}\n")
+        run("add", ".")
+        run("commit", "-qm", f"c{k}")
+    assert git.is_repository(str(root)) and git.current_branch(str(root)) == "trunk"
+    assert [(r.file1, r.file2, r.n) for r in governance.cochange(git.commit_files(spark, str(root))).collect()] == [("a.py", "b.py", 2)]
+    run("checkout", "-qb", "side")
+    (root / "c.py").write_text("q = 1\n")
+    (root / "b.py").unlink()
+    run("add", "-A")
+    run("commit", "-qm", "side")
+    assert sorted(r.line for r in git.name_status(spark, str(root), "trunk", "side").collect()) == ["A\tc.py", "D\tb.py"]
+    (root / "a.py").write_text("x = 9\ny = 1\nw = 2\n")
+    (root / "new.py").write_text("")
+    assert {(r.status, r.relative_path) for r in git.working_tree(spark, str(root)).collect()} == {("M", "a.py"), ("??", "new.py")}
+    hunks = governance.parse_hunks(git.diffs(spark, str(root)))
+    assert [(r.relative_path, r.start, r["count"]) for r in hunks.collect()] == [("a.py", 1, 1), ("a.py", 3, 1)]
