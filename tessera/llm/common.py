@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import cut as materialize
 from ..plans.storage import shared_folder as scratch
 
-__all__ = ["WORD", "materialize", "scratch", "small_batches", "table", "text_or_empty"]
+__all__ = ["WORD", "materialize", "packed", "scratch", "small_batches", "table", "text_or_empty", "unpacked"]
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +35,15 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
 
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, and all others out of the way in a struct ``_rest``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    return docs.select(*keep, (F.struct(*others) if others else F.lit(None)).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, keep: tuple[str, ...], **new: Column) -> DataFrame:
+    """The columns of ``like`` out of packed rows, some of them new."""
+    old = lambda c: F.col(c) if c in keep else F.col("_rest").getField(c)
+    return rows.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else old(f.name).alias(f.name) for f in like.schema])

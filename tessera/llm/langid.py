@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed, unpacked
+
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 2000, 50_000, 4
 UNKNOWN = 1e-9  # of a letter that is no piece
 SHARED, FLOOR = 0.02, 1e-8  # share of the languages' mean in each, and the least probability of a piece
@@ -276,5 +278,5 @@ LEAST_SCORE = 0.4
 def in_a_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told with a score of ``least`` at least."""
     model = train(docs.where(~held_out()))
-    told = predict(docs.select("doc_id", "text", F.struct("*").alias("_doc")), model)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_doc.*")
+    told = predict(packed(docs, "doc_id", "text"), model)
+    return unpacked(told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs, ("doc_id", "text"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, packed, unpacked
 
 MIN_WORDS = 50
 _FIRST = -(1 << 63)
@@ -166,8 +166,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents' columns with later copies deleted and n_chars renewed; documents
     left without a word by that go."""
-    done = dedup_lines(docs.select("doc_id", "text", F.struct("*").alias("_doc")))
+    done = dedup_lines(packed(docs, "doc_id", "text"))
     left = done.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None
-    new = {"text": F.col("text"), "n_chars": length}
-    return left.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("_doc").getField(f.name).alias(f.name) for f in docs.schema])
+    length = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_rest.n_chars"))} if "n_chars" in docs.columns else {}
+    return unpacked(left, docs, ("doc_id", "text"), **length)

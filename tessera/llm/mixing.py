@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, materialize, packed, text_or_empty, unpacked
 
 WEIGHTS = (5, 2, 1)
 REPEAT, BLOCK, SHARD, GROUP, SEED, ROUNDS = 3, 64, 1024, 4096, 17, 24
@@ -146,7 +146,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     row each; where that is the whole document, its text is unchanged. The longest
     document part in a row is the document itself."""
     row = ["doc_id", "_t", "_row"]
-    rows = _rows(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")), "text", "_doc")
+    rows = _rows(packed(docs, "doc_id", "source", "text"), "text", "_rest")
     placed, sources = layout(rows.select(*row, "source", "size"), row, block)
     used = block_uses(placed, slots(sources), row, block).select("_row", "at", "uses")
     turns = F.explode(F.sequence(F.lit(1), F.array_max(F.col("uses.uses"))))
@@ -157,6 +157,5 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     taken = F.transform(F.array(uses), lambda u: F.array_join(F.filter(words, lambda _, i: F.get(u, F.floor((F.col("at") + i) / block).cast("int") - first.cast("int")) >= F.col("_turn")), ""))[0]
     text = F.when(whole, F.col("text")).otherwise(F.ltrim(taken))
-    made = part.select("_doc", text.alias("text"))
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
-    return made.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("_doc").getField(f.name).alias(f.name) for f in docs.schema])
+    made = part.select("doc_id", "source", text.alias("text"), "_rest")
+    return unpacked(made, docs, ("doc_id", "source", "text"), **({"n_chars": F.length("text")} if "n_chars" in docs.columns else {}))

@@ -61,7 +61,7 @@ def test_stages_against_brute_force(spark):
     assert max(size.values()) <= CAPACITY
 
 
-CLASHING = "size at uses component node score lang_pred removed n_removed n_lines _doc _row _t _turn _text _d taken sid target source_size block words shard held_out".split()
+CLASHING = "size at uses component node score lang_pred removed n_removed n_lines _doc _row _t _turn _text _d taken sid target source_size block words shard held_out _rest".split()
 
 
 def test_clashing_columns(spark):
