@@ -9,7 +9,9 @@ chosen by hash. Fixed prior counts stand for what the sample lacks. A word's
 weight depends on where it stands: in a link or not, inside or outside a mark of
 content where the page has one, or in an element that is not content by its
 name, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-comments); such elements lie outside the text even within the region.
+comments); such elements lie outside the text even within the region. Inside a
+mark of content such elements, and all tags, weigh nothing, so that the region
+takes in the mark from its first word to its last.
 
 Defined results: null or empty html gives an empty text; broken markup is read
 as far as it goes (an unclosed element ends with its parent, a tag cut off at
@@ -80,13 +82,15 @@ def _outside(name: str, attributes: str, in_content: bool) -> bool:
 @dataclass
 class Token:
     """A tag (its name) or a run of text. place: "out", "link", "in" (a mark of
-    content) or "plain". block: the number of the block that a run belongs to."""
+    content) or "plain". block: the number of the block that a run belongs to.
+    inside: of "out", the element that is no content lies in a mark of content."""
 
     tag: str = ""
     text: str = ""
     words: int = 0
     place: str = "plain"
     block: int = 0
+    inside: bool = False
 
 
 @dataclass
@@ -95,9 +99,12 @@ class _State:
     out: int = 0
     content: int = 0
     link: int = 0
+    inside: bool = False  # the outermost element that is no content was opened in a mark of content
 
     def push(self, name: str, outside: bool) -> None:
         self.open.append((name, outside))
+        if outside and not self.out:
+            self.inside = self.content > 0
         self.out += outside
         self.content += name in CONTENT
         self.link += name == "a"
@@ -126,7 +133,7 @@ def tokens(page: str) -> list[Token]:
     def text(raw: str) -> None:
         if raw:
             decoded = html.unescape(raw)
-            out.append(Token("", decoded, len(decoded.split()), "out" if s.out else "in" if s.content else "link" if s.link else "plain", block))
+            out.append(Token("", decoded, len(decoded.split()), "out" if s.out else "in" if s.content else "link" if s.link else "plain", block, s.out > 0 and s.inside))
 
     while m := _TAG.search(page, at):
         text(page[at : m.start()])
@@ -147,7 +154,7 @@ def tokens(page: str) -> list[Token]:
                 if name in RAW:
                     end = _END[name].search(page, at)
                     at = end.start() if end else len(page)
-        out.append(Token(name, place="out" if s.out else "in" if s.content else "plain"))
+        out.append(Token(name, place="out" if s.out else "in" if s.content else "plain", inside=s.out > 0 and s.inside))
     text(page[at:])
     return out
 
@@ -159,6 +166,8 @@ class Weights:
 
     def of(self, t: Token, marked: bool) -> float:
         """marked: the page marks its content, so what lies elsewhere counts as outside."""
+        if t.inside or t.tag and t.place == "in":
+            return 0.0
         if t.tag:
             return self.tags.get(t.tag, self.tags[""])
         place = "out" if marked and t.place in ("plain", "link") else t.place

@@ -38,6 +38,22 @@ def test_templates():
         assert H.main_text(page, W) == want, page
 
 
+def test_a_marked_article_keeps_head_and_tail():
+    share = "<div class='share'>" + "<a href=x>Share this with friends</a> now and again " * 4 + "</div>"
+    aside = "<aside><h3>More</h3><p>" + "An aside that is longer than the paragraph after it. " * 9 + "</p></aside>"
+    deep = "<div><div><section>{}</section></div></div>"
+    for learned in (W, H.weights([f"<nav><a href=x>Menu</a></nav><article>{share}<p>{PARAGRAPH}</p></article>"] * 50)):
+        for inner, want in (
+            (f"<h1>Five words of a title</h1>{share}<p>{PARAGRAPH}</p>", f"Five words of a title\n{PARAGRAPH}"),
+            (f"<h1>A title</h1><p>{PARAGRAPH}</p>{aside}<p>The last words.</p>", f"A title\n{PARAGRAPH}\nThe last words."),
+            (f"<h1>A title</h1>{share}<p>{PARAGRAPH}</p>{aside}{share}<p>End.</p>{share}", f"A title\n{PARAGRAPH}\nEnd."),
+            (f"{deep.format('<h1>Title</h1>')}<div><div>{deep.format(f'<p>{PARAGRAPH}</p>')}</div></div>{deep.format('<p>End.</p>')}", f"Title\n{PARAGRAPH}\nEnd."),
+        ):
+            for mark in ("article", "main"):
+                page = f"<body><nav><a href=1>One</a></nav>{share}<{mark}>{inner}</{mark}>{aside}<footer>Some site</footer></body>"
+                assert H.main_text(page, learned) == want, page
+
+
 def test_broken_markup():
     assert H.main_text(f"<article><p><b>{PARAGRAPH}<br><p>{PARAGRAPH}</p></article><footer>x y z", W) == f"{PARAGRAPH}\n{PARAGRAPH}"
     assert H.main_text(f"<article><p>{PARAGRAPH}<foo", W) == PARAGRAPH
