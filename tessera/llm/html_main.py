@@ -9,8 +9,13 @@ chosen by hash. Fixed prior counts stand for what the sample lacks. A word's
 weight depends on where it stands: in a link or not, inside or outside a mark of
 content where the page has one, or in an element that is not content by its
 name, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-comments); such elements lie outside the text even within the region. Inside a
-mark of content such elements, and all tags, weigh nothing, so that the region
+comments); such elements lie outside the text even within the region. A class or
+id names such an element if all its parts do, beside words for place and shape
+("site-footer", not "content-sidebar-wrap" or "comments-open"). None of these
+rules takes out an element around a ``main``, around the page's longest marked
+part, or with more words of its own outside links than the page has around it
+(``nav``, ``aside`` and their like stay out however long); a form around an
+``article`` is no form. Inside a mark of content such elements, and all tags, weigh nothing, so that the region
 takes in the mark from its first word to its last.
 
 Defined results: null or empty html gives an empty text; broken markup is read
@@ -40,14 +45,18 @@ RAW = set("script style textarea title noscript template iframe xmp noembed nofr
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-OUTSIDE = set("script style noscript template iframe head nav footer aside form button select option textarea input object svg canvas audio video dialog menu search applet".split())
+OUTSIDE = set("script style noscript template iframe head button select option textarea input object svg canvas audio video applet".split())
+APART = set("nav footer aside dialog menu search".split())
 CONTENT = {"article", "main"}
 TEXTUAL = set("p b i em strong h1 h2 h3 h4 h5 h6 br blockquote pre code q cite sub sup table tr td th tbody ul ol li dl dt dd figure figcaption span u".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 OUTSIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert toast newsletter subscribe subscription signup login popup modal overlay sidebar sidenav rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond reply replies social share sharing related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
 )
-STATE_WORDS = {"no", "has", "with", "without", "js", "is"}
+BESIDE_WORDS = set(
+    "top bottom left right upper lower site page main primary secondary global mobile desktop header inner outer box area bar block section container wrap wrapper slot unit list item items link links button buttons btn icon icons title heading active close form post posts article articles story stories entry column col row".split()
+)
+HEADER_WORDS = {"site", "global", "main", "top", "wrap", "wrapper", "inner", "container"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'>/=]+)""")
@@ -56,27 +65,32 @@ _CLOSES_P = BLOCK - {"li", "td", "th", "tr", "option", "dd", "dt", "caption", "t
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 
-def _outside(name: str, attributes: str, in_content: bool) -> bool:
-    """The element is no content by its name, role or class."""
-    if name in OUTSIDE or name == "header" and not in_content:
+def _named(token: str, in_content: bool) -> bool:
+    """All parts of a class or id say that the element is no content."""
+    parts = {x for x in _WORDS.split(token) if len(x) > 1}
+    if parts & OUTSIDE_WORDS and parts <= OUTSIDE_WORDS | BESIDE_WORDS:
         return True
+    return "header" in parts and not in_content and parts <= HEADER_WORDS | {"header"}
+
+
+def _outside(name: str, attributes: str, in_content: bool) -> str:
+    """How the element is no content by its name, role or class: "never" is text,
+    "apart" or "named"; "" if it may be."""
+    if name in OUTSIDE:
+        return "never"
+    how = "apart" if name in APART else "named" if name == "form" or name == "header" and not in_content else ""
     if not attributes or name in ("html", "body", *CONTENT):
-        return False
+        return how
     for m in _ATTR.finditer(attributes):
         key = (m[1] or m[5]).lower()
         if key == "hidden":
-            return True
+            return "never"
         value = next((v for v in m.groups()[1:4] if v), "").lower()
         if key == "role" and value in OUTSIDE_ROLES:
-            return True
-        if key in ("class", "id"):
-            for one in value.split():
-                parts = set(_WORDS.split(one))
-                if parts & OUTSIDE_WORDS and not parts & STATE_WORDS:
-                    return True
-                if "header" in parts and not in_content and not parts & STATE_WORDS:
-                    return True
-    return False
+            how = how or ("named" if value == "form" else "apart")
+        elif key in ("class", "id") and not how and any(_named(one, in_content) for one in value.split()):
+            how = "named"
+    return how
 
 
 @dataclass
@@ -93,28 +107,82 @@ class Token:
     inside: bool = False
 
 
+@dataclass
+class _Part:
+    """An element that is no content by its name, role or class, unless it holds too
+    much of the page. around: the next one around it. words, marked, main: its words
+    outside links, in marks of content and in ``main``, without those of parts in it
+    that are left out; whole: its words outside links with those."""
+
+    around: int
+    form: bool = False
+    apart: bool = False
+    in_content: bool = False
+    in_main: bool = False
+    words: int = 0
+    marked: int = 0
+    main: int = 0
+    whole: int = 0
+    out: bool = False
+    inside: bool = False
+
+
+def _settle(parts: list[_Part]) -> None:
+    """Which parts are left out. The first is the page; others follow those around them."""
+    page, longest = parts[0], max(p.marked for p in parts)
+    everything = page.words
+    for p in parts[1:]:
+        p.whole = p.words
+        p.apart = p.apart or parts[p.around].apart
+        everything += 0 if p.apart else p.words
+    named = [not p.apart for p in parts]
+    for i in range(len(parts) - 1, 0, -1):
+        p, q = parts[i], parts[parts[i].around]
+        holds_mark = not p.in_main and p.main or not p.in_content and p.marked and (p.form or p.marked >= longest)
+        p.out = not holds_mark and not (named[i] and p.words > everything - p.whole)
+        if named[i]:
+            q.whole += p.whole
+        if not p.out:
+            q.words, q.marked, q.main = q.words + p.words, q.marked + p.marked, q.main + p.main
+    for p in parts[1:]:
+        q = parts[p.around]
+        p.inside = q.inside if q.out else p.in_content
+        p.out = p.out or q.out
+
+
 @dataclass
 class _State:
-    open: list[tuple[str, bool]] = field(default_factory=list)
-    out: int = 0
+    open: list[tuple[str, str, int]] = field(default_factory=list)
+    never: int = 0
     content: int = 0
+    main: int = 0
     link: int = 0
-    inside: bool = False  # the outermost element that is no content was opened in a mark of content
-
-    def push(self, name: str, outside: bool) -> None:
-        self.open.append((name, outside))
-        if outside and not self.out:
-            self.inside = self.content > 0
-        self.out += outside
+    part: int = 0
+    parts: list[_Part] = field(default_factory=lambda: [_Part(0)])
+
+    def push(self, name: str, outside: str) -> None:
+        self.open.append((name, outside, self.part))
+        if outside in ("apart", "named"):
+            self.parts.append(_Part(self.part, name == "form", outside == "apart", self.content > 0, self.main > 0))
+            self.part = len(self.parts) - 1
+        self.never += outside == "never"
         self.content += name in CONTENT
+        self.main += name == "main"
         self.link += name == "a"
 
     def pop(self) -> None:
-        name, outside = self.open.pop()
-        self.out -= outside
+        name, outside, self.part = self.open.pop()
+        self.never -= outside == "never"
         self.content -= name in CONTENT
+        self.main -= name == "main"
         self.link -= name == "a"
 
+    def count(self, words: int) -> None:
+        p = self.parts[self.part]
+        p.words += 0 if self.link else words
+        p.marked += words if self.content else 0
+        p.main += words if self.main else 0
+
     def close(self, name: str, within: set[str] = frozenset()) -> None:
         """Closes the innermost such element and what is open inside it."""
         for i in range(len(self.open) - 1, -1, -1):
@@ -128,12 +196,24 @@ class _State:
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
+    parts: list[int] = []  # of each token
     s, block, at = _State(), 0, 0
 
+    def add(t: Token) -> None:
+        if s.never:
+            t.place, t.inside = "out", s.content > 0
+        else:
+            t.place = "in" if s.content else "link" if s.link and not t.tag else "plain"
+        out.append(t)
+        parts.append(s.part)
+
     def text(raw: str) -> None:
         if raw:
             decoded = html.unescape(raw)
-            out.append(Token("", decoded, len(decoded.split()), "out" if s.out else "in" if s.content else "link" if s.link else "plain", block, s.out > 0 and s.inside))
+            words = len(decoded.split())
+            if not s.never:
+                s.count(words)
+            add(Token("", decoded, words, block=block))
 
     while m := _TAG.search(page, at):
         text(page[at : m.start()])
@@ -154,8 +234,12 @@ def tokens(page: str) -> list[Token]:
                 if name in RAW:
                     end = _END[name].search(page, at)
                     at = end.start() if end else len(page)
-        out.append(Token(name, place="out" if s.out else "in" if s.content else "plain", inside=s.out > 0 and s.inside))
+        add(Token(name))
     text(page[at:])
+    _settle(s.parts)
+    for t, i in zip(out, parts):
+        if s.parts[i].out:
+            t.place, t.inside = "out", s.parts[i].inside
     return out
 
 

@@ -54,6 +54,33 @@ def test_a_marked_article_keeps_head_and_tail():
                 assert H.main_text(page, learned) == want, page
 
 
+def test_wrappers_with_an_outside_name_keep_their_content():
+    body = f"<h1>A title</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    want = f"A title\n{PARAGRAPH}\n{PARAGRAPH}"
+    menu = "<nav>" + "<a href=1>Menu item</a> " * 9 + "</nav>"
+    comments = "<div class='comments'><ul>" + f"<li class='comment'><article class='comment-body'><p>{PARAGRAPH[:40]}</p></article></li>" * 9 + "</ul></div>"
+    side = "<div class='sidebar'><div class='widget'>Some words about this very site</div></div>"
+    wrappers = ["div class='content-sidebar-wrap'", "div class='elementor-widget'", "div class='comments-open'", "form id='aspnetForm'", "div class='sidebar'", "div id='menu-wrapper'", "header", "div class='page-header'", "section role='form'"]
+    for one in wrappers:
+        for two in (None, *wrappers[:5]):
+            head = f"<{one}>" + (f"<{two}>" if two else "")
+            tail = (f"</{two.split()[0]}>" if two else "") + f"</{one.split()[0]}>"
+            for content in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+                assert H.main_text(f"<body>{menu}{head}{content}{side}{tail}<footer>Some site</footer></body>", W) == want, (one, two, content)
+                assert H.main_text(f"<body>{menu}{head}{content}{tail}{side}<footer>Some site</footer></body>", W) == want, (one, two, content)
+            assert H.main_text(f"<body>{menu}{head}<article>{body}</article>{comments}{tail}</body>", W) == want, (one, two)
+            assert H.main_text(f"<body>{menu}{head}<article>{body}</article>{tail}{comments}</body>", W) == want, (one, two)
+    # each block in a wrapper of its own
+    blocks = [f"<div class='elementor-widget elementor-widget-text-editor'>{x}</div>" for x in ("<h1>A title</h1>", *[f"<p>{PARAGRAPH}</p>"] * 2)]
+    for mark in ("article", "main"):
+        assert H.main_text(f"<{mark}>{''.join(blocks)}</{mark}>{side}", W) == want
+    assert H.main_text(f"{menu}<div>{blocks[1]}{blocks[2]}</div>{side}", W) == f"{PARAGRAPH}\n{PARAGRAPH}"
+    # names of elements that are no content
+    for name in ("site-footer", "main-nav", "cookie-notice", "post-comments", "related-posts", "ad-slot-1", "share-buttons", "social-share", "site-header"):
+        assert H.main_text(f"<div>{body}</div><div class='{name}'>{PARAGRAPH[:30]}</div>", W) == want, name
+    assert H.main_text(f"<nav>{PARAGRAPH}</nav>", W) == ""
+
+
 def test_broken_markup():
     assert H.main_text(f"<article><p><b>{PARAGRAPH}<br><p>{PARAGRAPH}</p></article><footer>x y z", W) == f"{PARAGRAPH}\n{PARAGRAPH}"
     assert H.main_text(f"<article><p>{PARAGRAPH}<foo", W) == PARAGRAPH
