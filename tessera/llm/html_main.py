@@ -4,8 +4,9 @@ A page is a sequence of tokens: words, which score positive, and tags, which
 score negative. One linear scan finds the contiguous region with the greatest
 sum; whole blocks that it touches make up the text. Weights are log-odds of
 lying inside the content, counted on labelled pages: those that mark their
-content themselves with ``article`` or ``main``, at most ``SAMPLE`` of them,
-chosen by hash. Fixed prior counts stand for what the sample lacks. A word's
+content themselves with ``article`` or ``main``: ``SAMPLE`` of them, or all if
+there are fewer, chosen by hash among the distinct ones, so that neither copies
+nor pages without marks take up places. Fixed prior counts stand for what the sample lacks. A word's
 weight depends on where it stands: in a link or not, inside or outside a mark of
 content where the page has one, or in an element that is not content by its
 name, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
@@ -320,11 +321,14 @@ def main_text(page: str | None, w: Weights) -> str:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE, html_col: str = "html") -> Weights:
-    """Weights from a bounded sample of pages that mark their content."""
-    share = min(1.0, 4 * sample / max(1, pages.count()))  # thins out what the top list has to sort
-    few = pages.where(F.pmod(F.xxhash64(html_col), F.lit(1_000_000)) < int(1_000_000 * share))
-    marked = few.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(F.col(html_col).alias("h"))
-    rows = marked.orderBy(F.xxhash64("h"), "h").limit(sample).collect()
+    """Weights from a bounded sample of distinct pages that mark their content. A
+    threshold on the hash, from the number of such pages, leaves about four times as
+    many as are taken, which is what has to be made distinct and sorted."""
+    marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(F.col(html_col).alias("h"))
+    n = marked.select(F.xxhash64("h").alias("k")).distinct().count()
+    share = min(1.0, 4 * sample / max(1, n))
+    few = marked.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000_000)) < int(1_000_000_000 * share)).distinct()
+    rows = few.orderBy(F.xxhash64("h"), "h").limit(sample).collect()
     return weights([r["h"] for r in rows])
 
 

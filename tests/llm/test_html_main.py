@@ -122,3 +122,16 @@ def test_awkward_rows(spark):
     got = sorted(map(tuple, H.extract(docs).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (2, "u", "", 0), (None, "v", PARAGRAPH, len(PARAGRAPH))] + [(3, "u", PARAGRAPH, len(PARAGRAPH))] * 2, key=str)
     assert H.extract(docs.limit(0)).count() == 0
+
+
+def test_sample_of_distinct_marked_pages(spark, monkeypatch):
+    monkeypatch.setattr(H, "weights", lambda pages: pages)
+    page = lambda i, mark: (i, f"u{i}", f"<{mark}><p>{PARAGRAPH} {i}</p></{mark}>")
+    schema = "page_id long, url string, html string"
+    rare = [page(i, "article" if i % 100 == 0 else "div") for i in range(6000)]
+    assert sorted(H.learn(spark.createDataFrame(rare, schema))) == sorted(h for i, _, h in rare if i % 100 == 0)
+    copies = [page(1, "main")] * 3000 + [page(i, "article") for i in range(1, 900)]
+    for sample in (500, 2000):
+        got = H.learn(spark.createDataFrame(copies, schema), sample)
+        assert len(got) == len(set(got)) == min(sample, 900)
+    assert H.learn(spark.createDataFrame(copies * 2, schema)) == H.learn(spark.createDataFrame(copies, schema))
