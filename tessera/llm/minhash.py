@@ -3,7 +3,7 @@
 A document's set of word shingles gives a signature of ``COORDS`` minima. Equal
 sets are one node, so that copies cost nothing further. A node is posted under
 its coordinate values; a pair with a similarity of 0.75 agrees in ``MATCHES`` of
-them but for a chance of about one in a million, and whoever agrees in
+them but for a chance of 4.6e-6 (binomial), and whoever agrees in
 ``MATCHES`` of ``COORDS`` shares one of the first ``COORDS - MATCHES + 1`` in any
 common order (prefix filter). In that order the values held by many nodes come
 last, so that their long lists are skipped wherever the short ones decide
@@ -15,8 +15,9 @@ another choice, a last round pairs whatever nodes of a list are still in
 different components, found by their full sets' rarest shingles. So a group of
 thousands of near copies costs pairs in proportion to its size, and no link that
 would join two components is left out. Pairs from the lists must pass a length
-filter and a one-bit sketch of the signature, all pairs one of the sets; they are
-kept where ``MATCHES`` coordinates collide, and confirmed on the full sets.
+filter and a one-bit sketch of the signature (which fails a similarity of 0.75 with
+a chance of 2.0e-5; the last round does not use it), all pairs one of the sets.
+Whether a pair is linked is decided by its full sets alone.
 
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; fewer than ``SHINGLE`` words are one shingle; rows that share
@@ -206,24 +207,21 @@ def _rest_pairs(posts: DataFrame, texts: DataFrame, nodes: DataFrame, long_list:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: node, text. A
+    """The pairs (a, b) whose full sets are similar enough, however many coordinates
+    agree. texts: node, text. A
     node that many pairs share as ``a`` is joined last, where a skewed join can be split."""
     leaves = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = leaves.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own, sig = None, None, None
+        last, own = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
             keep = []
             for i in range(batch.num_rows):
                 if last != (node := a[i].as_py()) or own is None:
                     last, own = node, shingles(ta[i].as_py())
-                    sig = signature(own)
                 other = shingles(tb[i].as_py())
-                if int((signature(other) == sig).sum()) < MATCHES:
-                    keep.append(False)
-                    continue
                 same = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(DEN * same >= NUM * (len(own) + len(other) - same))
             yield pa.RecordBatch.from_arrays([a, b], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))

@@ -109,3 +109,16 @@ def test_odd_sketches_never_exceed_the_difference():
         x = M.odd_sketch(a) ^ M.odd_sketch(b)
         apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x)
         assert apart <= 2 * (n // 6) and (n != 400 or apart > n // 6)
+
+
+def test_full_sets_alone_confirm(spark):
+    """Similar pairs with fewer than ``MATCHES`` equal coordinates."""
+    texts, pairs = [], []
+    for at in (48211, 311551):
+        a, b = (" ".join(f"w{j}" for j in range(at, at + n)) for n in (8, 7))
+        assert (M.signature(M.shingles(a)) == M.signature(M.shingles(b))).sum() == M.MATCHES - 1
+        pairs.append((at, at + 1))
+        texts += [(at, a), (at + 1, b), (at + 2, " ".join(a.split()[:6]))]
+    given = spark.createDataFrame(pairs + [(a, a + 2) for a, _ in pairs], "a long, b long")
+    got = M.confirm(given, spark.createDataFrame(texts, "node long, text string")).collect()
+    assert sorted((r.u, r.v) for r in got) == pairs
