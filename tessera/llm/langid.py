@@ -7,7 +7,9 @@ recursion gives; a text's is the product over its words (runs of letters, lower
 case, each begun by the vocabulary's word mark). Piece probabilities are fitted
 by expectation-maximisation over the same lattice, on word counts of a bounded
 sample: at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_WORDS`` distinct
-words a language, chosen by hash and by count. Everything else covers all rows.
+words a language, chosen by hash and by count; of longer words training takes
+consecutive stretches of ``STRETCH`` characters, the mark included. Everything
+else covers all rows.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0;
 ties go to the language that sorts first; letters outside the vocabulary weigh
@@ -36,6 +38,7 @@ SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 2000, 50_000, 4
 UNKNOWN = 1e-9  # of a letter that is no piece
 SHARED, FLOOR = 0.02, 1e-8  # share of the languages' mean in each, and the least probability of a piece
 MARK = "▁"
+STRETCH = 60  # characters of a word that training takes at a time
 CACHE = 300_000  # words whose probabilities a worker keeps, before the next slice
 SLICE, WORDS = 512, 20_000  # documents, and new words, that it takes at a time
 
@@ -140,36 +143,40 @@ def log_probabilities(words: list[str], pieces: Pieces, p: np.ndarray) -> np.nda
 
 
 def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """How often each piece is used, over all segmentations of the words; p: (pieces,)."""
+    """How often each piece is used, over all segmentations of the words, long ones
+    by stretches; p: (pieces,)."""
     total = np.zeros(len(p))
+    stretches: dict[str, float] = defaultdict(float)
+    for w, c in zip(words, counts):
+        w = MARK + w
+        for k in range(0, len(w), STRETCH):
+            stretches[w[k : k + STRETCH]] += c
     by = defaultdict(list)
-    for i, w in enumerate(words):
-        if len(w) < 60:
-            by[len(w) + 1].append(i)
+    for w in stretches:
+        by[len(w)].append(w)
     for length, at in by.items():
-        prefix = _prefix_hashes(_codes([MARK + words[i] for i in at], length))
+        prefix = _prefix_hashes(_codes(at, length))
         found = {}
-        forward = np.zeros((length + 1, len(at)))
-        forward[0] = 1
+        forward = np.zeros((length + 1, len(at)))  # logarithms, as long products leave the range
         for end in range(1, length + 1):
-            new = forward[end - 1] * UNKNOWN
+            new = np.full(len(at), UNKNOWN)  # relative to the place before
             for n in range(1, min(end, pieces.longest) + 1):
                 rows, ids = found[end, n] = pieces.find(prefix, end - n, end)
                 if n == 1:
                     new[rows] = 0
-                new[rows] += forward[end - n][rows] * p[ids]
-            forward[end] = new
-        backward = np.zeros((length + 1, len(at)))
-        backward[length] = np.where(forward[length] > 0, counts[at] / np.maximum(forward[length], 1e-300), 0)
+                new[rows] += np.exp(forward[end - n][rows] - forward[end - 1][rows]) * p[ids]
+            forward[end] = forward[end - 1] + np.log(np.maximum(new, 1e-300))
+        through = np.zeros((length + 1, len(at)))  # expected uses of each place as a boundary
+        through[length] = [stretches[w] for w in at]
         for end in range(length, 0, -1):
             for n in range(1, min(end, pieces.longest) + 1):
                 rows, ids = found[end, n]
-                use = backward[end][rows] * p[ids]
-                np.add.at(total, ids, use * forward[end - n][rows])
-                backward[end - n][rows] += use
+                use = through[end][rows] * np.exp(forward[end - n][rows] - forward[end][rows]) * p[ids]
+                np.add.at(total, ids, use)
+                through[end - n][rows] += use
             rest = np.ones(len(at), bool)
             rest[found[end, 1][0]] = False
-            backward[end - 1][rest] += backward[end][rest] * UNKNOWN
+            through[end - 1][rest] += through[end][rest] * np.exp(forward[end - 1][rest] - forward[end][rest]) * UNKNOWN
     return total
 
 

@@ -52,6 +52,20 @@ def test_expected_counts():
     assert np.allclose(got, [want[n] for n in NAMES])
 
 
+def test_long_words_teach():
+    p, pieces = np.linspace(0.02, 0.2, len(NAMES)), L.Pieces.of(NAMES)
+    letters = np.array(list(map(len, NAMES)))
+    for word, known in (("ab" * 29, 59), ("ab" * 30, 61), ("abbac" * 400, 2001), ("z" * 58 + "a", 2), ("z" * 500 + "ab" * 40, 81)):
+        got = L.expected_counts([word, word], np.array([2.0, 1.0]), pieces, p)
+        assert math.isclose(got @ letters, 3 * known, rel_tol=1e-9), word
+    one = L.expected_counts(["b" * 59 + "cab"], np.ones(1), pieces, p)
+    cut = L.expected_counts(["b" * 59], np.ones(1), pieces, p)
+    assert np.isclose(one[NAMES.index("c")] - cut[NAMES.index("c")], 1)
+    # a language whose words are all long is told from another by them
+    model = L.fit({"x": (["ab" * 50], np.ones(1), 1), "y": (["cb" * 50], np.ones(1), 1)}, NAMES)
+    assert [model.langs[k] for k in model.score(["abab", "cbcb"]).argmax(axis=1)] == ["x", "y"]
+
+
 def test_words():
     assert L.words_of("Été 12 x_y ²½ L'an") == ["été", "x", "y", "²½", "l", "an"]
     assert L.words_of("²½ 123 !") == [] and L.words_of(None) == []
