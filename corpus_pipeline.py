@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and is written as Parquet and read again as the next one's ``docs``. The
 first four return the columns of ``documents``; the last returns the packed
-pieces. Stages: documents in no known language go; later copies of repeated line
+pieces. Stages: documents without a letter go, and all if no
+language is labelled, while texts in an unlearned language stay; later copies of repeated line
 runs are deleted; of each group of near copies one document stays; sources are
 mixed to their target weights, so a document may come more than once or in part;
 the mix is packed into sequences.

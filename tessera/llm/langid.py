@@ -279,11 +279,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.4  # a threshold for callers that want one
 
 
-def in_a_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is told with a score of ``least`` at least."""
+def in_a_language(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents that are not ``und``; with a score of ``least`` at least, if that
+    is given. The score is a posterior among the languages learned, so it is low for
+    short clean texts where there are many, and high for long texts in none of them."""
     model = train(docs.where(~held_out()))
     told = predict(packed(docs, "doc_id", "text"), model)
     return unpacked(told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs, ("doc_id", "text"))

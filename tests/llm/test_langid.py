@@ -92,3 +92,10 @@ def test_awkward_texts(spark):
     assert kept.columns == docs.columns
     assert {r.lang_pred for r in L.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert L.identify(edge_docs(spark, [])).count() == 0
+
+
+def test_short_texts_in_many_languages_stay(spark):
+    rows = [(i, "the cat", f"l{i % 8}") for i in range(80)] + [(80, "12 !?", "l0"), (81, "qzxv " * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert max(r.score for r in L.identify(docs).where("doc_id < 80").collect()) < 0.4
+    assert {r.doc_id for r in L.in_a_language(docs).collect()} == set(range(82)) - {80}
