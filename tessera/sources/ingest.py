@@ -14,7 +14,7 @@ from ..functions import code
 from ..operators import governance
 from ..plans.storage import cut
 from .extract import extract
-from .languages import BINARY, BY_EXTENSION, IGNORED, INDEXABLE, ignore_pattern
+from .languages import BINARY, BY_EXTENSION, IGNORED, INDEXABLE, gitignore_rules, ignore_pattern
 
 
 
@@ -34,14 +34,15 @@ def language(path: Column) -> Column:
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, with_content: bool = True) -> DataFrame:
     """Files below ``root`` that can be indexed: project_id, id, path, relative_path,
-    language, size, mtime (ms), hash, content. Hidden and ignored paths and other
-    extensions are left out before any content is read."""
+    language, size, mtime (ms), hash, content. Hidden and ignored paths, those that
+    the root's .gitignore names, and other extensions are left out before any content
+    is read."""
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     plain = base.split(":", 1)[-1].rstrip("/").replace("///", "/")
     relative = F.regexp_replace(F.col("path"), r"^.*?" + _quoted(plain) + "/", "")
     rules = ignore_pattern(tuple(IGNORED + (ignore or [])))
-    rows = found.withColumn("relative_path", relative).where(extension(F.col("relative_path")).isin(INDEXABLE) & ~extension(F.col("relative_path")).isin(BINARY) & ~F.col("relative_path").rlike(rules) & ~F.col("relative_path").rlike(r"(^|/)\."))
+    rows = found.withColumn("relative_path", relative).where(extension(F.col("relative_path")).isin(INDEXABLE) & ~extension(F.col("relative_path")).isin(BINARY) & ~F.col("relative_path").rlike(rules) & ~F.col("relative_path").rlike(r"(^|/)\.") & ~git_ignored(spark, base))
     pid = project_id(plain)
     columns = [pid.alias("project_id"), F.xxhash64(pid, "relative_path").alias("id"), "path", "relative_path", language(F.col("relative_path")).alias("language"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")]
     if with_content:
@@ -49,6 +50,33 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, with_c
     return rows.select(*columns)
 
 
+def git_ignored(spark: SparkSession, root: str) -> Column:
+    """Whether relative_path is named by the root's .gitignore as it is now: the last
+    line that fits a path or a folder above it counts, and what lies in an ignored
+    folder cannot be taken back. As in the reference, letter case does not matter."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return F.lit(False)
+    stream = fs.open(path)
+    try:
+        rules = gitignore_rules(bytes(x & 0xFF for x in stream.readAllBytes()).decode("utf-8-sig", "replace"))
+    finally:
+        stream.close()
+    parts = F.split("relative_path", "/")
+
+    def ignored(n: Column) -> Column:
+        out = F.lit(False)
+        for back, folder, expression in rules:
+            fits = F.array_join(F.slice(parts, F.lit(1), n), "/").rlike(expression)
+            if folder:
+                fits &= n < F.size(parts)
+            out = out & ~fits if back else out | fits
+        return out
+
+    return F.exists(F.sequence(F.lit(1), F.size(parts)), ignored)
+
+
 def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text)
 

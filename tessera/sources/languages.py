@@ -73,3 +73,40 @@ def ignore_pattern(globs: tuple[str, ...] = tuple(IGNORED)) -> str:
         body = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*|\*|\?|[^*?]+", g))
         out.append(("^" if rooted else "(?:^|/)") + body + "(?:/|$)")
     return "|".join(out) or "(?!)"
+
+
+def gitignore_rules(text: str) -> list[tuple[bool, bool, str]]:
+    """(takes back, folders only, expression of whole paths) of each line, in order."""
+    out = []
+    for line in text.splitlines():
+        g = re.sub(r"(?<!\\)\s+$", "", line)
+        if not g or g[0] == "#":
+            continue
+        back = g[0] == "!"
+        g = g[back:]
+        folder = g.endswith("/")
+        g = g.rstrip("/")
+        bound = "/" in g
+        g = g.removeprefix("/")
+        if not g:
+            continue
+        body = ""
+        for x in re.findall(r"^\*\*/|/\*\*/|/\*\*$|\*+|\?|\[[!^]?\]?[^\]/]*\]|\\.|.", g):
+            if x == "**/":
+                body += "(?:.*/)?"
+            elif x == "/**/":
+                body += "/(?:.*/)?"
+            elif x == "/**":
+                body += "/.+"
+            elif x[0] == "*":
+                body += "[^/]*"
+            elif x == "?":
+                body += "[^/]"
+            elif x[0] == "[" and len(x) > 1:
+                negated = x[1] in "!^"
+                inner = x[1 + negated : -1].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+                body += f"[{'^/' if negated else ''}{inner}]"
+            else:
+                body += re.escape(x[-1])
+        out.append((back, folder, "(?i)^" + ("" if bound else "(?:.*/)?") + body + "$"))
+    return out

@@ -203,3 +203,28 @@ def test_git(spark, tmp_path):
     assert {(r.status, r.relative_path) for r in git.working_tree(spark, str(root)).collect()} == {("M", "a.py"), ("??", "new.py")}
     hunks = governance.parse_hunks(git.diffs(spark, str(root)))
     assert [(r.relative_path, r.start, r["count"]) for r in hunks.collect()] == [("a.py", 1, 1), ("a.py", 3, 1)]
+
+
+def test_gitignore(spark, tmp_path):
+    from tessera.plans.store import Store
+    from tessera.streaming import watch
+
+    lines = ["# comment", "", "gen/", "*_pb2.py", "!keep_pb2.py", "/top.py", "docs/**/old", "!gen/back.py", "lib/[ab].py", "Upper.py  "]
+    gone = ["gen/a.py", "x/gen/a.py", "gen/back.py", "a_pb2.py", "x/a_pb2.py", "top.py", "docs/old/a.py", "docs/y/z/old/a.py", "lib/a.py", "x/upper.py"]
+    left = ["keep_pb2.py", "x/keep_pb2.py", "x/top.py", "x/docs/old/a.py", "lib/c.py", "x/lib/a.py", "gen.py", "main.py"]
+    root = tmp_path / "tree"
+    for f in gone + left:
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("def f():\n    return 1\n")
+    (root / ".gitignore").write_text("\n".join(lines))
+    store, paths = Store(spark, f"file://{tmp_path}/store"), lambda s: sorted(r.relative_path for r in s.table("files").collect())
+    store.index(f"file://{root}")
+    assert paths(store) == sorted(left)
+    assert store.changes(f"file://{root}").count() == 0
+    (root / "gen/new.py").write_text("x = 1\n")
+    (root / "new.py").write_text("x = 1\n")
+    store.update(f"file://{root}")
+    assert paths(store) == sorted([*left, "new.py"])
+    other = Store(spark, f"file://{tmp_path}/watched")
+    watch.watch(spark, f"file://{root}", other, f"file://{tmp_path}/checkpoint", every=None).awaitTermination()
+    assert paths(other) == sorted([*left, "new.py"])
