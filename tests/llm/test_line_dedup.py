@@ -49,16 +49,65 @@ def test_equals_brute_force(spark):
             assert r.text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in gone)
 
 
+def arrays(spark, seqs, size=1):
+    """Segments as the doubling takes them; every line asks for runs of 1 to 9 lines."""
+    rows = [(i, 0, 0, s, [0] * len(s), [[m for m in range(1, 10) if k + m <= len(s)] for k in range(len(s))]) for i, s in enumerate(seqs)]
+    return spark.createDataFrame(rows, "_d long, _t long, start int, a1 array<long>, a2 array<long>, more array<array<int>>")
+
+
 def test_ranks_are_those_of_a_suffix_array(spark):
     rng = random.Random(4)
     seqs = [[rng.randrange(3) for _ in range(rng.randint(1, 9))] for _ in range(6)]
-    level = spark.createDataFrame([(i, 0, 0, s, [(0, 9)]) for i, s in enumerate(seqs)], "_d long, _t long, start int, rank array<long>, runs array<struct<at: int, lines: int>>")
-    for size in (1, 2, 4):
-        level = L._double(level, size)
-    got = {r._d: r["rank"] for r in level.collect()}
-    suffixes = [tuple(s[i:][:8]) for s in seqs for i in range(len(s))]
-    for i, s in enumerate(seqs):
-        assert got[i] == [sum(x < tuple(s[k:][:8]) for x in suffixes) for k in range(len(s))]
+    level, size = arrays(spark, seqs), 1
+    suffixes = [tuple(s[i:]) for s in seqs for i in range(len(s))]
+    for _ in range(3):
+        rows = L.ranked(L.materialize(L.swept(L.suffixes(level, size)), "test")).collect()
+        got = {(r._d, r["at"]): (r["rank"], r.found) for r in rows}
+        for i, s in enumerate(seqs):
+            for k in range(len(s)):
+                own = s[k:]
+                assert got[i, k][0] == sum(x[: 2 * size] < tuple(own[: 2 * size]) for x in suffixes)
+                earlier = [x[j:] for h, x in enumerate(seqs[: i + 1]) for j in range(len(x)) if (h, j) < (i, k)]
+                same = [m for m in range(1, len(own) + 1) if any(x[:m] == own[:m] for x in earlier) and (m <= 2 * size) and (size == 1 or m > size)]
+                assert got[i, k][1] == max(same, default=0)
+        by = {}
+        for r in rows:
+            by.setdefault(r._d, []).append((r["at"], r["rank"], r.more))
+        level = spark.createDataFrame([(d, 0, 0, [x[1] for x in sorted(v)], [x[2] for x in sorted(v)]) for d, v in by.items()], "_d long, _t long, start int, a1 array<long>, more array<array<int>>")
+        size *= 2
+
+
+def test_the_order_of_ranks_decides(spark, monkeypatch):
+    """With hashes for ranks equal prefixes are not neighbours, and copies are missed."""
+    pool = [f"line {k} of eight words in all here" for k in range(12)]
+    rng = random.Random(11)
+    common = [pool[k] for k in range(7)]
+    docs = [(i, "\n".join([f"own {i}", *common, *[rng.choice(pool) for _ in range(12)]])) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 50)
+    deleted = lambda: {r.doc_id: {x for a in r.removed or [] for x in range(a["from"], a["to"])} for r in L.dedup_lines(frame, 50).collect()}
+    assert deleted() == want
+    ranked = L.ranked
+    monkeypatch.setattr(L, "ranked", lambda rows: ranked(rows).withColumn("rank", F.xxhash64("rank")))
+    assert deleted() != want
+
+
+def test_intervals_across_many_tasks(spark):
+    """One passage in all documents: its intervals fill whole tasks."""
+    rng = random.Random(3)
+    passage = [f"line {k} of a passage that all of them share" for k in range(9)]
+    docs = [(i, "\n".join([f"own {i} {rng.random()}", *passage[rng.randrange(3) :], f"end {i}"])) for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set(adaptive, "false")
+        rows = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 20).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(adaptive)
+    want = brute(docs, 20)
+    assert {r.doc_id: {x for a in r.removed or [] for x in range(a["from"], a["to"])} for r in rows} == want
 
 
 def test_shortest_runs():
@@ -71,7 +120,8 @@ def test_shortest_runs():
             want |= {(s, e - s) for e in range(s + 1, n + 1) if sum(w[s:e]) >= least > sum(w[s : e - 1])}
         for e in range(1, n + 1):
             want |= {(s, e - s) for s in range(e) if sum(w[s:e]) >= least > sum(w[s + 1 : e])}
-        assert L.shortest_runs(np.array(w), least) == sorted(want)
+        starts, lines = L.shortest_runs(np.array(w), least)
+        assert list(zip(starts.tolist(), lines.tolist())) == sorted(want)
 
 
 def test_awkward_texts(spark):
