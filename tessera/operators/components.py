@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): each step
 is two shuffles of the edges, and the number of steps grows with the logarithm of
-the longest path at most, in practice less. Nothing is gathered in one place."""
+the longest path at most, in practice less. Nothing is gathered in one place; the
+edges of a node with very many are dealt over ``SALTS`` tasks."""
 
 from __future__ import annotations
 
@@ -10,21 +11,37 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import cut
 
+SALTS = 16
 
-def _minima(pairs: DataFrame) -> DataFrame:
-    """Of each u, the least of itself and its neighbours v: a minimum per task comes first."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) with m, the least of u and its neighbours. A minimum per task
+    comes first; it goes to each share of a node's pairs."""
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    shares = least.withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(shares, ["u", "_s"]).drop("_s")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _minima(down)
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return _with_least(down).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    """Distinct edges from the greater end u to the lesser end v, without loops."""
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Every component is a star around its least node: no node has two lesser
+    neighbours, or one beside a greater one."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("high")))))
+    return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low = 1 and high = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,13 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
     component is its least node. Null ends are ignored; loops and repeated edges do
     no harm; without edges the result is empty. Every step is written to the shared
     folder."""
-    edges = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
-    seen = None
-    while True:
-        edges = cut(_small_star(_large_star(edges)).where("u <> v").distinct(), "edges")
-        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now := (row["n"], row["h"])) == seen:
-            break
-        seen = now
-    pairs = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
+    edges = cut(_downward(edges.where("u is not null and v is not null")), "edges")
+    while not _settled(edges):
+        edges = cut(_downward(_small_star(cut(_large_star(edges), "star"))), "edges")
+    pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.union(pairs.select(F.col("component").alias("node"), "component").distinct())

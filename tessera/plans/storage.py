@@ -7,17 +7,23 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST = 200_000  # rows of two or three numbers that may be broadcast
 
 _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset (one machine, tests)."""
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and all
+    executors are in this process (tests). On a cluster each would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
     return _own[0]
@@ -25,14 +31,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` and reads it back, so that its lineage ends in files that outlive
-    executors. They go when the application ends, or at ``clear``."""
+    executors. They go when the application ends, or at ``clear``. The rows are counted
+    as they are written; see ``rows``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(clear)
     _made.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rows = seen.get["rows"]
+    return out
+
+
+def rows(written: DataFrame) -> int:
+    """The rows of a table that ``cut`` returned."""
+    return written._rows
+
+
+def small_enough(written: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """The written table, marked for broadcast if it has ``most`` rows at most; else as
+    it is, and joined by shuffling."""
+    return F.broadcast(written) if rows(written) <= most else written
 
 
 def clear() -> None:
