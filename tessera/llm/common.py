@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut as materialize
+from ..plans.storage import rows as rows_of
 from ..plans.storage import shared_folder as scratch
+from ..plans.storage import small_enough
 
-__all__ = ["WORD", "materialize", "packed", "scratch", "small_batches", "small_enough", "table", "text_or_empty", "unpacked"]
+__all__ = ["WORD", "materialize", "packed", "rows_of", "scratch", "small_batches", "small_enough", "table", "text_or_empty", "unpacked"]
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,16 +35,6 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-BROADCAST = 200_000  # rows, or entries of their arrays, that may be broadcast
-
-
-def small_enough(df: DataFrame, weight: Column | None = None, most: int = BROADCAST) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its rows (or their weights) count
-    ``most`` at most; else as it is, and joined by shuffling."""
-    n = df.agg(F.count("*") if weight is None else F.sum(1 + weight)).first()[0] or 0
-    return F.broadcast(df) if n <= most else df
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

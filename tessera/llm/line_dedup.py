@@ -48,7 +48,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, packed, small_enough, unpacked
+from ..plans.storage import BROADCAST
+from .common import WORD, materialize, packed, rows_of, unpacked
 
 MIN_WORDS = 50
 _FIRST = -(1 << 63)
@@ -300,13 +301,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """(_rd, _rt, removed): a document's runs as ranges that neither touch nor overlap, in order."""
+    """(_d, _t, from, to): a document's runs as ranges that neither touch nor overlap."""
     row = ["_d", "_t"]
     by = Window.partitionBy(*row).orderBy("from", "to")
     reach = F.max("to").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = runs.withColumn("_new", F.when(F.col("from") <= reach, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    ranges = islands.groupBy(*row, "_i").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    return ranges.groupBy(F.col("_d").alias("_rd"), F.col("_t").alias("_rt")).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("removed"))
+    return islands.groupBy(*row, "_i").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("_i")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +316,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     docs = docs.drop("n_lines", "n_removed", "removed")
     d, t = F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)), F.xxhash64(F.col(text_col))
     plain = docs.where(F.col(text_col).isNotNull()).select(d.alias("_d"), t.alias("_t"), F.col(text_col).alias("text")).dropDuplicates(["_d", "_t"])
-    runs = small_enough(materialize(merged(repeated_runs(plain, min_words)), "removed"), F.size("removed"))
+    ranges = materialize(merged(repeated_runs(plain, min_words)), "removed")
+    runs = ranges.groupBy(F.col("_d").alias("_rd"), F.col("_t").alias("_rt")).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("removed"))
+    runs = F.broadcast(runs) if rows_of(ranges) <= BROADCAST else runs
     both = docs.join(runs, (d == F.col("_rd")) & (t == F.col("_rt")), "left").drop("_rd", "_rt")
     lines = F.split(text_col, "\n")
     n = F.size("removed")

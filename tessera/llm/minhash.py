@@ -1,48 +1,51 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 A document's set of word shingles gives a signature of ``COORDS`` minima. Equal
-sets are one node, so that copies cost nothing further. A node is posted under
-its coordinate values; a pair with a similarity of 0.75 agrees in ``MATCHES`` of
-them but for a chance of 4.6e-6 (binomial), and whoever agrees in
-``MATCHES`` of ``COORDS`` shares one of the first ``COORDS - MATCHES + 1`` in any
-common order (prefix filter). In that order the values held by many nodes come
-last, so that their long lists are skipped wherever the short ones decide
-(skip merging).
-
-Pairs come from the lists in rounds. First each list pairs its nodes with one of
-them only; confirmed links join nodes to components. A second round does so with
-another choice, a last round pairs whatever nodes of a list are still in
-different components, found by their full sets' rarest shingles. So a group of
-thousands of near copies costs pairs in proportion to its size, and no link that
-would join two components is left out. Pairs from the lists must pass a length
-filter and a one-bit sketch of the signature (which fails a similarity of 0.75 with
-a chance of 2.0e-5; the last round does not use it), all pairs one of the sets.
-Whether a pair is linked is decided by its full sets alone.
+sets are one node, so that copies cost nothing further. A node is posted under its
+coordinate values; the nodes of one value are a list. A pair with a similarity of
+0.75 collides in ``MATCHES`` coordinates but for a chance of 4.6e-6 (binomial).
+
+Prefix: whoever collides in ``MATCHES`` of ``COORDS`` collides in one of any
+``PREFIX`` = ``COORDS - MATCHES + 1`` of them. So nodes without a partner in the
+first ``PREFIX`` coordinates go at once, and the others are posted under their
+``PREFIX`` rarest values only. Skip merging: the long lists are not merged; for a
+pair that the short ones give, the collisions are counted over all coordinates in
+the two nodes' own signatures, and pairs below ``MATCHES`` go.
+
+Pairs come from the lists in two rounds, so that a group of thousands of near
+copies costs pairs in proportion to its size. First each list gives the pairs of
+its nodes with one of them, the one whose values are held by the most nodes in all:
+in a family of copies that is the original. Linked nodes are a component. Then the
+lists that still hold several components give the pairs across components; a value
+that no other component holds cannot collide, so it only takes up a place in the
+prefix. In both rounds a pair must first pass a length filter and an odd sketch of
+the sets, a bound that no linked pair fails. Texts are read only of pairs with
+enough collisions; whether those are linked is decided by their full sets alone.
 
 Defined results: a null text, or one without words, has an empty set and is
-linked with nothing; fewer than ``SHINGLE`` words are one shingle; rows that share
-a doc_id are one node; a row without doc_id is linked with nothing, has no component and is kept;
-other columns are ignored.
+linked with nothing; fewer than ``SHINGLE`` words are one shingle; a very long text
+is taken whole; an empty table gives an empty one; rows that share
+a doc_id are one node; a row without doc_id is linked with nothing, has no component
+and is kept; among equal nodes the least id comes first; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialize, small_batches
+from .common import materialize, rows_of, small_batches, small_enough
 
-SHINGLE, COORDS, MATCHES, BITS, ODD = 5, 64, 32, 20, 512
+SHINGLE, COORDS, MATCHES, ODD = 5, 64, 32, 512
 PREFIX = COORDS - MATCHES + 1
 NUM, DEN = 75, 100  # links: DEN * intersection >= NUM * union
-LONG_LIST = 64
+LEAVES = 4096  # of one node in one task, about, when texts are compared
 
 _rng = np.random.default_rng(20_240_607)
 _MUL = _rng.integers(1, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,49 +84,43 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_key, sketch, odd, sig); an empty set has no key and no signature."""
+    """(id, n_shingles, set_key, odd, sig); an empty set has no key and no signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, sketches, odds, sigs = [], [], [], [], []
+            n, keys, odds, sigs = [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
                 n.append(len(s))
                 if len(s):
                     sig = signature(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sketches.append(np.packbits((sig >> np.uint64(20) & np.uint64(1)).astype(bool)).view(np.int64)[0])
                     odds.append(odd_sketch(s))
                     sigs.append(sig.view(np.int64))
                 else:
-                    keys.append(None), sketches.append(None), odds.append(None), sigs.append(None)
+                    keys.append(None), odds.append(None), sigs.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.int64()), pa.array(odds, longs), pa.array(sigs, longs)],
-                names=[id_col, "n_shingles", "set_key", "sketch", "odd", "sig"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(odds, longs), pa.array(sigs, longs)],
+                names=[id_col, "n_shingles", "set_key", "odd", "sig"],
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles long, set_key binary, sketch long, odd array<long>, sig array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_shingles long, set_key binary, odd array<long>, sig array<long>")
 
 
-def postings(nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """(value, node, n, sketch): each node under its first ``PREFIX`` values, those
-    of long lists last. A node that shares fewer than ``MATCHES`` of its values with
-    any other has no partner and is left out."""
-    every = nodes.select("node", F.explode("sig").alias("value"))
-    shared = every.groupBy("value").agg(F.count("*").alias("_c")).where("_c > 1")
-    held = every.join(shared, "value").groupBy("node").agg(F.count("*").alias("_s"), F.collect_set(F.when(F.col("_c") > long_list, F.col("value"))).alias("long"))
-    both = nodes.join(held.where(F.col("_s") >= MATCHES), "node")
-    skipped = lambda keep: F.filter("sig", lambda v: F.array_contains("long", v) == keep)
-    order = F.when(F.size("long") == 0, F.col("sig")).otherwise(F.concat(skipped(False), skipped(True)))
-    return both.select(F.explode(F.slice(order, 1, PREFIX)).alias("value"), "node", "n", "sketch")
+def with_partners(nodes: DataFrame) -> DataFrame:
+    """The nodes that share a value of their first ``PREFIX`` coordinates. nodes: node, sig, ..."""
+    posts = nodes.select("node", F.explode(F.slice("sig", 1, PREFIX)).alias("value"))
+    shared = materialize(posts.groupBy("value").agg(F.count("*").alias("_c")).where("_c > 1").select("value"), "values")
+    some = materialize(posts.join(shared, "value", "left_semi").select("node").distinct(), "partners")
+    return nodes.join(small_enough(some), "node", "left_semi")
 
 
 def _fits(a: str, b: str) -> Column:
-    """Lengths and sketches allow the similarity."""
+    """Lengths allow the similarity."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= BITS)
+    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
 def _near(a: str, b: str) -> Column:
@@ -132,102 +129,74 @@ def _near(a: str, b: str) -> Column:
     return (DEN + NUM) * apart <= (DEN - NUM) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _keep_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the odd sketches of their nodes (node, n, odd) allow."""
-    x, y = nodes.alias("x"), nodes.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    return both.where(_near("x", "y")).select("a", "b").distinct()
-
-
-def _star_pairs(posts: DataFrame, salt: int) -> DataFrame:
-    """Each list's nodes with the one of them that comes first in an order set by
-    ``salt``; where ``comp`` is known, across components only."""
-    mine = F.struct("node", "n", "sketch", "comp")
-    first = posts.groupBy("value").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), *[F.col(c) for c in ("node", "n", "sketch", "comp")])).alias("hub"), F.count("*").alias("_c"))
-    pairs = posts.join(first.where("_c > 1"), "value").select(mine.alias("x"), "hub")
-    return pairs.where((F.col("x.comp") != F.col("hub.comp")) & _fits("x", "hub")).select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct()
-
+def star_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with the hub of each list of its prefix. nodes: node, n, odd, sig."""
+    posts = nodes.select("node", F.explode("sig").alias("value"))
+    held = posts.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
+    most = posts.join(held, "value").groupBy("node").agg(F.sum("c").alias("_all"), F.array_sort(F.collect_list(F.struct("c", "value"))).alias("_own"))
+    # values that no other node holds come first; they only take up places
+    prefix = F.slice("_own", F.lit(1), F.greatest(F.lit(0), PREFIX - COORDS + F.size("_own")))
+    short = materialize(nodes.join(most.where(F.size("_own") >= MATCHES), "node").select("node", "n", "odd", "_all", F.transform(prefix, lambda x: x["value"]).alias("values")), "prefixes")
+    lists = short.select(F.explode("values").alias("value"), "node", "n", "odd", "_all")
+    hubs = lists.groupBy("value").agg(F.max(F.struct("_all", "node", "n", "odd")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("value", "hub")
+    both = lists.select("value", F.struct("node", "n", "odd").alias("x")).join(materialize(hubs, "hubs"), "value")
+    return both.where((F.col("x.node") != F.col("hub.node")) & _fits("x", "hub") & _near("x", "hub")).select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
+def cross_pairs(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): nodes of different components that share a list of their prefixes, over
+    the lists that hold several components. comps: node, component; a node without is its own."""
+    told = nodes.join(small_enough(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    posts = told.select("node", "comp", F.explode("sig").alias("value"))
+    mixed = posts.groupBy("value").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "c")
+    own = posts.join(mixed, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("_own")).where(F.size("_own") >= MATCHES)
+    prefix = F.slice("_own", F.lit(1), PREFIX - COORDS + F.size("_own"))
+    lists = materialize(told.join(own, "node").select(F.explode(F.transform(prefix, lambda x: x["value"])).alias("value"), "node", "comp", "n", "odd"), "mixed")
+    x, y = lists.alias("x"), lists.alias("y")
+    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & _fits("x", "y") & _near("x", "y")
+    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
-def _set_rows(texts: DataFrame) -> DataFrame:
-    """(node, comp, n, h): a row for each shingle, n of them. texts: node, comp, text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = [shingles(t.as_py()) for t in part.column(2)]
-                sizes = np.array([len(s) for s in sets])
-                rows = np.repeat(np.arange(len(sets)), sizes)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(sizes[rows]), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "comp", "n", "h"])
-
-    kind = texts.schema["node"].dataType.simpleString()
-    return texts.select("node", "comp", "text").mapInArrow(run, f"node {kind}, comp {kind}, n long, h long")
-
-
-def _allows(common: Column) -> Column:
-    """With ``common`` shingles at most, x and y can be similar enough."""
-    return DEN * common >= NUM * (F.col("x.n") + F.col("y.n") - common)
-
-
-def _rest_pairs(posts: DataFrame, texts: DataFrame, nodes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """Candidates among the nodes of lists that still hold several components, on
-    their full sets. Of a set, by rising frequency, the first 1/7 and a little is
-    enough to find every partner as large or larger by its own first 1/4 (prefix
-    filter). Only shingles of several components count as common. A pair with no
-    rare shingle in common has at most as many in common as the fewer frequent ones
-    of the two, and odd sketches bound how much two sets can have in common; so members
-    of a large family that each differ from it in their own way make no pairs."""
-    mixed = posts.groupBy("value").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("value")
-    of = materialize(posts.join(mixed, "value", "left_semi").select("node", "comp").distinct(), "mixed")
-    rows = materialize(_set_rows(texts.join(of, "node")), "sets")
-    held = rows.groupBy("h").agg(F.count("*").alias("f"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("h", "f")
-    of_node = Window.partitionBy("node")
-    ranked = rows.join(held, "h").select(
-        "node",
-        "comp",
-        "n",
-        "f",
-        "h",
-        (F.row_number().over(of_node.orderBy("f", "h")) - 1).alias("r"),
-        F.count("*").over(of_node).alias("s"),
-        F.count_if(F.col("f") > long_list).over(of_node).alias("c"),
-    ).where(DEN * F.col("s") >= NUM * F.col("n"))
-    # shingles that no other component holds would come first; they only take up places
-    place = F.col("r") + F.col("n") - F.col("s")
-    least = F.ceil(F.lit(2 * NUM) * F.col("n") / (DEN + NUM))
-    first = ranked.where(place <= F.col("n") - F.ceil(NUM * F.col("n") / DEN)).select("node", "comp", "n", "s", "c", "f", "h", place.alias("place"), (place <= F.col("n") - least).alias("indexed"))
-    first = materialize(first.join(nodes.select("node", "odd"), "node"), "prefixes")
-    x, y = first.where("indexed").alias("x"), first.alias("y")
-    rare = F.least(F.col("x.s") - F.col("x.c"), F.col("y.s") - F.col("y.c"))
-    common = F.least("x.c", "y.c") + F.when(F.col("x.f") > long_list, F.lit(0)).otherwise(rare)
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # at the first that they share
-    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & smaller & (DEN * F.col("x.n") >= NUM * F.col("y.n")) & _allows(common) & _allows(after) & _near("x", "y")
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that collide in ``MATCHES`` coordinates or more."""
+    sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"_{x}"))
+    both = pairs.join(sig("b"), "b").join(sig("a"), "a")
+    count = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda same: same))
+    return both.where(count >= MATCHES).select("a", "b").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, however many coordinates
-    agree. texts: node, text. A
-    node that many pairs share as ``a`` is joined last, where a skewed join can be split."""
-    leaves = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = leaves.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """(u, v) of the pairs (a, b) whose full sets are similar enough. texts: node, text.
+    The leaves of a node ``a`` are dealt over tasks, about ``LEAVES`` to each, and its
+    text goes to each of them once."""
+    pairs = materialize(pairs, "pairs")
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
+    texts = texts.join(small_enough(used), "node", "left_semi")
+    deal = F.pmod(F.xxhash64("b"), F.lit(1 + rows_of(pairs) // LEAVES)).alias("_deal")
+    dealt = pairs.select("a", "b", deal)
+    leaves = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "_deal", F.lit(1).alias("_leaf"), "b", "text")
+    hubs = dealt.select("a", "_deal").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "_deal", F.lit(0).alias("_leaf"), F.col("a").alias("b"), "text")
+    rows = hubs.union(leaves).repartition("a", "_deal").sortWithinPartitions("a", "_deal", "_leaf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        of, own = None, []
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
             keep = []
             for i in range(batch.num_rows):
-                if last != (node := a[i].as_py()) or own is None:
-                    last, own = node, shingles(ta[i].as_py())
-                other = shingles(tb[i].as_py())
-                same = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(DEN * same >= NUM * (len(own) + len(other) - same))
-            yield pa.RecordBatch.from_arrays([a, b], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if key != of:
+                    of, own = key, []
+                s = shingles(batch.column(4)[i].as_py())
+                if batch.column(2)[i].as_py() == 0:
+                    own.append(s)
+                    keep.append(False)
+                else:
+                    same = [(len(np.intersect1d(x, s, assume_unique=True)), len(x)) for x in own]
+                    keep.append(any(DEN * k >= NUM * (m + len(s) - k) for k, m in same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"u {kind}, v {kind}")
+    return materialize(rows.mapInArrow(run, f"u {kind}, v {kind}"), "links")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,25 +207,28 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = materialize(signatures(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text"), "signatures")
-    classes = rows.where("set_key is not null and _id is not null").groupBy("set_key").agg(F.min("_id").alias("node"))
-    of = materialize(rows.select("_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("_id", "n_shingles", "node"), "classes")
-    heads = of.where("node = _id").select("node").distinct()
-    own = rows.where("set_key is not null").withColumnRenamed("_id", "node").withColumnRenamed("n_shingles", "n").join(heads, "node", "left_semi")
-    posts = materialize(postings(own.select("node", "n", "sketch", "sig")), "postings")
-    nodes = materialize(own.select("node", "n", "odd").join(posts.select("node").distinct(), "node", "left_semi"), "nodes")
+    keyed = rows.where("set_key is not null and _id is not null")
+    copied = materialize(keyed.groupBy("set_key").agg(F.min("_id").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
+    members = materialize(keyed.select("_id", "set_key").join(small_enough(copied), "set_key").where("_id <> node").distinct(), "members")
+    leave = small_enough(members).select(F.col("_id").alias("_m"), F.col("set_key").alias("_k"))
+    own = keyed.join(leave, (F.col("_id") == F.col("_m")) & (F.col("set_key") == F.col("_k")), "left_anti")
+    nodes = own.select(F.col("_id").alias("node"), F.col("n_shingles").alias("n"), "odd", "sig")
+    nodes = materialize(with_partners(nodes.dropDuplicates(["node", "n", "odd"])), "nodes")
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-    edges: list[DataFrame] = []
-    comps = None
-    for step in range(3):
-        known = posts.withColumn("comp", F.col("node")) if comps is None else posts.join(comps.withColumnRenamed("component", "_comp"), "node", "left").withColumn("comp", F.coalesce("_comp", "node")).drop("_comp")
-        pairs = materialize(_keep_near(_star_pairs(known, step), nodes) if step < 2 else _rest_pairs(known, texts, nodes), "pairs")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = materialize(confirm(pairs, texts.join(used, "node", "left_semi")), "links")
-        edges.append(found)
-        if step == 2 and found.isEmpty():
-            break
-        comps = materialize(components(reduce(DataFrame.union, edges)), "components")
-    return of.join(comps, "node", "left").select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component", "node", "_id")).alias("component"))
+
+    comps = materialize(components(confirm(colliding(star_pairs(nodes), nodes), texts)), "components")
+    across = confirm(colliding(cross_pairs(nodes, comps), nodes), texts)
+    if rows_of(across):
+        end = lambda x: small_enough(comps).select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+        of = across.join(end("u"), "u", "left").join(end("v"), "v", "left")
+        joined = materialize(components(of.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))), "joined")
+        later = small_enough(joined).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        known = comps.join(later, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+        comps = materialize(known.union(joined.join(comps, "node", "left_anti")), "components")
+
+    told = rows.select("_id", "n_shingles", "set_key").join(small_enough(members).select("_id", "set_key", F.col("node").alias("_node")), ["_id", "set_key"], "left")
+    of = told.select("_id", "n_shingles", F.coalesce("_node", "_id").alias("node"))
+    return of.join(small_enough(comps), "node", "left").select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component", "node")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,6 +238,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies of a document with a smaller id; of rows
-    that repeat an id, all stay."""
-    gone = link(docs).where("component <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    that repeat an id, all stay. Null and empty texts stay; an empty table stays empty."""
+    gone = materialize(link(docs).where("component <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(small_enough(gone), "doc_id", "left_anti")

@@ -52,9 +52,8 @@ def sample(seed, n=120):
 
 
 def test_equals_brute_force(spark, monkeypatch):
-    for seed, long_list in ((1, 64), (2, 3)):
-        monkeypatch.setattr(M.postings, "__defaults__", (long_list,))
-        monkeypatch.setattr(M._rest_pairs, "__defaults__", (long_list,))
+    for seed, leaves in ((1, 4096), (2, 3)):
+        monkeypatch.setattr(M, "LEAVES", leaves)
         texts = sample(seed)
         docs = [(i * 3 + 5, t) for i, t in enumerate(texts)]
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
