@@ -5,13 +5,16 @@ PMT), then packetised elementary stream (PES) packets with a presentation time
 stamp each; every ``KEY_EVERY``-th access unit is a random-access point with a
 clock reference, preceded by fresh program tables. ``demux`` parses any such
 stream: it follows PAT to PMT to elementary PIDs, verifies section checksums,
-checks continuity counters, reassembles PES packets and indexes time stamps.
+checks continuity counters, reassembles PES packets and indexes time stamps, each
+PID by itself. Sections may span packets; null packets have no counter; a packet
+may come twice, and a counter may jump where its packet says so.
 
 Defined results: a null or empty payload gives one access unit of no bytes (the
 query pads, so it always has at least 64); a damaged stream is parsed as far as
 it goes, with the damage counted (``sync_errors``, ``cc_errors``,
-``psi_errors``). Repeated rows give equal values. Input columns other than the
-two named are ignored, so they may have any name.
+``psi_errors``). A very long text is one stream, held once at a time; an empty table
+gives an empty one. Repeated rows give equal values, a null doc_id stays null. Input
+columns other than the two named are ignored, so they may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PACKET, BODY = 188, 184
-PMT_PID, ES_PID, PROGRAM = 0x1000, 0x0100, 1
+PMT_PID, ES_PID, NULL_PID, PROGRAM = 0x1000, 0x0100, 0x1FFF, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data in PES, private stream 1
 UNIT, KEY_EVERY = 8192, 4  # bytes in an access unit; units from one random-access point to the next
 TICKS = 3600  # of 90 kHz between access units: 25 a second
@@ -104,98 +107,150 @@ def mux(payload: bytes, unit: int = UNIT, key_every: int = KEY_EVERY) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds. units: (PTS, byte offset of the packet it
-    starts in, offset of its data in the payload, random access)."""
+    """What a transport stream holds. payloads: of each elementary PID its data;
+    units: (PID, PTS, byte offset of the packet it starts in, offset of its data in
+    the PID's payload, random access), in the order in which they end."""
 
-    payload: bytes = b""
+    payloads: dict[int, bytes] = field(default_factory=dict)
     packets: int = 0
     sync_errors: int = 0
     cc_errors: int = 0
     psi_errors: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
-    units: list[tuple[int | None, int, int, bool]] = field(default_factory=list)
+    units: list[tuple[int, int | None, int, int, bool]] = field(default_factory=list)
     clocks: list[int] = field(default_factory=list)
 
+    @property
+    def payload(self) -> bytes:
+        """The data of all elementary PIDs, by PID."""
+        return b"".join(x for _, x in sorted(self.payloads.items()))
 
-def _sections(s: Stream, body: bytes, table_id: int) -> bytes | None:
-    start = 1 + body[0]
-    if len(body) < start + 8 or body[start] != table_id:
-        s.psi_errors += 1
-        return None
-    size = 3 + (int.from_bytes(body[start + 1 : start + 3], "big") & 0x0FFF)
-    whole = body[start : start + size]
-    if len(whole) < size or crc32_mpeg(whole):
-        s.psi_errors += 1
-        return None
-    return whole[8:-4]
 
-
-def demux(media: bytes) -> Stream:
-    s = Stream()
-    last: dict[int, int] = {}
-    done: list[bytes] = []
-    pes: list[bytes] = []
-    pes_at, pes_key, total = 0, False, 0
-
-    def close() -> None:
-        nonlocal total
-        if not pes:
+@dataclass
+class _Pid:
+    """One PID's state: its counter, the packet last taken, and what is not yet whole."""
+
+    counter: int = -1
+    body: bytes = b""
+    repeated: bool = False
+    pes: list[bytes] = field(default_factory=list)
+    pes_at: int = 0
+    pes_key: bool = False
+    done: list[bytes] = field(default_factory=list)
+    total: int = 0
+    section: bytearray | None = None
+
+    def end_pes(self, s: Stream, pid: int) -> None:
+        if not self.pes:
             return
-        whole = b"".join(pes)
-        pes.clear()
+        whole = b"".join(self.pes)
+        self.pes = []
         if whole[:3] != b"\x00\x00\x01" or len(whole) < 9:
             s.sync_errors += 1
             return
         size, head = int.from_bytes(whole[4:6], "big"), 9 + whole[8]
         data = whole[head : 6 + size] if size else whole[head:]
-        s.units.append((_unstamp(whole[9:14]) if whole[7] & 0x80 else None, pes_at, total, pes_key))
-        done.append(data)
-        total += len(data)
+        s.units.append((pid, _unstamp(whole[9:14]) if whole[7] & 0x80 else None, self.pes_at, self.total, self.pes_key))
+        self.done.append(data)
+        self.total += len(data)
+
+    def sections(self, s: Stream, body: bytes, start: bool) -> list[bytes]:
+        """The sections that this packet completes; they may span packets."""
+        if start:
+            at = 1 + body[0]
+            out = self.whole(s, body[1:at])
+            if self.section:
+                s.psi_errors += 1  # it never ended
+            self.section = bytearray()
+            return out + self.whole(s, body[at:])
+        return self.whole(s, body)
+
+    def whole(self, s: Stream, data: bytes) -> list[bytes]:
+        out: list[bytes] = []
+        if self.section is None:
+            return out
+        self.section += data
+        while len(self.section) >= 3 and self.section[0] != 0xFF:
+            size = 3 + (int.from_bytes(self.section[1:3], "big") & 0x0FFF)
+            if len(self.section) < size:
+                return out
+            one = bytes(self.section[:size])
+            del self.section[:size]
+            if size < 12 or crc32_mpeg(one):
+                s.psi_errors += 1
+            else:
+                out.append(one)
+        if self.section[:1] == b"\xff":  # stuffing up to the end of the packet
+            self.section = None
+        return out
+
+
+def _learn(s: Stream, section: bytes) -> None:
+    """Program tables: of a PAT the program's PMT PIDs, of a PMT its elementary PIDs."""
+    x = section[8:-4]
+    if section[0] == 0:
+        s.programs |= {p: int.from_bytes(x[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(x) - 3, 4) if (p := int.from_bytes(x[i : i + 2], "big"))}
+    elif section[0] == 2:
+        i = 4 + (int.from_bytes(x[2:4], "big") & 0x0FFF)
+        while i + 5 <= len(x):
+            s.streams[int.from_bytes(x[i + 1 : i + 3], "big") & 0x1FFF] = x[i]
+            i += 5 + (int.from_bytes(x[i + 3 : i + 5], "big") & 0x0FFF)
 
+
+def demux(media: bytes) -> Stream:
+    s = Stream()
+    pids: dict[int, _Pid] = {}
+    tables = {0}
     for at in range(0, len(media) - PACKET + 1, PACKET):
-        if media[at] != 0x47:
+        b1, flags = media[at + 1], media[at + 3]
+        if media[at] != 0x47 or b1 & 0x80:
             s.sync_errors += 1
             continue
         s.packets += 1
-        b1, flags = media[at + 1], media[at + 3]
-        pid, start, body = (b1 & 0x1F) << 8 | media[at + 2], b1 & 0x40, at + 4
-        key = False
+        pid, body = (b1 & 0x1F) << 8 | media[at + 2], at + 4
+        if pid == NULL_PID:
+            continue
+        key = jump = False
         if flags & 0x20:
             size = media[body]
             if size:
-                key = bool(media[body + 1] & 0x40)
-                if media[body + 1] & 0x10:
+                told = media[body + 1]
+                jump, key = bool(told & 0x80), bool(told & 0x40)
+                if told & 0x10:
                     s.clocks.append(int.from_bytes(media[body + 2 : body + 8], "big") >> 15)
             body += 1 + size
         if not flags & 0x10:
             continue
-        if pid in last and flags & 15 != last[pid] + 1 & 15:
+        p = pids.get(pid) or pids.setdefault(pid, _Pid())
+        data, counter = media[body : at + PACKET], flags & 15
+        if p.counter >= 0 and not jump and counter != p.counter + 1 & 15:
+            if counter == p.counter and data == p.body and not p.repeated:
+                p.repeated = True  # a packet may come twice
+                continue
             s.cc_errors += 1
-        last[pid] = flags & 15
+        p.counter, p.body, p.repeated = counter, data, False
+        if pid in s.streams:
+            if b1 & 0x40:
+                p.end_pes(s, pid)
+                p.pes_at, p.pes_key = at, key
+            if b1 & 0x40 or p.pes:
+                p.pes.append(data)
+        elif pid in tables and data:
+            for section in p.sections(s, data, bool(b1 & 0x40)):
+                _learn(s, section)
+            tables = {0, *s.programs.values()}
+    for pid, p in pids.items():
+        p.end_pes(s, pid)
+        s.psi_errors += bool(p.section)
         if pid in s.streams:
-            if start:
-                close()
-                pes_at, pes_key = at, key
-            if start or pes:
-                pes.append(media[body : at + PACKET])
-        elif pid == 0 and start:
-            if (x := _sections(s, media[body : at + PACKET], 0)) is not None:
-                s.programs |= {p: int.from_bytes(x[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(x), 4) if (p := int.from_bytes(x[i : i + 2], "big"))}
-        elif start and pid in s.programs.values():
-            if (x := _sections(s, media[body : at + PACKET], 2)) is not None:
-                i = 4 + (int.from_bytes(x[2:4], "big") & 0x0FFF)
-                while i + 5 <= len(x):
-                    s.streams[int.from_bytes(x[i + 1 : i + 3], "big") & 0x1FFF] = x[i]
-                    i += 5 + (int.from_bytes(x[i + 3 : i + 5], "big") & 0x0FFF)
-    close()
-    s.payload = b"".join(done)
+            s.payloads[pid] = b"".join(p.done)
     return s
 
 
 def feature(s: Stream) -> str:
     """The program map, counters and time index on one line."""
-    stamps = [p for p, *_ in s.units if p is not None]
+    stamps = [u[1] for u in s.units if u[1] is not None]
     return ";".join(
         [
             "programs=" + ",".join(f"{k}@{v:#06x}" for k, v in sorted(s.programs.items())),
@@ -203,7 +258,7 @@ def feature(s: Stream) -> str:
             f"packets={s.packets}",
             f"errors={s.sync_errors}/{s.cc_errors}/{s.psi_errors}",
             f"units={len(s.units)}",
-            f"keys={sum(u[3] for u in s.units)}",
+            f"keys={sum(u[4] for u in s.units)}",
             f"pts={min(stamps, default=0)}-{max(stamps, default=0)}",
             f"clocks={len(s.clocks)}",
         ]
@@ -230,34 +285,30 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-UNITS = "array<struct<pts: long, packet_at: long, payload_at: long, random_access: boolean>>"
+UNITS = "array<struct<pid: int, pts: long, packet_at: long, payload_at: long, random_access: boolean>>"
 
 
 def read_streams(media: DataFrame, id_col: str = "doc_id", with_payload: bool = True) -> DataFrame:
     """Parses a column ``media``: payload, digests, feature string and the index
     of access units, by which a reader can seek to a random-access point. A null
-    medium counts as a stream of no packets."""
+    medium counts as a stream of no packets. Without ``with_payload`` a payload is let go
+    as soon as its digests are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pa.list_(pa.struct([("pts", pa.int64()), ("packet_at", pa.int64()), ("payload_at", pa.int64()), ("random_access", pa.bool_())]))
+        index = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("packet_at", pa.int64()), ("payload_at", pa.int64()), ("random_access", pa.bool_())]))
+        names = ("pid", "pts", "packet_at", "payload_at", "random_access")
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), index, pa.binary()]
         for b in batches:
-            blobs = [m or b"" for m in b.column(2).to_pylist()]
-            found = [demux(m) for m in blobs]
-            names = ("pts", "packet_at", "payload_at", "random_access")
-            columns = {
-                id_col: b.column(0),
-                "n_bytes": b.column(1),
-                "payload_bytes": pa.array([len(s.payload) for s in found], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(s.payload).hexdigest() for s in found]),
-                "tail_crc32": pa.array([zlib.crc32(s.payload[-64:]) for s in found], pa.int64()),
-                "media_bytes": pa.array(map(len, blobs), pa.int64()),
-                "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in blobs]),
-                "feature": pa.array([feature(s) for s in found]),
-                "units": pa.array([[dict(zip(names, u)) for u in s.units] for s in found], index),
-            }
-            if with_payload:
-                columns["payload"] = pa.array([s.payload for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            rows = []
+            for k in range(b.num_rows):
+                blob = b.column(2)[k].as_py() or b""
+                s = demux(blob)
+                payload = s.payload
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(s), [dict(zip(names, u)) for u in s.units])
+                rows.append((*row, payload) if with_payload else row)
+            columns = list(zip(*rows)) or [()] * (7 + with_payload)
+            out = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units", "payload"]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=[id_col, "n_bytes", *out[: len(columns)]])
 
     kind = media.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units {UNITS}"
