@@ -55,12 +55,12 @@ def test_order_and_verdicts(spark):
     assert judged.columns == [*docs.columns, "rejected_by"]
     kept = {r.doc_id for r in judged.where("rejected_by is null").collect()}
     assert kept == {i for i, t in enumerate(texts) if brute(t)[-1]}
-    back = docs.select(Q.cascade(list(reversed(Q.RULES)), Q.text_or_empty("text")).isNull().alias("k"), "doc_id")
+    back = docs.select(Q.cascade(list(reversed(Q.RULES)), Q.measured(Q.text_or_empty("text"))).isNull().alias("k"), "doc_id")
     assert {r.doc_id for r in back.where("k").collect()} == kept
 
 
 def test_later_rules_are_not_evaluated(spark):
-    fails = Q.Rule("fails", lambda t: F.raise_error(F.concat(F.lit("evaluated "), t)).isNull())
-    every = Q.Rule("every", lambda t: F.length(t) >= 0)
+    fails = Q.Rule("fails", lambda m: F.raise_error(F.concat(F.lit("evaluated "), m("n_words").cast("string"))).isNull())
+    every = Q.Rule("every", lambda m: m("n_words") >= 0)
     docs = edge_docs(spark)
-    assert docs.select(Q.cascade([every, fails], Q.text_or_empty("text")).alias("r")).where("r = 'every'").count() == len(EDGE_TEXTS)
+    assert docs.select(Q.cascade([every, fails], Q.measured(Q.text_or_empty("text"))).alias("r")).where("r = 'every'").count() == len(EDGE_TEXTS)
