@@ -78,8 +78,8 @@ def _covered(windows: Column, size: int) -> Column:
 
 def n_repeats(words: Column, size: int = WINDOW) -> Column:
     """Of an array of words, those in windows that occur twice or more."""
-    window = lambda h, x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, size)])
-    windows = lambda h: F.slice(F.transform(h, lambda x, i: window(h, x, i)), F.lit(1), F.size(h) - (size - 1))
+    shifted = lambda h: [h, *[F.slice(h, F.lit(k + 1), F.size(h) - k) for k in range(1, size)]]
+    windows = lambda h: F.transform(F.slice(F.arrays_zip(*shifted(h)), F.lit(1), F.size(h) - (size - 1)), lambda x: F.xxhash64(x))
     count = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w, size)).otherwise(0)
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     return F.when(F.size(words) > size, let(hashes, lambda h: let(windows(h), count))).otherwise(0).cast("long")
