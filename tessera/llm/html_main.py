@@ -17,9 +17,12 @@ rules takes out an element around a ``main``, around the page's longest marked
 part, or with more words of its own outside links than the page has around it
 (``nav``, ``aside`` and their like stay out however long); a form around an
 ``article`` is no form. Inside a mark of content such elements, and all tags, weigh nothing, so that the region
-takes in the mark from its first word to its last.
+takes in the mark from its first word to its last. A page with several marks has a
+region for each that the best one does not reach.
 
-Defined results: null or empty html gives an empty text; broken markup is read
+Defined results: null or empty html gives an empty text; a very long page is read
+whole; of regions with equal sums the first counts; an empty table gives an empty
+one (the weights are then the prior ones); broken markup is read
 as far as it goes (an unclosed element ends with its parent, a tag cut off at
 the end is dropped); repeated rows give equal values; a null url stays null;
 other columns are ignored.
@@ -49,7 +52,7 @@ BLOCK = set(
 OUTSIDE = set("script style noscript template iframe head button select option textarea input object svg canvas audio video applet".split())
 APART = set("nav footer aside dialog menu search".split())
 CONTENT = {"article", "main"}
-TEXTUAL = set("p b i em strong h1 h2 h3 h4 h5 h6 br blockquote pre code q cite sub sup table tr td th tbody ul ol li dl dt dd figure figcaption span u".split())
+TEXTUAL = set("a p b i em strong h1 h2 h3 h4 h5 h6 br blockquote pre code q cite sub sup table tr td th tbody ul ol li dl dt dd figure figcaption span u".split())
 OUTSIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 OUTSIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert toast newsletter subscribe subscription signup login popup modal overlay sidebar sidenav rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond reply replies social share sharing related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
@@ -251,7 +254,7 @@ class Weights:
 
     def of(self, t: Token, marked: bool) -> float:
         """marked: the page marks its content, so what lies elsewhere counts as outside."""
-        if t.inside or t.tag and t.place == "in":
+        if t.inside or t.tag and t.place in ("in", "out"):
             return 0.0
         if t.tag:
             return self.tags.get(t.tag, self.tags[""])
@@ -270,7 +273,8 @@ PRIOR_WORDS = {"in": (20, 1), "plain": (20, 5), "link": (2, 20), "out": (1, 20)}
 
 def weights(pages: list[str]) -> Weights:
     """From pages that mark their content; others are passed over. Words weigh at
-    least 0.1 for or against, tags at least 0.01 against."""
+    least 0.1 for or against, tags at least 0.01 against; a word in a link weighs no more
+    against than a plain word weighs for, so that a list of links does not cut a text off."""
     tags: Counter = Counter()
     words: Counter = Counter()
     for page in pages:
@@ -278,9 +282,9 @@ def weights(pages: list[str]) -> Weights:
         if not any(t.place == "in" for t in found):
             continue
         for t in found:
-            if t.tag:
+            if t.tag and t.place != "out":
                 tags[t.tag, t.place == "in"] += 1
-            else:
+            elif not t.tag:
                 words["link" if t.place == "link" else "plain" if t.place != "out" else "out", t.place == "in"] += t.words
     names = {n for n, _ in tags} | TEXTUAL
     prior = lambda n: PRIOR_TEXTUAL if n in TEXTUAL else PRIOR_OTHER
@@ -290,6 +294,7 @@ def weights(pages: list[str]) -> Weights:
     for place, (i, o) in PRIOR_WORDS.items():
         w = _odds(i + words[place, True], o + words[place, False])
         by_word[place] = max(0.1, w) if place in ("in", "plain") else min(-0.1, w)
+    by_word["link"] = max(by_word["link"], -by_word["plain"])
     return Weights(by_tag, by_word)
 
 
@@ -305,11 +310,27 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def regions(found: list[Token], w: Weights) -> list[tuple[int, int]]:
+    """The best region; where the page marks its content, also the best regions of what
+    is left before and after it, as long as they hold marked words."""
+    marked = any(t.place == "in" and t.words for t in found)
+    scores = [w.of(t, marked) for t in found]
+    start, end = best_region(scores)
+    out = [(start, end)] if end else []
+    rest = [(0, start), (end, len(found))] if end and marked else []
+    while rest:
+        a, b = rest.pop()
+        if any(t.place == "in" and t.words for t in found[a:b]):
+            start, end = best_region(scores[a:b])
+            if end:
+                out.append((a + start, a + end))
+                rest += [(a, a + start), (a + end, b)]
+    return sorted(out)
+
+
 def main_text(page: str | None, w: Weights) -> str:
     found = tokens(page or "")
-    marked = any(t.place == "in" and t.words for t in found)
-    start, end = best_region([w.of(t, marked) for t in found])
-    touched = {t.block for t in found[start:end] if t.words and t.place != "out"}
+    touched = {t.block for start, end in regions(found, w) for t in found[start:end] if t.words and t.place != "out"}
     blocks: dict[int, list[str]] = {}
     for t in found:
         if not t.tag and t.block in touched and t.place != "out":

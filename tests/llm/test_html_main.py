@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.llm import html_main as H
 
 W = H.weights([])
@@ -135,3 +137,35 @@ def test_sample_of_distinct_marked_pages(spark, monkeypatch):
         got = H.learn(spark.createDataFrame(copies, schema), sample)
         assert len(got) == len(set(got)) == min(sample, 900)
     assert H.learn(spark.createDataFrame(copies * 2, schema)) == H.learn(spark.createDataFrame(copies, schema))
+
+
+def test_several_articles_are_kept():
+    links = "".join(f"<li><a href='/{i}'>two words</a></li>" for i in range(30))
+    page = f"<body><article><p>{'first ' * 20}</p></article><ul>{links}</ul><article><p>{'second ' * 15}</p></article></body>"
+    for w in (H.weights([]), H.weights([page])):
+        assert H.main_text(page, w) == ("first " * 20).strip() + "\n" + ("second " * 15).strip()
+
+
+def test_a_list_of_links_inside_the_text_of_an_unmarked_page():
+    links = "".join(f"<li><a href='/{i}'>two words</a></li>" for i in range(12))
+    before, after = "before " * 60, "after " * 40
+    page = f"<body><div><p>{before}</p><ul>{links}</ul><p>{after}</p></div></body>"
+    text = H.main_text(page, H.weights([]))
+    assert text.startswith("before") and text.endswith("after")
+
+
+def test_the_scan_finds_the_content_without_marks(spark):
+    """Pages of which the marks were taken off, through the operator's own path."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(?i)(</?)(article|main)\\b", "$1div"))
+    want = {r.page_id: r.text for r in H.extract(pages).collect()}
+    got = {r.page_id: r.text for r in H.extract(bare).collect()}
+    assert sum(got[i] == t for i, t in want.items()) > 0.97 * len(want)
+
+
+def test_long_and_deep_pages():
+    deep = "<div>" * 20_000 + "<p>" + "word " * 200 + "</p>" + "</div>" * 20_000
+    long = "<body>" + "<p>some words of a paragraph</p>" * 40_000 + "</body>"
+    w = H.weights([])
+    assert H.main_text(deep, w) == ("word " * 200).strip()
+    assert H.main_text(long, w).count("\n") == 39_999
