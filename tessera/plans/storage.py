@@ -29,15 +29,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is put there goes when the application ends, or at ``clear``."""
+    if not _made:
+        atexit.register(clear)
+    path = f"{shared_folder(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` and reads it back, so that its lineage ends in files that outlive
     executors. They go when the application ends, or at ``clear``. The rows are counted
     as they are written; see ``rows``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(clear)
-    _made.append((spark, path))
+    path = folder(spark, tag)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,3 +69,43 @@ def clear() -> None:
         with contextlib.suppress(Exception):  # the application may have ended
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a file with this text at ``path``, whole or not at all; False if there is one
+    already. The text goes to a file of its own, which is then renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = to.getFileSystem(conf)
+    out = fs.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(own, to, options)
+        return True
+    except Exception as e:
+        fs.delete(own, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+
+
+def published(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names of the files that ``publish`` put into a folder, with their paths."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return {n: f"{path}/{n}" for n in names if not n.endswith((".tmp", ".crc"))}
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(x & 0xFF for x in stream.readAllBytes()).decode()
+    finally:
+        stream.close()
