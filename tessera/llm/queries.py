@@ -59,6 +59,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_report(table(spark, sf_dir, "documents"))
 
 
+def token_counts_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's rollup with the versions that SQL can count."""
+    from .token_rollup import pattern_report
+
+    return pattern_report(table(spark, sf_dir, "documents"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_main import extract
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_minhash_near_dedup,
         op7_quality_cascade,
         op8_token_counts,
+        token_counts_by_pattern,
         op9_html_main_text,
         op10_best_fit_packing,
     )
@@ -89,5 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_cascade": quality.SQL,
-    "op8_token_counts": token_rollup.SQL,
+    "token_counts_by_pattern": token_rollup.SQL,
 }

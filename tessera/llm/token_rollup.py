@@ -2,53 +2,59 @@
 
 Changes come in batches: a document is inserted, deleted, or its count revised,
 for a tokenizer version. A batch becomes signed rows, the old state's with a
-minus and the new one's with a plus, and these are summed by source, language
-and tokenizer version. Totals are the sum over batches, so they are never
-recomputed from documents, and batches of different documents may be summed in
-any order.
+minus and the new one's with a plus; summed by source, language and tokenizer
+version they are added to the totals, which are never recomputed from documents.
 
-A batch commits once: its rows go to a folder of their own attempt, then a small
-commit file, created only if absent, names that folder. A second run of a
-committed batch changes nothing, and a run that fails leaves rows that no commit
-names.
+The documents' state is kept in ``BUCKETS`` buckets by a hash of their ids. A batch
+reads and rewrites the buckets that its documents fall into, and no other, nor any
+earlier batch. A version names the folder of each bucket and of the totals, and the
+batches applied; it is a file that appears whole or not at all, and only if no other
+writer took its number. A batch commits once: a second run of it changes nothing; a
+run that fails leaves folders that no version names; of two batches at once the later
+one finds its number taken and is applied anew to what the other left.
 
 Defined results: inserting a document that is there, and revising one that is
 not, both set its state; deleting one that is not there does nothing; of several
 changes to a document in a batch the one with the greatest ``seq`` counts (ties:
 delete, insert, revise, then the greatest counts); null source or language is a
 group of its own; rows without doc_id or tokenizer are ignored, as nothing could
-revise them; a null count is 0; groups whose documents are all gone are left out.
+revise them; a null count is 0; a null text has no tokens and a very long one is
+counted whole; groups whose documents are all gone are left out of the totals; an
+empty batch is a version with the same totals; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, text_or_empty
+from ..plans.storage import folder, publish, published, read_text
+from .common import WORD, materialize, text_or_empty
 
 GROUP = ["source", "lang", "tokenizer"]
-STATE = "doc_id long, tokenizer string, source string, lang string, docs long, tokens long"
-DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
+STATE = "doc_id long, tokenizer string, source string, lang string, tokens long"
+TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
+BUCKETS = 64
+VOCABULARY = "byte_bpe_50k"
 
 #: Tokenizer versions that need no vocabulary: the token's expression.
 PATTERNS = {"words-1": WORD, "lexer-1": r"\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]"}
 
 
-def pattern_counts(docs: DataFrame, text: Column | None = None, patterns: dict[str, str] = PATTERNS) -> DataFrame:
+def pattern_counts(docs: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens): a row per document and version."""
-    t = text_or_empty("text") if text is None else text
+    t = text_or_empty("text")
     counts = F.array(*[F.struct(F.lit(k).alias("tokenizer"), F.regexp_count(t, F.lit(p)).cast("long").alias("tokens")) for k, p in patterns.items()])
     return docs.select("doc_id", "source", "lang", F.inline(counts))
 
 
-def vocabulary_counts(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
-    """The same by a public tokenizer's vocabulary."""
+def vocabulary_counts(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """The same by a public tokenizer's vocabulary, which is then the version."""
     from .packing import tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,96 +69,115 @@ def vocabulary_counts(docs: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
 class Rollup:
     """Totals kept under a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def commits(self) -> dict[str, str]:
-        """Of each committed batch the folder with its rows."""
-        folder = self._path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(folder):
-            stream = self._fs.open(status.getPath())
-            try:
-                text = bytes(x & 0xFF for x in stream.readAllBytes()).decode()
-            finally:
-                stream.close()
-            row = json.loads(text)
-            out[row["batch"]] = row["folder"]
-        return out
-
-    def _read(self, part: str, schema: str) -> DataFrame:
-        folders = [f"{self.root}/{x}/{part}" for _, x in sorted(self.commits().items())]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        """buckets: of a new rollup; one that is there keeps its own."""
+        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+
+    def _current(self) -> tuple[int, dict]:
+        """The latest version and its number."""
+        found = {int(n): path for n, path in published(self.spark, f"{self.root}/versions").items()}
+        if not found:
+            return 0, {"buckets": self._buckets, "state": {}, "totals": None, "batches": []}
+        return max(found), json.loads(read_text(self.spark, found[max(found)]))
+
+    def _publish(self, number: int, version: dict) -> bool:
+        return publish(self.spark, f"{self.root}/versions/{number}", json.dumps(version))
+
+    def _state(self, version: dict, of: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/{x}" for k, x in sorted(version["state"].items()) if of is None or int(k) in of]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
+
+    def _totals(self, version: dict) -> DataFrame:
+        return self.spark.read.schema(TOTALS).parquet(f"{self.root}/{version['totals']}") if version["totals"] else self.spark.createDataFrame([], TOTALS)
 
     def state(self) -> DataFrame:
-        """The documents counted now: (doc_id, tokenizer, source, lang, docs, tokens)."""
-        keys = ["doc_id", "tokenizer", "source", "lang"]
-        return self._read("rows", STATE).groupBy(*keys).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
+        """The documents counted now: (doc_id, tokenizer, source, lang, tokens)."""
+        return self._state(self._current()[1])
 
     def totals(self) -> DataFrame:
-        return self._read("delta", DELTA).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
+        return self._totals(self._current()[1]).where("docs <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """changes: op (insert, delete, revise), doc_id, source, lang, tokenizer, tokens
         and, if a document may occur twice, seq. False if the batch was committed before."""
-        if batch in self.commits():
+        if batch in self._current()[1]["batches"]:
             return False
         if "seq" not in changes.columns:
             changes = changes.withColumn("seq", F.lit(0))
         given = changes.where("doc_id is not null and tokenizer is not null")
         whole = F.struct("seq", "op", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang")
-        last = given.groupBy("doc_id", "tokenizer").agg(F.max(whole).alias("n"))
+        last = materialize(given.groupBy("doc_id", "tokenizer").agg(F.max(whole).alias("n")), "changes")
+        while True:
+            number, version = self._current()
+            if batch in version["batches"]:
+                return False
+            if self._publish(number + 1, self._applied(version, last) | {"batches": [*version["batches"], batch]}):
+                return True
+
+    def _applied(self, version: dict, last: DataFrame) -> dict:
+        """The version with the last changes of a batch."""
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(version["buckets"])).cast("int")
+        touched = sorted(r[0] for r in last.select(bucket).distinct().collect())
         key = ["doc_id", "tokenizer"]
-        minus = self.state().join(last.select(*key), key, "left_semi").select(*key, "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        plus = last.where("n.op <> 'delete'").select(*key, "n.source", "n.lang", F.lit(1).cast("long").alias("docs"), "n.tokens")
-        folder = f"rows/{uuid.uuid4().hex}"
-        at = f"{self.root}/{folder}"
-        signed = minus.union(plus).groupBy(*key, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-        signed.write.parquet(f"{at}/rows")
-        rows = self.spark.read.schema(STATE).parquet(f"{at}/rows")
-        rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{at}/delta")
-        return self._publish(batch, folder)
-
-    def _publish(self, batch: str, folder: str) -> bool:
-        name = uuid.uuid5(uuid.NAMESPACE_URL, batch).hex
-        try:
-            out = self._fs.create(self._path(f"{self.root}/commits/{name}.json"), False)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e):
-                return False  # another run of the batch came first
-            raise
-        out.write(bytearray(json.dumps({"batch": batch, "folder": folder}).encode()))
-        out.close()
-        return True
+        old = self._state(version, touched)
+        new = last.where("n.op <> 'delete'").select(*key, "n.source", "n.lang", "n.tokens")
+        at = f"data/{uuid.uuid4().hex}"
+        left = old.join(last.select(*key), key, "left_anti").select(*new.columns).union(new)
+        left.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{at}/state")
+        there = published(self.spark, f"{self.root}/{at}/state")
+        state = {k: x for k, x in version["state"].items() if int(k) not in touched}
+        state |= {n.split("=")[1]: f"{at}/state/{n}" for n in there if n.startswith("bucket=")}
+        signed = lambda df, sign: df.select(*GROUP, F.lit(sign).cast("long").alias("docs"), (sign * F.col("tokens")).alias("tokens"))
+        gone = old.join(last.select(*key), key, "left_semi")
+        rows = signed(gone, -1).union(signed(new, 1)).union(self._totals(version).select(*GROUP, "docs", "tokens"))
+        rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.root}/{at}/totals")
+        return {"buckets": version["buckets"], "state": state, "totals": f"{at}/totals"}
 
 
 def _distinct_lines() -> Column:
     return F.array_join(F.array_distinct(F.split(text_or_empty("text"), "\n")), "\n")
 
 
-def rollup_report(docs: DataFrame) -> DataFrame:
-    """Totals after four batches over all documents: all are inserted; the counts of
-    those with repeated lines are revised to count each line once; documents whose
-    text a smaller doc_id has are deleted; and the revision comes once more."""
+def _report(docs: DataFrame, count: Callable[[DataFrame], DataFrame], versions: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Totals after the first and after the last of four batches over all documents: all
+    are inserted; the counts of those with repeated lines are revised to count each
+    line once; documents whose text a smaller doc_id has are deleted; and the revision
+    comes once more."""
     spark = docs.sparkSession
-    rollup = Rollup(spark, f"{scratch(spark)}/tessera-rollup-{uuid.uuid4().hex}")
-    rollup.commit("load", pattern_counts(docs).withColumn("op", F.lit("insert")))
+    rollup = Rollup(spark, folder(spark, "rollup"))
+    rollup.commit("load", count(docs).withColumn("op", F.lit("insert")))
+    loaded = rollup.totals()
     repeats = docs.where(F.size(F.array_distinct(F.split("text", "\n"))) < F.size(F.split("text", "\n")))
-    revised = pattern_counts(repeats, _distinct_lines()).withColumn("op", F.lit("revise"))
+    revised = count(repeats.withColumn("text", _distinct_lines())).withColumn("op", F.lit("revise"))
     rollup.commit("distinct lines", revised)
     hashes = docs.where("text is not null").select("doc_id", "source", "lang", F.sha2("text", 256).alias("h"))
-    first = hashes.groupBy("h").agg(F.min("doc_id").alias("first"))
+    first = hashes.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     copies = hashes.join(first, "h").where("doc_id <> first")
-    versions = F.explode(F.array(*map(F.lit, PATTERNS))).alias("tokenizer")
-    rollup.commit("copies", copies.select("doc_id", "source", "lang", versions, F.lit(0).alias("tokens"), F.lit("delete").alias("op")))
+    version = F.explode(F.array(*map(F.lit, versions))).alias("tokenizer")
+    rollup.commit("copies", copies.select("doc_id", "source", "lang", version, F.lit(0).alias("tokens"), F.lit("delete").alias("op")))
     rollup.commit("distinct lines", revised)
-    return rollup.totals()
+    return loaded, rollup.totals()
+
+
+def rollup_report(docs: DataFrame) -> DataFrame:
+    """Per source, language and tokenizer version the documents and tokens after the
+    last batch, and as loaded; versions are a public vocabulary and two patterns."""
+    docs = docs.select("doc_id", "source", "lang", "text")
+    every = lambda d: vocabulary_counts(d).union(pattern_counts(d))
+    loaded, last = _report(docs, every, [VOCABULARY, *PATTERNS])
+    before = loaded.select(*[F.col(c).alias(f"_{c}") for c in GROUP], F.col("docs").alias("loaded_docs"), F.col("tokens").alias("loaded_tokens"))
+    same = [last[c].eqNullSafe(before[f"_{c}"]) for c in GROUP]
+    both = before.join(last, same[0] & same[1] & same[2], "left")
+    now = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("docs", "tokens")]
+    return both.select(*[F.col(f"_{c}").alias(c) for c in GROUP], *now, "loaded_docs", "loaded_tokens")
+
+
+def pattern_report(docs: DataFrame) -> DataFrame:
+    """Totals after the last batch of the versions that are patterns, which SQL can count."""
+    return _report(docs.select("doc_id", "source", "lang", "text"), pattern_counts, list(PATTERNS))[1]
 
 
+#: ``pattern_report`` over the documents table in DuckDB.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents),
 k AS (SELECT source, lang, array_to_string(list_distinct(string_split(coalesce(text, ''), chr(10))), chr(10)) AS t FROM d WHERE text IS NULL OR rn = 1),

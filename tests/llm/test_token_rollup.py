@@ -53,12 +53,41 @@ def test_a_failed_attempt_leaves_no_trace(spark, monkeypatch):
             pass
     assert totals(rollup) == {}
     assert rollup.commit("b", one) and totals(rollup) == {("a", "x", "v1"): (1, 7)}
-    assert not rollup._publish("b", "rows/other") and totals(rollup) == {("a", "x", "v1"): (1, 7)}
+    assert not rollup._publish(1, {}) and totals(rollup) == {("a", "x", "v1"): (1, 7)}
+
+
+def test_two_batches_at_once(spark, monkeypatch):
+    """Another writer commits while a batch is being applied: both count."""
+    root = "file://" + tempfile.mkdtemp()
+    one, other = R.Rollup(spark, root), R.Rollup(spark, root)
+    assert one.commit("load", spark.createDataFrame([("insert", 1, "a", "x", "v1", 7, 0), ("insert", 2, "a", "x", "v1", 5, 0)], CHANGES))
+    applied, runs = one._applied, []
+
+    def late(version, last):
+        runs.append(1)
+        out = applied(version, last)
+        if len(runs) == 1:
+            assert other.commit("second", spark.createDataFrame([("revise", 1, "b", "x", "v1", 9, 0)], CHANGES))
+        return out
+
+    monkeypatch.setattr(one, "_applied", late)
+    assert one.commit("third", spark.createDataFrame([("delete", 1, None, None, "v1", None, 0)], CHANGES))
+    assert len(runs) == 2 and totals(one) == {("a", "x", "v1"): (1, 5)}
+
+
+def test_a_commit_touches_only_its_buckets(spark):
+    rollup = R.Rollup(spark, "file://" + tempfile.mkdtemp(), buckets=8)
+    rollup.commit("load", spark.range(200).selectExpr("'insert' op", "id doc_id", "'a' source", "'x' lang", "'v1' tokenizer", "1L tokens"))
+    before = rollup._current()[1]["state"]
+    rollup.commit("one", spark.createDataFrame([("delete", 3, None, None, "v1", None, 0)], CHANGES))
+    after = rollup._current()[1]["state"]
+    assert len(before) == 8 and sum(before[k] != after[k] for k in before) == 1
+    assert totals(rollup) == {("a", "x", "v1"): (199, 199)}
 
 
 def test_awkward_texts(spark):
     docs = edge_docs(spark)
-    rows = R.rollup_report(docs).where("tokenizer = 'words-1'").collect()
+    rows = R.pattern_report(docs).where("tokenizer = 'words-1'").collect()
     want = defaultdict(lambda: [0, 0])
     seen = set()
     for r in docs.collect():
@@ -72,6 +101,26 @@ def test_awkward_texts(spark):
     assert R.rollup_report(edge_docs(spark, [])).count() == 0
 
 
+def test_report_by_vocabulary(spark):
+    """Against counting every text by itself."""
+    from tessera.llm.packing import tokenizer
+
+    encode = tokenizer("byte_bpe_50k")
+    docs = edge_docs(spark, [*EDGE_TEXTS, "a line\na line\nanother", "a line\na line\nanother"])
+    want, seen = defaultdict(lambda: [0, 0, 0, 0]), set()
+    for r in docs.collect():
+        w = want[r.source, r.lang]
+        w[2], w[3] = w[2] + 1, w[3] + len(encode(r.text or ""))
+        if r.text is None or r.text not in seen:
+            w[0], w[1] = w[0] + 1, w[1] + len(encode("\n".join(dict.fromkeys((r.text or "").split("\n")))))
+        seen.add(r.text)
+    rows = R.rollup_report(docs).collect()
+    assert {(r.source, r.lang): [r.docs, r.tokens, r.loaded_docs, r.loaded_tokens] for r in rows if r.tokenizer == "byte_bpe_50k"} == want
+    patterns = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in R.pattern_report(docs).collect()}
+    assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in rows if r.tokenizer in R.PATTERNS} == patterns
+    assert R.rollup_report(edge_docs(spark, [])).count() == 0
+
+
 def test_vocabulary_counts(spark):
     from tessera.llm.packing import tokenizer
 
