@@ -53,7 +53,8 @@ def _any_word(words: str) -> str:
     return r"\b(" + "|".join(words.split()) + r")\b"
 
 
-def _code_lines(body: Column) -> Column:
+def code_lines(body: Column) -> Column:
+    """The body's lines, trimmed, without empty ones and whole-line comments."""
     lines = F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("#"))
 
@@ -63,16 +64,18 @@ def _operators(lines: Column) -> Column:
     return F.regexp_count(text, F.lit("&&")) + F.regexp_count(text, F.lit(r"\|\|"))
 
 
-def cognitive(body: Column, language: str = "generic") -> Column:
+def cognitive(body: Column, language: str = "generic", lines: Column | None = None) -> Column:
     """Nesting-weighted complexity, at most 100. Only languages with words that end
-    a level ever leave one; for the others the fold has a closed form."""
-    grow = _any_word(NESTING.get(language, NESTING["generic"]))
-    lines = _code_lines(body)
+    a level ever leave one; for the others the fold has a closed form. ``lines``: the
+    body's ``code_lines``, where several languages share them."""
+    words = "|".join(NESTING.get(language, NESTING["generic"]).split())
+    lines = code_lines(body) if lines is None else lines
     if language not in UNNESTING:
-        n = F.size(F.filter(lines, lambda x: x.rlike(grow))).cast("long")
+        # each line at most once: the expression begins where a line does
+        n = F.regexp_count(F.array_join(lines, "\n"), F.lit(rf"(?dm)^[^\n]*?\b({words})\b")).cast("long")
         total = F.expr("0L") + n * (n + 1) / 2 + _operators(lines)
     else:
-        shrink = _any_word(UNNESTING[language])
+        grow, shrink = rf"\b({words})\b", _any_word(UNNESTING[language])
         start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("nest"))
 
         def step(a: Column, x: Column) -> Column:

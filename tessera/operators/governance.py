@@ -77,6 +77,13 @@ def cochange(commits: DataFrame, limit: int | None = 200) -> DataFrame:
     return counts.orderBy(F.desc("n"), "file1", "file2").limit(limit) if limit else counts
 
 
+def cochange_files(pairs: DataFrame, files: DataFrame, limit: int = 50) -> DataFrame:
+    """The most frequent pairs (file1, file2, n) with both files' paths and languages."""
+    of = lambda k: files.select(F.col("id").alias(f"file{k}"), F.col("relative_path").alias(f"path{k}"), F.col("language").alias(f"language{k}"))
+    named = pairs.join(of(1), "file1").join(of(2), "file2")
+    return named.orderBy(F.desc("n"), "file1", "file2").limit(limit).select("path1", "language1", "path2", "language2", "n")
+
+
 HUNK = r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 

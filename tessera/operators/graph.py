@@ -205,3 +205,11 @@ def communities(calls: DataFrame, symbols: DataFrame, least: int = 2) -> DataFra
 
 def visual_edges(imports: DataFrame) -> DataFrame:
     return imports.where("src <> dst").distinct()
+
+
+def language_chips(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(language, files, connections): what a view's legend counts."""
+    edges = visual_edges(imports)
+    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("d"))
+    both = files.select("id", F.coalesce("language", F.lit("unknown")).alias("language")).join(ends, "id", "left")
+    return both.groupBy("language").agg(F.count("*").alias("files"), F.sum(F.coalesce("d", F.lit(0))).alias("connections"))

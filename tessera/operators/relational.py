@@ -86,6 +86,11 @@ def complexity_report(symbols_v: DataFrame, least: int = 5, file: str = "", limi
     return shown.orderBy(F.desc("complexity_cyclomatic"), F.desc("complexity_cognitive"), "id").limit(limit)
 
 
+def complexity_footer(shown: DataFrame) -> DataFrame:
+    """(average, highest) cyclomatic complexity of the rows that a report shows."""
+    return shown.agg(F.round(F.avg("complexity_cyclomatic"), 6).alias("average"), F.max("complexity_cyclomatic").alias("highest"))
+
+
 def maintainability(symbols: DataFrame) -> DataFrame:
     mi = code.maintainability(F.col("complexity_cyclomatic"), F.col("start_line"), F.col("end_line"))
     return symbols.select("id", F.round(mi, 6).alias("maintainability"))

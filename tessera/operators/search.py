@@ -165,3 +165,13 @@ def embedding_text(symbols: DataFrame) -> DataFrame:
 def backlog(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """Ids without a vector. items: id; vectors: id."""
     return items.select("id").join(vectors.select("id"), "id", "left_anti")
+
+
+def name_fallback(symbols_v: DataFrame, query: str, limit: int = 20, kinds: list[str] | None = None) -> DataFrame:
+    """Symbols whose name or qualified name contains the query, in any case: for
+    queries without a word that the index knows."""
+    q = query.lower()
+    rows = symbols_v.where(F.lower("name").contains(q) | F.lower("qualified_name").contains(q))
+    if kinds:
+        rows = rows.where(F.col("kind").isin(kinds))
+    return rows.select("id", "name", "kind", "relative_path").orderBy("id").limit(limit)

@@ -58,7 +58,7 @@ class Bound:
                 key.alias("id"),
                 ((key * key) % F.col("_n")).alias("file_id"),
                 name.alias("name"),
-                F.lit(None).cast("string").alias("qualified_name"),
+                F.concat_ws("/", F.lower("p_type"), "p_name").alias("qualified_name"),
                 kind.alias("kind"),
                 F.col("p_size").alias("start_line"),
                 (F.col("p_size") + (key % 40).cast("int")).alias("end_line"),
@@ -115,6 +115,7 @@ CTE = {
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "symbols": f"""SELECT p_partkey AS id, (p_partkey * p_partkey) % (SELECT count(*) FROM supplier) AS file_id,
   {_case("p_partkey", NAMES, 97)} ELSE replace(p_name, ' ', '_') || '_' || (p_partkey % 500) END AS name,
+  lower(p_type) || '/' || p_name AS qualified_name,
   CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'function' WHEN p_type = 'SMALL' THEN 'method' WHEN p_type = 'MEDIUM' THEN 'class' WHEN p_type = 'PROMO' THEN 'interface' ELSE 'variable' END AS kind,
   p_size AS start_line, p_size + CAST(p_partkey % 40 AS INT) AS end_line,
   CASE WHEN p_partkey % 3 = 0 THEN 'export ' || p_name ELSE p_name END AS signature,

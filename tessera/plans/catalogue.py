@@ -233,6 +233,33 @@ def degrees(b: Bound) -> DataFrame:
     return graph.degrees(b.calls)
 
 
+@query(f"SELECT id, name, kind, relative_path FROM ({VIEW}) WHERE contains(lower(name), 'getitem') OR contains(lower(qualified_name), 'getitem') ORDER BY id LIMIT 20", "symbols files")
+def name_fallback(b: Bound) -> DataFrame:
+    return search.name_fallback(_view(b), "GetItem", 20)
+
+
+_SHOWN = f"SELECT complexity_cyclomatic AS c FROM ({VIEW}) WHERE complexity_cyclomatic >= 5 ORDER BY complexity_cyclomatic DESC, complexity_cognitive DESC, id LIMIT 30"
+
+
+@query(f"SELECT round(avg(c), 6) AS average, max(c) AS highest FROM ({_SHOWN})", "symbols files")
+def complexity_footer(b: Bound) -> DataFrame:
+    return relational.complexity_footer(relational.complexity_report(_view(b)))
+
+
+_PAIRS = "SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL"
+
+
+@query(f"SELECT f.relative_path AS path1, f.language AS language1, g.relative_path AS path2, g.language AS language2, n FROM ({_PAIRS}) JOIN files f ON a = f.id JOIN files g ON b = g.id ORDER BY n DESC, a, b LIMIT 50", "files")
+def cochange_files(b: Bound) -> DataFrame:
+    commits = b.table("lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("file"))
+    return gov.cochange_files(gov.cochange(commits, None), b.files)
+
+
+@query("SELECT coalesce(language, 'unknown') AS language, count(*) AS files, sum(d)::BIGINT AS connections FROM files JOIN (SELECT id, (SELECT count(DISTINCT src) FROM imports WHERE dst = f.id AND src <> f.id) + (SELECT count(DISTINCT dst) FROM imports WHERE src = f.id AND dst <> f.id) AS d FROM files f) USING (id) GROUP BY ALL", "files imports")
+def language_chips(b: Bound) -> DataFrame:
+    return graph.language_chips(b.imports, b.files)
+
+
 @query("SELECT DISTINCT src, dst FROM imports WHERE src <> dst", "imports")
 def visual_edges(b: Bound) -> DataFrame:
     return graph.visual_edges(b.imports)
@@ -255,19 +282,33 @@ def _cognitive_sql(lang: str) -> str:
 _BRACE = [x for x in code.NESTING if x not in code.UNNESTING]
 
 
-@query(
+_CODE_LINES = (
     "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '#')) AS l FROM documents), "
     "o AS (SELECT doc_id, l, len(regexp_extract_all(array_to_string(l, chr(10)), '&&')) + len(regexp_extract_all(array_to_string(l, chr(10)), '\\|\\|')) AS ops FROM l) "
-    "SELECT doc_id, " + ", ".join(f"{_cognitive_sql(x)} AS {x}" for x in _BRACE) + " FROM o"
 )
+
+
+@query(_CODE_LINES + "SELECT doc_id, " + ", ".join(f"{_cognitive_sql(x)} AS {x}" for x in _BRACE) + " FROM o")
 def cognitive_brace(b: Bound) -> DataFrame:
-    return b.documents.select("doc_id", *[code.cognitive(F.col("text"), x).alias(x) for x in _BRACE])
+    return _cognitive(b, _BRACE)
 
 
-@query()
+def _cognitive(b: Bound, languages: list[str]) -> DataFrame:
+    cleaned = b.documents.select("doc_id", "text", code.code_lines(F.col("text")).alias("_lines"))
+    return cleaned.select("doc_id", *[code.cognitive(F.col("text"), x, F.col("_lines")).alias(x) for x in languages])
+
+
+def _nested_sql(lang: str) -> str:
+    words = lambda x: f"'\\b({'|'.join(x.split())})\\b'"
+    row = f"{{'t': 0::BIGINT, 'n': 0::BIGINT, 'u': regexp_matches(x, {words(code.NESTING[lang])}), 'd': regexp_matches(x, {words(code.UNNESTING[lang])}) OR x IN ('}}', 'end')}}"
+    fold = "{'t': a.t + CASE WHEN x.u THEN 1 + a.n ELSE 0 END, 'n': CASE WHEN x.d THEN greatest(a.n + x.u::BIGINT - 1, 0) ELSE a.n + x.u::BIGINT END, 'u': false, 'd': false}"
+    return f"CAST(least(list_reduce(list_prepend({{'t': 0::BIGINT, 'n': 0::BIGINT, 'u': false, 'd': false}}, list_transform(l, lambda x: {row})), lambda a, x: {fold}).t + ops, 100) AS INT)"
+
+
+@query(_CODE_LINES + "SELECT doc_id, " + ", ".join(f"{_nested_sql(x)} AS {x}" for x in code.UNNESTING) + " FROM o")
 def cognitive_nested(b: Bound) -> DataFrame:
-    """Python and Ruby leave levels, so this is a fold over lines; tests compare with a plain loop."""
-    return b.documents.select("doc_id", *[code.cognitive(F.col("text"), x).alias(x) for x in code.UNNESTING])
+    """Python and Ruby leave levels, so this is a fold over lines."""
+    return _cognitive(b, list(code.UNNESTING))
 
 
 # ---------------------------------------------------------------- text and vectors

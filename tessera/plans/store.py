@@ -1,16 +1,20 @@
 """The index as versioned Parquet snapshots: a change writes new tables, then a
-small file that names them, so readers see a whole version and a failed change none."""
+small file that names them, so readers see a whole version and a failed change none.
+A change is worked out from one version and published as the next; if another writer
+took that number, it is worked out again from what that one left."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import governance
 from ..sources import ingest
+from .storage import publish, published, read_text
 
 TABLES = {
     "projects": "id string, name string, path string, created_at long, indexed_at long",
@@ -24,48 +28,60 @@ TABLES = {
 }
 
 
+class Version:
+    """The tables of one version."""
+
+    def __init__(self, spark: SparkSession, root: str, number: int, named: dict) -> None:
+        self.spark, self.root, self.number, self.named = spark, root, number, named
+
+    def table(self, name: str) -> DataFrame:
+        folder = self.named["tables"].get(name)
+        schema = TABLES[name]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], schema)
+
+
+Change = Callable[[Version], dict[str, DataFrame]]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        folder = self._path(f"{self.root}/versions")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
-
-    def _current(self) -> dict:
-        versions = self._versions()
-        if not versions:
-            return {"tables": {}, "batches": []}
-        stream = self._fs.open(self._path(f"{self.root}/versions/{versions[-1]}"))
-        try:
-            return json.loads(bytes(x & 0xFF for x in stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+
+    def latest(self) -> Version:
+        found = {int(n): path for n, path in published(self.spark, f"{self.root}/versions").items()}
+        number = max(found, default=0)
+        return Version(self.spark, self.root, number, json.loads(read_text(self.spark, found[number])) if number else {"tables": {}})
 
     def table(self, name: str) -> DataFrame:
-        folder = self._current()["tables"].get(name)
-        schema = TABLES[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], schema)
+        return self.latest().table(name)
+
+    def applied(self, batch: str) -> bool:
+        return batch in published(self.spark, f"{self.root}/batches")
+
+    def change(self, work: Change, batch: str | None = None) -> None:
+        """A new version with the tables that ``work`` makes of the latest one. A batch is
+        applied once: its name is in the version that has it, and then a file of its own,
+        so that no list of all batches is carried along."""
+        while True:
+            now = self.latest()
+            if batch and (self.applied(batch) or now.named.get("batch") == batch):
+                return
+            if now.named.get("batch"):  # its writer may have ended before it left the file
+                publish(self.spark, f"{self.root}/batches/{now.named['batch']}", str(now.number))
+            folder = uuid.uuid4().hex
+            tables = work(now)
+            for name, df in tables.items():
+                columns = [c.split()[0] for c in TABLES[name].split(", ")]
+                df.select(*columns).write.parquet(f"{self.root}/data/{folder}/{name}")
+            named = {"tables": now.named["tables"] | {name: f"data/{folder}/{name}" for name in tables}, "batch": batch}
+            if publish(self.spark, f"{self.root}/versions/{now.number + 1}", json.dumps(named)):
+                if batch:
+                    publish(self.spark, f"{self.root}/batches/{batch}", str(now.number + 1))
+                return
 
     def write(self, tables: dict[str, DataFrame], batch: str | None = None) -> None:
-        """A new version with these tables replaced. A batch that a version names is not applied again."""
-        now = self._current()
-        if batch in now["batches"]:
-            return
-        folder = uuid.uuid4().hex
-        for name, df in tables.items():
-            columns = [c.split()[0] for c in TABLES[name].split(", ")]
-            df.select(*columns).write.parquet(f"{self.root}/data/{folder}/{name}")
-        now["tables"] |= {name: f"data/{folder}/{name}" for name in tables}
-        if batch:
-            now["batches"] = [*now["batches"], batch][-1000:]
-        number = (self._versions() or [0])[-1] + 1
-        out = self._fs.create(self._path(f"{self.root}/versions/{number}"), False)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
+        """A new version with these tables replaced."""
+        self.change(lambda now: tables, batch)
 
     def index(self, root: str, name: str | None = None, now_ms: int = 0) -> str:
         """Indexes a source tree in full and returns its project id."""
@@ -73,9 +89,15 @@ class Store:
         files = ingest.scan(self.spark, root)
         project = self.spark.range(1).select(ingest.project_id(plain).alias("id"), F.lit(name or plain.rsplit("/", 1)[-1]).alias("name"), F.lit(plain).alias("path"), F.lit(now_ms).cast("long").alias("created_at"), F.lit(now_ms).cast("long").alias("indexed_at"))
         pid = project.first()["id"]
-        self.drop_project(pid)
-        self.write({"projects": self.table("projects").unionByName(project)})
-        self.replace_files(files)
+        new = ingest.index(files)
+
+        def work(now: Version) -> dict[str, DataFrame]:
+            known = now.table("projects").where(F.col("id") == pid).select(F.col("created_at").alias("_since")).first()
+            row = project if known is None else project.withColumn("created_at", F.lit(known["_since"]).cast("long"))
+            gone = now.table("files").where(F.col("project_id") == pid).select("id")
+            return {"projects": now.table("projects").where(F.col("id") != pid).unionByName(row)} | self._replaced(now, new, gone)
+
+        self.change(work)
         return pid
 
     def changes(self, root: str) -> DataFrame:
@@ -97,35 +119,52 @@ class Store:
 
     def replace_files(self, files: DataFrame, batch: str | None = None, gone: DataFrame | None = None) -> None:
         """Puts these files in place of what was stored for them, without ``gone``, and resolves all references anew."""
-        if batch and batch in self._current()["batches"]:
+        if batch and self.applied(batch):
             return
         new = ingest.index(files)
+        self.change(lambda now: self._replaced(now, new, gone), batch)
+
+    def _replaced(self, now: Version, new: dict[str, DataFrame], gone: DataFrame | None) -> dict[str, DataFrame]:
+        """The tables with new files in place of old ones, without ``gone``. A vector stays
+        only with a symbol whose text is as it was."""
         ids = new["files"].select(F.col("id").alias("_gone"))
         if gone is not None:
             ids = ids.union(gone.select("id"))
-        left = lambda t, key: self.table(t).join(ids, F.col(key) == F.col("_gone"), "left_anti")
+        left = lambda t, key: now.table(t).join(ids, F.col(key) == F.col("_gone"), "left_anti")
         all_files = left("files", "id").unionByName(new["files"])
         symbols = left("symbols", "file_id").unionByName(new["symbols"])
         calls = left("calls", "from_file_id").unionByName(new["calls"]).drop("to_symbol_id")
         names = governance.resolve_symbols(calls.select("project_id", "call_name"), symbols)
         targets = left("imports", "file_id").unionByName(new["imports"]).select("file_id", "target")
-        self.write({"files": all_files, "symbols": symbols, "calls": calls.join(names, ["project_id", "call_name"], "left"), "imports": governance.resolve_imports(targets, all_files)}, batch)
+        out = {"files": all_files, "symbols": symbols, "calls": calls.join(names, ["project_id", "call_name"], "left"), "imports": governance.resolve_imports(targets, all_files)}
+        if now.named["tables"].get("vectors"):
+            from ..operators.search import embedding_text
+
+            same = embedding_text(now.table("symbols")).intersect(embedding_text(symbols)).select("id")
+            out["vectors"] = now.table("vectors").join(same, "id", "left_semi")
+        return out
 
     def drop_project(self, pid: str) -> None:
-        files = self.table("files")
+        self.change(lambda now: self._dropped(now, pid))
+
+    def _dropped(self, now: Version, pid: str) -> dict[str, DataFrame]:
+        files = now.table("files")
         ids = files.where(F.col("project_id") == pid).select(F.col("id").alias("_k"))
-        other = lambda t: self.table(t).where(F.col("project_id") != pid)
-        imports = self.table("imports")
+        other = lambda t: now.table(t).where(F.col("project_id") != pid)
+        imports = now.table("imports")
         left = imports.join(ids, imports.file_id == F.col("_k"), "left_anti")
         ends = left.join(ids, left.to_file_id == F.col("_k"), "left").select("file_id", "target", F.when(F.col("_k").isNull(), F.col("to_file_id")).alias("to_file_id"))
-        gone = self.table("symbols").where(F.col("project_id") == pid).select("id")
-        vectors = self.table("vectors").join(gone, "id", "left_anti")
-        self.write({"projects": self.table("projects").where(F.col("id") != pid), "files": other("files"), "symbols": other("symbols"), "calls": other("calls"), "imports": ends, "rules": other("rules"), "adrs": other("adrs"), "vectors": vectors})
+        gone = now.table("symbols").where(F.col("project_id") == pid).select("id")
+        vectors = now.table("vectors").join(gone, "id", "left_anti")
+        return {"projects": now.table("projects").where(F.col("id") != pid), "files": other("files"), "symbols": other("symbols"), "calls": other("calls"), "imports": ends, "rules": other("rules"), "adrs": other("adrs"), "vectors": vectors}
 
     def embed(self, embed=ingest.hashed_vectors) -> None:
         """Vectors for the symbols that have none."""
         from ..operators.search import backlog, embedding_text
 
-        text = embedding_text(self.table("symbols"))
-        todo = text.join(backlog(text, self.table("vectors")), "id", "left_semi")
-        self.write({"vectors": self.table("vectors").unionByName(embed(todo))})
+        def work(now: Version) -> dict[str, DataFrame]:
+            text, vectors = embedding_text(now.table("symbols")), now.table("vectors")
+            todo = text.join(backlog(text, vectors), "id", "left_semi")
+            return {"vectors": vectors.unionByName(embed(todo))}
+
+        self.change(work)

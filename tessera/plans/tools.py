@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import governance as gov
 from ..operators import graph, metrics, relational, search
 from ..sources import ingest
-from .store import Store
+from .store import TABLES, Store, Version
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -269,17 +269,21 @@ def get_architecture(store: Store, project_id: str) -> DataFrame:
 
 @tool
 def manifesto(store: Store, project_id: str, action: str = "list", rule_name: str = "", metric: str = "", warn_threshold: float | None = None, fail_threshold: float | None = None) -> DataFrame:
-    rules = store.table("rules")
     if action == "add":
         if not rule_name or not metric:
             raise ValueError("rule_name and metric are required")
-        new = store.spark.createDataFrame([(project_id, rule_name, metric, warn_threshold, fail_threshold)], rules.schema)
-        mine = rules.where(F.col("project_id") == project_id)
-        store.write({"rules": rules.where(F.col("project_id") != project_id).unionByName(gov.add_rule(mine, new))})
+        new = store.spark.createDataFrame([(project_id, rule_name, metric, warn_threshold, fail_threshold)], TABLES["rules"])
+
+        def add(now: Version) -> dict[str, DataFrame]:
+            rules = now.table("rules")
+            mine = rules.where(F.col("project_id") == project_id)
+            return {"rules": rules.where(F.col("project_id") != project_id).unionByName(gov.add_rule(mine, new))}
+
+        store.change(add)
     elif action == "remove":
         if not rule_name:
             raise ValueError("rule_name is required")
-        store.write({"rules": rules.where(~((F.col("project_id") == project_id) & (F.col("rule_name") == rule_name)))})
+        store.change(lambda now: {"rules": now.table("rules").where(~((F.col("project_id") == project_id) & (F.col("rule_name") == rule_name)))})
     elif action != "list":
         raise ValueError(f"unknown action {action}; use list, add or remove")
     return Project(store, project_id).rules.orderBy("rule_name")
@@ -299,22 +303,29 @@ def adr_list(store: Store, project_id: str, status: str = "") -> DataFrame:
 
 @tool
 def adr_create(store: Store, project_id: str, title: str, context: str | None = None, decision: str | None = None, consequences: str | None = None, status: str = "proposed", now_ms: int = 0) -> DataFrame:
-    all_ = store.table("adrs")
-    mine = gov.adr_create(all_.where(F.col("project_id") == project_id), title, context, decision, consequences, status)
-    new = mine.withColumn("project_id", F.lit(project_id)).withColumns({c: F.coalesce(c, F.lit(now_ms).cast("long")) for c in ("created_at", "updated_at")})
-    store.write({"adrs": all_.where(F.col("project_id") != project_id).unionByName(new)})
+    def create(now: Version) -> dict[str, DataFrame]:
+        all_ = now.table("adrs")
+        mine = gov.adr_create(all_.where(F.col("project_id") == project_id), title, context, decision, consequences, status)
+        new = mine.withColumn("project_id", F.lit(project_id)).withColumns({c: F.coalesce(c, F.lit(now_ms).cast("long")) for c in ("created_at", "updated_at")})
+        return {"adrs": all_.where(F.col("project_id") != project_id).unionByName(new)}
+
+    store.change(create)
     return adr_list(store, project_id)
 
 
 @tool
 def adr_update(store: Store, project_id: str, number: int, now_ms: int = 0, **fields: str) -> DataFrame:
-    all_ = store.table("adrs")
     kinds = {"title", "status", "context_text", "decision", "consequences"}
     if unknown := set(fields) - kinds:
         raise ValueError(f"unknown fields {sorted(unknown)}")
     change = store.spark.createDataFrame([(number, *fields.values(), now_ms)], "number int, " + "".join(f"{k} string, " for k in fields) + "updated_at long")
-    mine = gov.adr_update(all_.where(F.col("project_id") == project_id), change)
-    store.write({"adrs": all_.where(F.col("project_id") != project_id).unionByName(mine)})
+
+    def update(now: Version) -> dict[str, DataFrame]:
+        all_ = now.table("adrs")
+        mine = gov.adr_update(all_.where(F.col("project_id") == project_id), change)
+        return {"adrs": all_.where(F.col("project_id") != project_id).unionByName(mine)}
+
+    store.change(update)
     return adr_list(store, project_id)
 
 

@@ -1,10 +1,12 @@
 """Symbols, imports and calls of one source file. Python is parsed; for other
-languages declarations are found line by line and scopes by brace, indent or end."""
+languages declarations are found line by line (a brace may stand on the next line)
+and scopes by brace, indent or end."""
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -34,20 +36,35 @@ class Parsed:
     calls: list[tuple[int, str, int]] = field(default_factory=list)
 
 
+#: What precedes a method without a body, in languages that declare it with its type.
+_NO_TYPE = "return|new|throw|await|yield|else|case|goto|using|import|package"
+
+
 @cache
 def _declarations(language: str) -> list[tuple[str, re.Pattern]]:
     _, before, words = SYNTAX[language]
     lead = rf"^(\s*)(?:(?:{'|'.join(before.split())})\s+)*" if before else r"^(\s*)"
-    receiver = r"(?:\(\s*\w+\s+\*?\w+\s*\)\s*)?" if language == "go" else ""
-    out = [(kind, re.compile(rf"{lead}(?:{word})\s+{receiver}(?:self\.)?([A-Za-z_]\w+[?!]?)\s*(\([^)]*\))?")) for kind, word in words.items()]
+    out = [(kind, re.compile(rf"{lead}(?:{word})\s+(?:self\.)?([A-Za-z_]\w+[?!]?)\s*(\([^)]*\))?")) for kind, word in words.items()]
+    if language == "go":
+        out.insert(0, ("interface", re.compile(r"^(\s*)(?:type\s+)?([A-Za-z_]\w+)\s+interface\s*\{()")))
+        out.insert(0, ("method", re.compile(r"^(\s*)func\s*\([^)]*\)\s*([A-Za-z_]\w+)\s*(\([^)]*\))?")))
     if language in ("typescript", "javascript"):
         out.append(("function", re.compile(r"^(\s*)(?:export\s+)?(?:const|let|var)\s+([A-Za-z_]\w+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[^=]+)?=>|\w+\s*=>)()")))
     if language in BARE:
         kind = "function" if language in ("c", "cpp") else "method"
         out.append((kind, re.compile(r"^(\s*)(?:[\w:<>,*&\[\]]+\s+)*?[*&]*(?:\w+::)?([A-Za-z_]\w+)\s*(\([^;{}]*\))[^;{}=]*\{\s*[^{}]*\}?\s*$")))
+    if language in ("java", "csharp"):
+        out.append(("method", re.compile(rf"^(\s*)(?!\s*(?:{_NO_TYPE})\b)(?:[\w<>\[\],.?]+\s+)+([A-Za-z_]\w+)\s*(\([^;{{}}()=]*\))\s*(?:throws\s+[\w., ]+)?;\s*$")))
     return out
 
 
+@cache
+def _words(language: str) -> frozenset[str]:
+    """Words of declarations, which are no calls. In interfaces there are only signatures."""
+    _, before, words = SYNTAX[language]
+    return frozenset(before.split()) | {x for w in words.values() for x in w.split("|")}
+
+
 def _strip(lines: list[str], language: str) -> list[str]:
     """The lines without comments: whole-line ones, and blocks from a line that begins one."""
     mark = "#" if language in ("python", "ruby") else "//"
@@ -65,21 +82,34 @@ def _strip(lines: list[str], language: str) -> list[str]:
     return out
 
 
-def _end(lines: list[str], at: int, how: str) -> int:
+def _braces(lines: list[str]) -> tuple[list[int], list[int]]:
+    """(lines of opening braces in order, lines of those that close them); both from 0."""
+    opens, closes, stack = [], [], []
+    for k, line in enumerate(lines):
+        for ch in line:
+            if ch == "{":
+                stack.append(len(opens))
+                opens.append(k)
+                closes.append(len(lines) - 1)
+            elif ch == "}" and stack:
+                closes[stack.pop()] = k
+    return opens, closes
+
+
+def _end(lines: list[str], at: int, how: str, braces: tuple[list[int], list[int]]) -> int:
     """The last line of the scope that begins on line ``at`` (from 0); as a number from 1."""
-    indent = len(lines[at]) - len(lines[at].lstrip())
     if how == "brace":
-        depth, opened = 0, False
-        for k in range(at, len(lines)):
-            for ch in lines[k]:
-                if ch == "{":
-                    depth, opened = depth + 1, True
-                elif ch == "}":
-                    depth -= 1
-            if opened and depth <= 0 or not opened and lines[k].rstrip().endswith(";"):
+        i = bisect_left(braces[0], at)
+        if i == len(braces[0]):
+            return at + 1
+        depth = 0
+        for k in range(at, braces[0][i]):  # a scope opens on the declaration's last line or on the next
+            depth += lines[k].count("(") - lines[k].count(")")
+            following = lines[k + 1].strip()
+            if lines[k].rstrip().endswith(";") or depth <= 0 and following and not following.startswith("{"):
                 return k + 1
-        return len(lines) if opened else at + 1
-    last = at
+        return braces[1][i] + 1
+    indent, last = len(lines[at]) - len(lines[at].lstrip()), at
     for k in range(at + 1, len(lines)):
         if lines[k].strip():
             here = len(lines[k]) - len(lines[k].lstrip())
@@ -96,34 +126,60 @@ def _with_bodies(found: Parsed, lines: list[str]) -> Parsed:
     return found
 
 
-def _owner(symbols: list[Symbol], line: int) -> int:
-    """The innermost symbol around a line."""
-    around = [i for i, s in enumerate(symbols) if s.start_line <= line <= s.end_line]
-    return max(around, key=lambda i: (symbols[i].start_line, -symbols[i].end_line, i), default=-1)
+def _owners(symbols: list[Symbol], n: int) -> list[int]:
+    """Of each line, from 1, the innermost symbol around it, or -1."""
+    order = sorted(range(len(symbols)), key=lambda i: (symbols[i].start_line, -symbols[i].end_line, i))
+    out, stack, j = [-1] * (n + 1), [], 0
+    for line in range(1, n + 1):
+        while stack and symbols[stack[-1]].end_line < line:
+            stack.pop()
+        while j < len(order) and symbols[order[j]].start_line == line:
+            stack.append(order[j])
+            j += 1
+        out[line] = next((i for i in reversed(stack) if symbols[i].end_line >= line), -1)
+    return out
+
+
+#: Languages whose functions in a class are methods, and what makes a class there.
+_METHODS_IN = {"python": ("class",), "ruby": ("class", "module"), "php": ("class", "interface"), "cpp": ("class",), "rust": ()}
+_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b")
 
 
 def extract_lines(content: str, language: str) -> Parsed:
     how = SYNTAX[language][0]
     raw = content.split("\n")
     lines = _strip(raw, language)
+    braces = _braces(lines) if how == "brace" else ([], [])
     out = Parsed()
     imports = re.compile(IMPORTS[language])
     defined: set[tuple[str, int]] = set()
+    within = -1  # the last line of the class or block whose functions are methods
+    following = [""] * (len(lines) + 1)  # of each line the next that is not empty
+    for k in range(len(lines) - 1, 0, -1):
+        following[k - 1] = lines[k].strip() or following[k]
     for k, line in enumerate(lines):
         if m := imports.search(line):
             out.imports.append(next(g for g in m.groups() if g))
+        if language == "rust" and _IMPL.match(line):
+            within = max(within, _end(lines, k, how, braces) - 1)
+        whole = line.rstrip() + " {" if language in BARE and "(" in line and "{" not in line and following[k].startswith("{") else line
         for kind, rx in _declarations(language):
-            m = rx.match(line)
-            if m and m[2] not in _STOP:
-                nested = how == "indent" or how == "end" or language in ("rust", "php")
-                kind = "method" if kind == "function" and nested and m[1] and any(s.start_line <= k < s.end_line and s.kind in ("class", "interface", "module") for s in out.symbols) else kind
-                out.symbols.append(Symbol(m[2], kind, k + 1, _end(lines, k, how), f"{m[2]}{m[3]}" if m[3] else None))
+            m = rx.match(whole)
+            if m and m[2] not in _STOP and not (m[2] == "constructor" and language in ("typescript", "javascript")):
+                end = _end(lines, k, how, braces)
+                if kind == "function" and language in _METHODS_IN and k <= within:
+                    kind = "method"
+                out.symbols.append(Symbol(m[2], kind, k + 1, end, f"{m[2]}{m[3]}" if m[3] else None))
+                if kind in _METHODS_IN.get(language, ()):
+                    within = max(within, end - 1)
                 defined.add((m[2], k + 1))
                 break
+    owner, words = _owners(out.symbols, len(lines)), _words(language) | {"constructor"}
     for k, line in enumerate(lines):
         for m in _CALL.finditer(line):
-            if m[1] not in _STOP and (m[1], k + 1) not in defined:
-                out.calls.append((_owner(out.symbols, k + 1), m[1], k + 1))
+            signature = owner[k + 1] >= 0 and out.symbols[owner[k + 1]].kind == "interface" and language != "rust"
+            if m[1] not in _STOP and m[1] not in words and (m[1], k + 1) not in defined and not signature:
+                out.calls.append((owner[k + 1], m[1], k + 1))
     return _with_bodies(out, raw)
 
 

@@ -1,12 +1,16 @@
 """Watching a folder: every micro-batch of new or changed files updates the stored
-index of those files, once per batch number."""
+index of those files, once per batch of a query (a query keeps its id with its
+checkpoint); files that are gone leave the index with the batch."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.storage import publish, read_text
 from ..plans.store import Store
 from ..sources import ingest
 from ..sources.languages import ignore_pattern
@@ -20,19 +24,30 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
     plain = root.rstrip("/").split(":", 1)[-1].replace("///", "/")
     relative = F.regexp_replace(F.col("path"), r"^.*?" + ingest._quoted(plain) + "/", "")
     pid = ingest.project_id(plain)
-    rows = raw.withColumn("relative_path", relative).where(~F.col("relative_path").rlike(ignore_pattern()) & ingest.extension(F.col("relative_path")).isin(ingest.INDEXABLE) & ~ingest.git_ignored(spark, root))
+    hidden = F.col("relative_path").rlike(r"(^|/)\.")
+    rows = raw.withColumn("relative_path", relative).where(~hidden & ~F.col("relative_path").rlike(ignore_pattern()) & ingest.extension(F.col("relative_path")).isin(ingest.INDEXABLE) & ~ingest.git_ignored(spark, root))
     return rows.select(
         pid.alias("project_id"), F.xxhash64(pid, "relative_path").alias("id"), "path", "relative_path", ingest.language(F.col("relative_path")).alias("language"), F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"),
     )
 
 
+def _name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that belongs to a checkpoint: a new one gets a new name."""
+    path = f"{checkpoint.rstrip('/')}-name"
+    publish(spark, path, f"watch-{uuid.uuid4().hex}")
+    return read_text(spark, path)
+
+
 def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
     """Keeps ``store`` up to date; ``every`` None handles what is there and stops."""
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.replace_files(batch, f"watch-{number}")
+            gone = store.changes(root).where("status = 'deleted'").select(F.xxhash64(ingest.project_id(plain), "relative_path").alias("id"))
+            store.replace_files(batch, f"{name}-{number}", gone)
 
+    plain = root.rstrip("/").split(":", 1)[-1].replace("///", "/")
+    name = _name(spark, checkpoint)
     writer = changes(spark, root).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

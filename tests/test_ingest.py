@@ -63,7 +63,7 @@ def test_extract_lines():
     assert p.imports == ["../main"] and [c[1:] for c in p.calls] == [("helper", 3), ("getItem", 4), ("run", 8)]
     assert p.calls[2][0] == 2
     go = extract.extract(TREE["cmd/x.go"], "go")
-    assert [(s.name, s.kind) for s in go.symbols] == [("Serve", "function"), ("Box", "type")] and go.imports == ["fmt"]
+    assert [(s.name, s.kind) for s in go.symbols] == [("Serve", "method"), ("Box", "type")] and go.imports == ["fmt"]
     ruby = extract.extract("class Aa\n  def go(x)\n    run(x)\n  end\nend\n", "ruby")
     assert [(s.name, s.kind, s.end_line) for s in ruby.symbols] == [("Aa", "class", 5), ("go", "method", 4)]
     for lang, text, want in (
@@ -78,6 +78,25 @@ def test_extract_lines():
         assert [(s.name, s.kind) for s in extract.extract(text, lang).symbols] == want, lang
 
 
+DECLARATIONS = [
+    ("java", "public class Aa\n{\n    public Aa(int x)\n    {\n        go(x);\n    }\n\n    int go(int x) throws Bad\n    {\n        return other(x);\n    }\n}\ninterface Bb {\n    void run(String s);\n}\n", [("Aa", "class", 1, 12), ("Aa", "method", 3, 6), ("go", "method", 8, 11), ("Bb", "interface", 13, 15), ("run", "method", 14, 14)], [("Aa", "go"), ("go", "other")]),
+    ("csharp", "namespace N\n{\n    public class Aa\n    {\n        public async Task Run(int x)\n        {\n            Go(x);\n        }\n    }\n}\n", [("Aa", "class", 3, 9), ("Run", "method", 5, 8)], [("Run", "Go")]),
+    ("go", "type Box struct {\n\tn int\n}\ntype Opener interface {\n\tOpen() error\n}\nfunc (b *Box) Get(x int) int {\n\treturn helper(x)\n}\nfunc helper(x int) int {\n\treturn x\n}\n", [("Box", "type", 1, 3), ("Opener", "interface", 4, 6), ("Get", "method", 7, 9), ("helper", "function", 10, 12)], [("Get", "helper")]),
+    ("rust", "struct Pp {\n    x: i32,\n}\nimpl Pp {\n    pub fn new(x: i32) -> Self {\n        make(x)\n    }\n    fn grow(&self) -> i32 {\n        1\n    }\n}\nfn make(x: i32) -> Pp {\n    Pp { x }\n}\n", [("Pp", "class", 1, 3), ("grow", "method", 8, 10), ("make", "function", 12, 14)], [(None, "make")]),
+    ("cpp", "class Aa {\npublic:\n    int go(int x)\n    {\n        return other(x);\n    }\n};\nint main()\n{\n    return 0;\n}\n", [("Aa", "class", 1, 7), ("go", "method", 3, 6), ("main", "function", 8, 11)], [("go", "other")]),
+    ("php", "class Aa\n{\n    public function go($x)\n    {\n        return other($x);\n    }\n}\nfunction top($x)\n{\n}\n", [("Aa", "class", 1, 7), ("go", "method", 3, 6), ("top", "function", 8, 10)], [("go", "other")]),
+    ("typescript", "class Aa {\n  constructor(private x: number) {\n    this.set(x);\n  }\n  set(x: number) {\n    store(x);\n  }\n}\n", [("Aa", "class", 1, 8), ("set", "method", 5, 7)], [("Aa", "set"), ("set", "store")]),
+    ("ruby", "module Mm\n  class Aa\n    def go(x)\n      run(x)\n    end\n  end\nend\ndef top(x)\nend\n", [("Mm", "module", 1, 7), ("Aa", "class", 2, 6), ("go", "method", 3, 5), ("top", "function", 8, 9)], [("go", "run")]),
+]
+
+
+@pytest.mark.parametrize("lang,text,symbols,calls", DECLARATIONS, ids=[d[0] for d in DECLARATIONS])
+def test_declarations(lang, text, symbols, calls):
+    p = extract.extract(text, lang)
+    assert [(s.name, s.kind, s.start_line, s.end_line) for s in p.symbols] == symbols
+    assert {(p.symbols[o].name if o >= 0 else None, c) for o, c, _ in p.calls} == set(calls)
+
+
 def test_scan(spark, tree):
     rows = {r.relative_path: r for r in ingest.scan(spark, tree).collect()}
     assert set(rows) == {"src/main.ts", "src/lib/run.ts", "src/util.ts", "tool/a.py", "tool/b.py", "cmd/x.go"}
@@ -161,9 +180,60 @@ def test_watch(spark, tree, store, tmp_path):
     watch.watch(spark, tree, store, check, every=None).awaitTermination(60)
     assert store.table("files").count() == 7
     assert store.table("calls").where("call_name = 'thing' and to_symbol_id is not null").count() == 3
-    before = store._versions()
-    store.replace_files(ingest.scan(spark, tree), "watch-0")
-    assert store._versions() == before
+    before, batch = store.latest().number, store.latest().named["batch"]
+    store.replace_files(ingest.scan(spark, tree), batch)
+    assert store.latest().number == before
+    (tmp_path / "tree/tool/d.py").unlink()
+    (tmp_path / "tree/tool/e.py").write_text("def later():\n    pass\n")
+    other = f"file://{tmp_path}/other"  # a new checkpoint counts its batches from 0 again
+    watch.watch(spark, tree, store, other, every=None).awaitTermination(60)
+    paths = {r.relative_path for r in store.table("files").collect()}
+    assert "tool/e.py" in paths and "tool/d.py" not in paths and store.latest().number > before
+
+
+def test_two_writers(spark, tree, store, tmp_path):
+    """A change that another one overtakes is worked out again."""
+    pid = store.index(tree, "demo", now_ms=5)
+    call = lambda s, name, **a: tools.call(s, name, project_id=pid, **a)
+    other, runs = Store(spark, store.root), []
+
+    def work(now):
+        runs.append(now.number)
+        if len(runs) == 1:
+            call(other, "adr_create", title="first")
+        return {"rules": now.table("rules")}
+
+    store.change(work, "b")
+    assert len(runs) == 2 and store.table("adrs").count() == 1 and store.applied("b")
+    store.change(work, "b")
+    assert len(runs) == 2
+
+
+def test_indexing_again_keeps_what_is_not_code(spark, tree, store, tmp_path):
+    pid = store.index(tree, "demo", now_ms=5)
+    call = lambda name, **a: tools.call(store, name, project_id=pid, **a)
+    call("manifesto", action="add", rule_name="small", metric="total_symbols", warn_threshold=1.0)
+    call("adr_create", title="One")
+    store.embed()
+    n, version = store.table("vectors").count(), store.latest().number
+    (tmp_path / "tree/tool/b.py").write_text("def other(n):\n    return helper2(n)\n")
+    store.index(tree, "demo", now_ms=9)
+    assert store.latest().number == version + 1
+    p = store.table("projects").first()
+    assert (p.created_at, p.indexed_at) == (5, 9)
+    assert store.table("rules").count() == 1 and store.table("adrs").count() == 1
+    kept = store.table("vectors").join(store.table("symbols"), "id", "left_semi").count()
+    assert kept == store.table("vectors").count() < n
+    assert store.table("symbols").where("name = 'other'").join(store.table("vectors"), "id", "left_anti").count() == 1
+
+
+def test_a_crash_leaves_the_last_version(spark, tree, store, monkeypatch):
+    pid = store.index(tree, "demo")
+    before = store.table("symbols").count()
+    monkeypatch.setattr("tessera.plans.store.publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.drop_project(pid)
+    assert store.table("symbols").count() == before and store.table("projects").count() == 1
 
 
 def test_debounce(spark, tmp_path):
