@@ -38,14 +38,15 @@ def folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` and reads it back, so that its lineage ends in files that outlive
     executors. They go when the application ends, or at ``clear``. The rows are counted
-    as they are written; see ``rows``."""
+    as they are written; see ``rows``. With ``by``, a filter on that column reads the
+    files of its value only."""
     spark = df.sparkSession
     path = folder(spark, tag)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._rows = seen.get["rows"]
     return out
