@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, token_rollup
+from . import filter_audit, prefix_trie, quality, token_rollup, topk
 from .common import table
 
 
@@ -78,6 +78,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search_report
+
+    return search_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,10 +110,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_counts_by_pattern,
         op9_html_main_text,
         op10_best_fit_packing,
+        op11_exact_topk,
+        op12_filter_audit,
+        op13_conversation_trie,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_quality_cascade": quality.SQL,
     "token_counts_by_pattern": token_rollup.SQL,
+    "op11_exact_topk": topk.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_conversation_trie": prefix_trie.SQL,
 }
