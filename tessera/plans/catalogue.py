@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code
+from ..functions import code, words
 from ..operators import governance as gov
-from ..operators import graph, incremental, metrics, relational, search
-from ..plans.storage import cut
+from ..operators import fulltext, graph, incremental, metrics, relational, search
+from ..plans.storage import cut, folder
 from ..streaming import sessions
 from .bindings import Bound, with_relations
 
@@ -359,6 +359,65 @@ def multi_query_rrf(b: Bound) -> DataFrame:
 DOT = "round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6)"
 
 
+# Words of the full-text index: accents of the letters that have them, then Porter's steps one after the other.
+_BARE = "strip_accents(lower(text))"
+_STEM_STEPS = [
+    "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END",
+    f"CASE WHEN w LIKE '%eed' THEN CASE WHEN regexp_matches(left(w, length(w) - 3), '{words.SOME}') THEN left(w, length(w) - 1) ELSE w END WHEN w LIKE '%ed' AND regexp_matches(left(w, length(w) - 2), '{words.VOWEL}') THEN left(w, length(w) - 2) || '+' WHEN w LIKE '%ing' AND regexp_matches(left(w, length(w) - 3), '{words.VOWEL}') THEN left(w, length(w) - 3) || '+' ELSE w END",
+    f"CASE WHEN w NOT LIKE '%+' THEN w WHEN regexp_matches(w, '(at|bl|iz)\\+$') THEN replace(w, '+', 'e') WHEN length(w) > 2 AND w[-2] = w[-3] AND NOT regexp_matches(w[-2], '[aeioulsz]') THEN left(w, length(w) - 2) WHEN regexp_matches(replace(w, '+', ''), '{words.SHORT}') THEN replace(w, '+', 'e') ELSE replace(w, '+', '') END",
+    f"CASE WHEN w LIKE '%y' AND regexp_matches(left(w, length(w) - 1), '{words.VOWEL}') THEN left(w, length(w) - 1) || 'i' ELSE w END",
+    *[
+        "CASE " + " ".join(f"WHEN w LIKE '%{old}' THEN CASE WHEN regexp_matches(left(w, length(w) - {len(old)}), '{need}'{more}) THEN left(w, length(w) - {len(old)}) || '{new}' ELSE w END" for old, new, more in sorted(pairs, key=lambda p: -len(p[0]))) + " ELSE w END"
+        for need, pairs in (
+            (words.SOME, [(*p.split(" "), "") for p in words.STEP_2.split(",")]),
+            (words.SOME, [(*p.split(" "), "") for p in words.STEP_3.split(",")]),
+            (words.MANY, [(p, "", "") for p in words.STEP_4.split(",")] + [("ion", "", ") AND regexp_matches(left(w, length(w) - 3), '[st]$'")]),
+        )
+    ],
+    f"CASE WHEN w LIKE '%e' AND (regexp_matches(left(w, length(w) - 1), '{words.MANY}') OR regexp_matches(left(w, length(w) - 1), '{words.ONE}') AND NOT regexp_matches(left(w, length(w) - 1), '{words.SHORT}')) THEN left(w, length(w) - 1) ELSE w END",
+    f"CASE WHEN w LIKE '%ll' AND regexp_matches(w, '{words.MANY}') THEN left(w, length(w) - 1) ELSE w END",
+]
+STEMS = "".join(f", stem{k + 1} AS (SELECT t, long, {step} AS w FROM stem{k})" for k, step in enumerate(_STEM_STEPS))
+STEMMED = f"""texts AS (SELECT doc_id, list_filter(regexp_split_to_array({_BARE}, '[^\\pL\\pN]+'), lambda t: t <> '') AS ts FROM documents),
+each AS (SELECT doc_id, unnest(ts) AS t, unnest(range(len(ts))) AS pos, len(ts) AS doc_len FROM texts),
+stem0 AS (SELECT t, length(t) BETWEEN 3 AND 64 AND NOT regexp_matches(t, '[0-9]') AS long, t AS w FROM (SELECT DISTINCT t FROM each)){STEMS},
+stems AS (SELECT t, CASE WHEN long THEN w ELSE t END AS w FROM stem{len(_STEM_STEPS)}),
+sized AS (SELECT count(*) AS n, avg(coalesce(len(ts), 0)) AS avg_len FROM texts)"""
+
+
+@query(f"WITH {STEMMED} SELECT w AS stem, count(*) AS n, count(DISTINCT each.t) AS forms FROM each JOIN stems USING (t) GROUP BY w")
+def stemmed_words(b: Bound) -> DataFrame:
+    """Every stem of the documents, how often it comes and in how many forms."""
+    plain = b.documents.select(F.explode(words.words(F.col("text"), stems=False)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return plain.groupBy(words.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
+
+
+#: Two words that begin stems, and a run of two, in the documents that are left after a change.
+FULLTEXT = "licenses version the_on"
+
+
+@query(
+    f"""WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 13 <> 0),
+{STEMMED.replace("FROM documents", "FROM changed")},
+places AS (SELECT doc_id, pos, doc_len, w FROM each JOIN stems USING (t)),
+found AS (SELECT 0 AS k, doc_id, doc_len FROM places WHERE w LIKE 'licens%' UNION ALL SELECT 1, doc_id, doc_len FROM places WHERE w LIKE 'version%'
+  UNION ALL SELECT 2, a.doc_id, a.doc_len FROM places a JOIN places b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.w = 'the' AND b.w LIKE 'on%'),
+per AS (SELECT k, doc_id, doc_len, count(*) AS tf FROM found GROUP BY ALL),
+df AS (SELECT k, count(*) AS df FROM per GROUP BY k)
+SELECT doc_id AS id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS score
+FROM per JOIN df USING (k), sized GROUP BY doc_id ORDER BY score DESC, id LIMIT 20"""
+)
+def fulltext_after_change(b: Bound) -> DataFrame:
+    """A search in an index of two segments: all documents, then a change that takes a
+    share of them away and makes others twice as long."""
+    all_ = b.documents.select(F.col("doc_id").alias("id"), "text")
+    twice = F.when(F.col("id") % 7 == 0, F.concat_ws(" ", "text", "text")).otherwise(F.col("text"))
+    index = fulltext.Index(b.spark, folder(b.spark, "fulltext"), ["text"])
+    index.change(all_, all_.limit(0), "load")
+    index.change(all_.where("id % 7 = 0 and id % 13 <> 0").withColumn("text", twice), all_.where("id % 7 = 0 or id % 13 = 0"), "change")
+    return index.search(FULLTEXT)
+
+
 def _vector(b: Bound) -> list[float]:
     row = b.table("embeddings").where("vec_id = 0").select("embedding").first()
     return list(row["embedding"]) if row else []
