@@ -110,3 +110,17 @@ def read_text(spark: SparkSession, path: str) -> str:
         return bytes(x & 0xFF for x in stream.readAllBytes()).decode()
     finally:
         stream.close()
+
+
+def subfolders(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names of the folders in a folder, with the milliseconds of their last change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(at) if s.isDirectory()}
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

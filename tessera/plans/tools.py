@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import governance as gov
 from ..operators import graph, metrics, relational, search
 from ..sources import ingest
-from .store import TABLES, Store, Version
+from .store import TABLES, Store, Version, now
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -26,12 +26,13 @@ class Project:
 
     def __init__(self, store: Store, project_id: str) -> None:
         self.store, self.id, self.spark = store, project_id, store.spark
-        of = lambda t: store.table(t).where(F.col("project_id") == project_id)
-        self.files, self.symbols, self.rules, self.adrs, self.all_calls = of("files"), of("symbols"), of("rules"), of("adrs"), of("calls")
+        self.version = store.latest()
+        of = lambda t: self.version.table(t, project_id)
+        self.files, self.symbols, self.all_calls, imports = of("files"), of("symbols"), of("calls"), of("imports")
+        self.rules, self.adrs = (self.version.table(t).where(F.col("project_id") == project_id) for t in ("rules", "adrs"))
         self.calls = ingest.call_graph(self.all_calls)
-        ids = self.files.select(F.col("id").alias("file_id"))
-        self.imports = ingest.import_graph(store.table("imports").join(ids, "file_id", "left_semi"))
-        self.import_edges = store.table("imports").join(ids, "file_id", "left_semi").select(F.col("file_id").alias("src"), F.col("to_file_id").alias("dst"))
+        self.imports = ingest.import_graph(imports)
+        self.import_edges = imports.select(F.col("file_id").alias("src"), F.col("to_file_id").alias("dst"))
 
     @property
     def view(self) -> DataFrame:
@@ -68,9 +69,9 @@ def call(store: Store, name: str, **args) -> DataFrame:
 
 
 @tool
-def index_repository(store: Store, path: str, name: str | None = None, incremental: bool = False, semantic: bool = False, now_ms: int = 0) -> DataFrame:
+def index_repository(store: Store, path: str, name: str | None = None, incremental: bool = False, semantic: bool = False, now_ms: int | None = None, by_hash: bool = False) -> DataFrame:
     if incremental:
-        store.update(path)
+        store.update(path, by_hash, now_ms)
     else:
         store.index(path, name, now_ms)
     if semantic:
@@ -141,10 +142,17 @@ def map_(store: Store, project_id: str, limit: int = 20) -> DataFrame:
     return top.union(relational.language_breakdown(p.files).select(F.lit("language"), "language", "files"))
 
 
-def _sources(p: Project) -> DataFrame:
-    """The project's files with their text, read from where they are."""
-    root = store_root(p)
-    return ingest.scan(p.spark, root).join(p.files.select("id"), "id", "left_semi").select(F.col("id").alias("doc_id"), "relative_path", F.col("content").alias("text"))
+def _sources(p: Project, relative_path: str | None = None) -> DataFrame:
+    """The project's files with their text, or one of them, read from where they are."""
+    if relative_path is None:
+        rows = ingest.scan(p.spark, store_root(p)).join(p.files.select("id"), "id", "left_semi")
+        return rows.select(F.col("id").alias("doc_id"), "relative_path", F.col("content").alias("text"))
+    own = p.files.where(F.col("relative_path") == relative_path).select("id", "path", "relative_path")
+    row = own.first()
+    if row is None:
+        return own.select(F.col("id").alias("doc_id"), "relative_path", F.col("path").alias("text")).limit(0)
+    read = p.spark.read.format("binaryFile").load(row["path"])
+    return read.select(F.lit(row["id"]).alias("doc_id"), F.lit(row["relative_path"]).alias("relative_path"), ingest.text_of(F.col("content")).alias("text"))
 
 
 def store_root(p: Project) -> str:
@@ -161,23 +169,28 @@ def search_code(store: Store, project_id: str, pattern: str, limit: int = 30) ->
     return hits.join(p.files.select("id", "relative_path"), "id").select("relative_path", "line_no", "snippet").orderBy("relative_path", "line_no")
 
 
-def _texts(symbols: DataFrame) -> DataFrame:
-    return symbols.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", "qualified_name", "signature", "body").alias("text"))
-
-
 @tool
 def search_graph(store: Store, project_id: str, query: str, kinds: list[str] | None = None, semantic: bool = False, limit: int = 20) -> DataFrame:
-    """Kinds are filtered before the limit, in both legs."""
+    """Out of the full-text index, whose totals are of all projects and do not change with
+    ``kinds``; these are filtered before the limit, in both legs. Where no word of the
+    query is found, symbols whose name contains it are."""
     p = Project(store, project_id)
     symbols = p.symbols.where(F.col("kind").isin(kinds)) if kinds else p.symbols
-    docs = _texts(symbols)
+    index = p.version.index()
+    found_by = lambda q, n: index.search(q, n, symbols)
     if semantic:
-        vectors = store.table("vectors").join(symbols.select("id"), "id", "left_semi").select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
+        vectors = p.version.table("vectors").join(symbols.select("id"), "id", "left_semi").select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
         q = ingest.hashed_vectors(store.spark.createDataFrame([(0, query)], "id long, text string")).first()["vector"]
-        found = search.hybrid(docs, vectors, query, q if not vectors.isEmpty() else None, limit)
+        words = found_by(query, 3 * limit)
+        found = words.limit(limit) if vectors.isEmpty() else search.fuse([words, search.vector_topk(vectors, q, 3 * limit)], limit)
     else:
-        found = search.multi_query(docs, query, limit)
-    return found.join(p.view, "id").select("id", "score", "name", "kind", "relative_path", "start_line").orderBy(F.desc("score"), "id")
+        parts = [q.strip() for q in query.split(";") if q.strip()]
+        found = found_by(query, limit) if len(parts) < 2 else search.fuse([found_by(q, 2 * limit) for q in parts], limit)
+    named = found.join(p.view, "id").select("id", "score", "name", "kind", "relative_path", "start_line").orderBy(F.desc("score"), "id")
+    if found.isEmpty():
+        like = search.name_fallback(p.view, query, limit, kinds).join(symbols.select("id", "start_line"), "id")
+        return like.select("id", F.lit(0.0).alias("score"), "name", "kind", "relative_path", "start_line").orderBy("id")
+    return named
 
 
 @tool
@@ -237,7 +250,9 @@ def roles(store: Store, project_id: str, role: str = "", limit: int = 50) -> Dat
 
 @tool
 def complexity(store: Store, project_id: str, min_complexity: int = 5, file: str = "", limit: int = 30) -> DataFrame:
-    return relational.complexity_report(Project(store, project_id).view, min_complexity, file, limit)
+    """The report, each row with the average and the highest of those shown."""
+    shown = relational.complexity_report(Project(store, project_id).view, min_complexity, file, limit)
+    return shown.join(F.broadcast(relational.complexity_footer(shown)))  # one row
 
 
 @tool
@@ -274,8 +289,8 @@ def manifesto(store: Store, project_id: str, action: str = "list", rule_name: st
             raise ValueError("rule_name and metric are required")
         new = store.spark.createDataFrame([(project_id, rule_name, metric, warn_threshold, fail_threshold)], TABLES["rules"])
 
-        def add(now: Version) -> dict[str, DataFrame]:
-            rules = now.table("rules")
+        def add(last: Version) -> dict[str, DataFrame]:
+            rules = last.table("rules")
             mine = rules.where(F.col("project_id") == project_id)
             return {"rules": rules.where(F.col("project_id") != project_id).unionByName(gov.add_rule(mine, new))}
 
@@ -283,7 +298,7 @@ def manifesto(store: Store, project_id: str, action: str = "list", rule_name: st
     elif action == "remove":
         if not rule_name:
             raise ValueError("rule_name is required")
-        store.change(lambda now: {"rules": now.table("rules").where(~((F.col("project_id") == project_id) & (F.col("rule_name") == rule_name)))})
+        store.change(lambda last: {"rules": last.table("rules").where(~((F.col("project_id") == project_id) & (F.col("rule_name") == rule_name)))})
     elif action != "list":
         raise ValueError(f"unknown action {action}; use list, add or remove")
     return Project(store, project_id).rules.orderBy("rule_name")
@@ -302,11 +317,11 @@ def adr_list(store: Store, project_id: str, status: str = "") -> DataFrame:
 
 
 @tool
-def adr_create(store: Store, project_id: str, title: str, context: str | None = None, decision: str | None = None, consequences: str | None = None, status: str = "proposed", now_ms: int = 0) -> DataFrame:
-    def create(now: Version) -> dict[str, DataFrame]:
-        all_ = now.table("adrs")
+def adr_create(store: Store, project_id: str, title: str, context: str | None = None, decision: str | None = None, consequences: str | None = None, status: str = "proposed", now_ms: int | None = None) -> DataFrame:
+    def create(last: Version) -> dict[str, DataFrame]:
+        all_ = last.table("adrs")
         mine = gov.adr_create(all_.where(F.col("project_id") == project_id), title, context, decision, consequences, status)
-        new = mine.withColumn("project_id", F.lit(project_id)).withColumns({c: F.coalesce(c, F.lit(now_ms).cast("long")) for c in ("created_at", "updated_at")})
+        new = mine.withColumn("project_id", F.lit(project_id)).withColumns({c: F.coalesce(c, F.lit(now() if now_ms is None else now_ms).cast("long")) for c in ("created_at", "updated_at")})
         return {"adrs": all_.where(F.col("project_id") != project_id).unionByName(new)}
 
     store.change(create)
@@ -314,14 +329,14 @@ def adr_create(store: Store, project_id: str, title: str, context: str | None =
 
 
 @tool
-def adr_update(store: Store, project_id: str, number: int, now_ms: int = 0, **fields: str) -> DataFrame:
+def adr_update(store: Store, project_id: str, number: int, now_ms: int | None = None, **fields: str) -> DataFrame:
     kinds = {"title", "status", "context_text", "decision", "consequences"}
     if unknown := set(fields) - kinds:
         raise ValueError(f"unknown fields {sorted(unknown)}")
-    change = store.spark.createDataFrame([(number, *fields.values(), now_ms)], "number int, " + "".join(f"{k} string, " for k in fields) + "updated_at long")
+    change = store.spark.createDataFrame([(number, *fields.values(), now() if now_ms is None else now_ms)], "number int, " + "".join(f"{k} string, " for k in fields) + "updated_at long")
 
-    def update(now: Version) -> dict[str, DataFrame]:
-        all_ = now.table("adrs")
+    def update(last: Version) -> dict[str, DataFrame]:
+        all_ = last.table("adrs")
         mine = gov.adr_update(all_.where(F.col("project_id") == project_id), change)
         return {"adrs": all_.where(F.col("project_id") != project_id).unionByName(mine)}
 
@@ -353,8 +368,24 @@ def list_entry_points(store: Store, project_id: str, limit: int = 20) -> DataFra
 
 def file_content(store: Store, project_id: str, relative_path: str) -> DataFrame:
     """The text of one indexed file; only paths of the project are served."""
+    return _sources(Project(store, project_id), relative_path).select("relative_path", "text")
+
+
+def file_symbols(store: Store, project_id: str, relative_path: str) -> DataFrame:
     p = Project(store, project_id)
-    return _sources(p).where(F.col("relative_path") == relative_path).select("relative_path", "text")
+    own = p.files.where(F.col("relative_path") == relative_path).select(F.col("id").alias("file_id"))
+    return p.symbols.join(own, "file_id", "left_semi").select("id", "name", "kind", "start_line", "end_line", "signature", "complexity_cyclomatic").orderBy("start_line", "id")
+
+
+def entry_points(store: Store, project_id: str, limit: int = 30) -> DataFrame:
+    """By names and file names in either case, as the drawing's list has them."""
+    p = Project(store, project_id)
+    return metrics.entry_points_api(p.view, p.roles, limit)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Each row as a JSON text, nulls included: what a server would send."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def graph_data(store: Store, project_id: str) -> tuple[DataFrame, DataFrame]:

@@ -46,10 +46,15 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, with_c
     pid = project_id(plain)
     columns = [pid.alias("project_id"), F.xxhash64(pid, "relative_path").alias("id"), "path", "relative_path", language(F.col("relative_path")).alias("language"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime")]
     if with_content:
-        columns += [F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content")]
+        columns += [F.sha2("content", 256).alias("hash"), text_of(F.col("content")).alias("content")]
     return rows.select(*columns)
 
 
+def text_of(content: Column) -> Column:
+    """The text of a file's bytes; what is not UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def git_ignored(spark: SparkSession, root: str) -> Column:
     """Whether relative_path is named by the root's .gitignore as it is now: the last
     line that fits a path or a folder above it counts, and what lies in an ignored
@@ -120,7 +125,7 @@ def index(files: DataFrame) -> dict[str, DataFrame]:
     plain = rows.select("project_id", "file_id", "relative_path", "language", _symbol_id(F.col("at")).alias("id"), "s.*")
     symbols = plain.withColumn("qualified_name", F.concat_ws("/", "relative_path", "name")).withColumn("complexity_cyclomatic", _per_language(code.cyclomatic)).withColumn("complexity_cognitive", _per_language(code.cognitive))
     symbols = cut(symbols, "symbols")
-    kept_files = files.drop("content")
+    kept_files = cut(files.drop("content"), "files")
 
     calls = parsed.select("project_id", "file_id", F.explode("calls").alias("c")).select(
         "project_id", F.col("file_id").alias("from_file_id"), F.when(F.col("c.owner") >= 0, _symbol_id(F.col("c.owner"))).alias("from_symbol_id"), F.col("c.callee").alias("call_name"), F.col("c.line").alias("from_line")
@@ -130,6 +135,7 @@ def index(files: DataFrame) -> dict[str, DataFrame]:
 
     targets = parsed.select("file_id", F.explode("imports").alias("target"))
     imports = governance.resolve_imports(targets, kept_files)
+    imports = imports.join(kept_files.select(F.col("id").alias("file_id"), "project_id"), "file_id")
     return {"files": kept_files, "symbols": symbols.drop("relative_path", "language"), "calls": calls, "imports": imports}
 
 

@@ -28,7 +28,7 @@ def changes(spark: SparkSession, root: str) -> DataFrame:
     rows = raw.withColumn("relative_path", relative).where(~hidden & ~F.col("relative_path").rlike(ignore_pattern()) & ingest.extension(F.col("relative_path")).isin(ingest.INDEXABLE) & ~ingest.git_ignored(spark, root))
     return rows.select(
         pid.alias("project_id"), F.xxhash64(pid, "relative_path").alias("id"), "path", "relative_path", ingest.language(F.col("relative_path")).alias("language"), F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"),
+        F.unix_millis("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), ingest.text_of(F.col("content")).alias("content"),
     )
 
 
