@@ -2,24 +2,30 @@
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): each step
 is two shuffles of the edges, and the number of steps grows with the logarithm of
 the longest path at most, in practice less. Nothing is gathered in one place; the
-edges of a node with very many are dealt over ``SALTS`` tasks."""
+edges of a node with ``CROWDED`` or more are dealt over ``SALTS`` tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
+from ..plans.storage import cut, rows, small_enough
 
-SALTS = 16
+SALTS, CROWDED = 16, 10_000
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) with m, the least of u and its neighbours. A minimum per task
-    comes first; it goes to each share of a node's pairs."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    shares = least.withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(shares, ["u", "_s"]).drop("_s")
+    comes first; only a crowded node's goes to shares of its pairs, and only such nodes
+    are looked up to know their shares: they are few, as each has ``CROWDED`` pairs."""
+    least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+    crowded = cut(least.where(F.col("n") >= CROWDED).select("u", F.col("m").alias("_m")), "crowded")
+    if not rows(crowded):
+        return pairs.join(least.select("u", "m"), "u")
+    marked = pairs.join(small_enough(crowded), "u", "left")
+    shares = crowded.select("u", F.col("_m").alias("m")).withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = marked.where("_m is not null").select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("_s")).join(shares, ["u", "_s"]).select("u", "v", "m")
+    return marked.where("_m is null").select("u", "v").join(least.where(F.col("n") < CROWDED).select("u", "m"), "u").union(salted)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 immutable segments.
 
 A segment has the postings of the documents that one change added, laid out by a hash
-of a word's first two letters and sorted by word, so that a search reads one bucket of
-each segment a word. A change also names the documents that it took away; a posting
+of a word's first two letters (into up to ``BUCKETS``, by its size) and sorted by word,
+so that a search reads one bucket of each segment a word. A change also names the documents that it took away; a posting
 counts if its segment is not older than the last removal of its document. Totals are
 kept by what each change adds to them and takes from them. Segments of about equal
 size are merged, newest first, so a document is rewritten a number of times that grows
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.words import words
 from .search import B, FLOOR, K1
 
-BUCKETS, MERGE, RATIO = 64, 4, 2
+BUCKETS, DOCS_A_BUCKET, MERGE, RATIO = 64, 2000, 4, 2
 POSTINGS = "token string, id long, positions array<int>, doc_len int"
 
 
@@ -49,12 +49,12 @@ def lengths(docs: DataFrame, columns: list[str]) -> tuple[int, int]:
     return row["n"], row["w"]
 
 
-def bucket(start: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.hash(start), F.lit(buckets))
+def buckets_for(docs: int) -> int:
+    return max(1, min(BUCKETS, docs // DOCS_A_BUCKET))
 
 
-def write_segment(rows: DataFrame, path: str) -> None:
-    laid = rows.withColumn("bucket", bucket(F.substring("token", 1, 2)))
+def write_segment(rows: DataFrame, path: str, buckets: int) -> None:
+    laid = rows.withColumn("bucket", F.pmod(F.hash(F.substring("token", 1, 2)), F.lit(buckets)))
     laid.repartition("bucket").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(path)
 
 
@@ -64,16 +64,17 @@ class Segment:
     gone: str  # path of the ids that its change took away, empty if none
     at: int  # number of its change
     rows: int
+    buckets: int = 1
 
 
-def read(spark: SparkSession, segments: list[Segment], buckets: list[int] | None = None) -> DataFrame:
-    """Live postings of all segments, or of some buckets."""
+def read(spark: SparkSession, segments: list[Segment], starts: list[int] | None = None) -> DataFrame:
+    """Live postings of all segments, or of the buckets in which words with these starts are (see ``hashed_starts``)."""
     none = spark.createDataFrame([], POSTINGS + ", at long")
     parts = []
     for s in segments:
         if s.postings:
             rows = spark.read.schema(POSTINGS + ", bucket int").parquet(s.postings)
-            rows = rows.where(F.col("bucket").isin(buckets)) if buckets is not None else rows
+            rows = rows.where(F.col("bucket").isin(sorted({h % s.buckets for h in starts}))) if starts is not None else rows
             parts.append(rows.drop("bucket").withColumn("at", F.lit(s.at).cast("long")))
     live = reduce(DataFrame.union, parts) if parts else none
     later = [s for s in segments if s.gone and any(t.at < s.at and t.postings for t in segments)]
@@ -108,13 +109,13 @@ def phrases(spark: SparkSession, query: str) -> list[Phrase]:
     return [Phrase(list(r["w"])) for r in sorted(rows) if r["w"]]
 
 
-def wanted_buckets(spark: SparkSession, asked: list[Phrase]) -> list[int] | None:
-    """One a word, or None where a beginning of one letter may be anywhere."""
-    begun = {w[:2] for p in asked for w in p.words}
+def hashed_starts(spark: SparkSession, asked: list[Phrase]) -> list[int] | None:
+    """Hashes of the first two letters of each word, or None where a beginning of one
+    letter may be anywhere."""
     if any(len(p.words[-1]) < 2 for p in asked):
         return None
-    starts = spark.createDataFrame([(s,) for s in sorted(begun)], "s string")
-    return sorted({r["b"] for r in starts.select(bucket(F.col("s")).alias("b")).collect()})
+    starts = spark.createDataFrame([(s,) for s in sorted({w[:2] for p in asked for w in p.words})], "s string")
+    return [r["h"] for r in starts.select(F.hash("s").alias("h")).collect()]
 
 
 def frequencies(rows: DataFrame, asked: list[Phrase]) -> DataFrame:
@@ -147,7 +148,7 @@ def search(spark: SparkSession, segments: list[Segment], docs: int, tokens: int,
     asked = phrases(spark, query)
     if not asked:
         return spark.createDataFrame([], "id long, score double")
-    found = scores(read(spark, segments, wanted_buckets(spark, asked)), docs, tokens, asked)
+    found = scores(read(spark, segments, hashed_starts(spark, asked)), docs, tokens, asked)
     if among is not None:
         found = found.join(among.select("id"), "id", "left_semi")
     return found.orderBy(F.desc("score"), "id").limit(limit) if limit else found
@@ -170,7 +171,7 @@ class Index:
         return f"{self.root}/{path}" if path else ""
 
     def _found(self, segments: list[Segment] | None = None) -> list[Segment]:
-        return [Segment(self._full(s.postings), self._full(s.gone), s.at, s.rows) for s in segments or self.segments]
+        return [Segment(self._full(s.postings), self._full(s.gone), s.at, s.rows, s.buckets) for s in segments or self.segments]
 
     def change(self, added: DataFrame, removed: DataFrame, folder: str) -> None:
         """Adds documents (id and the text columns) and takes away others (as they were).
@@ -198,11 +199,11 @@ class Index:
                     self.spark.read.schema("id long").parquet(*paths).distinct().write.parquet(self._full(gone))
             else:
                 gone = ""
-        path = ""
+        path, size = "", n + sum(s.rows for s in merged)
         if n or merged:
             path = f"{folder}/postings"
-            write_segment(rows, self._full(path))
-        self.segments = [*kept, Segment(path, gone, self.last, n + sum(s.rows for s in merged))]
+            write_segment(rows, self._full(path), buckets_for(size))
+        self.segments = [*kept, Segment(path, gone, self.last, size, buckets_for(size))]
 
     def search(self, query: str, limit: int | None = 20, among: DataFrame | None = None) -> DataFrame:
         return search(self.spark, self._found(), self.docs, self.tokens, query, limit, among)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .intervals import overlapping
 
+# The metrics that rules may name.
 METRICS = ("max_cyclomatic", "max_cognitive", "avg_cyclomatic", "max_file_symbols", "dead_symbol_count", "total_symbols", "max_dead_ratio")
 
 
@@ -67,13 +69,27 @@ def adr_list(adrs: DataFrame, status: str = "") -> DataFrame:
     return (adrs.where(F.col("status") == status) if status else adrs).orderBy("number")
 
 
-def cochange(commits: DataFrame, limit: int | None = 200) -> DataFrame:
+FILES_A_BLOCK = 256
+
+
+def commit_blocks(commits: DataFrame, most: int = FILES_A_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """A commit's files as two sides of (commit, i, j, file) with i <= j: files are dealt
+    into blocks of about ``most``, and block i stands against each block j from itself on.
+    So a commit of very many files is many tasks, of two blocks each."""
+    files = commits.select("commit", "file").distinct()
+    sizes = files.groupBy("commit").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("_n"))
+    dealt = files.join(sizes, "commit").withColumn("_b", F.pmod(F.xxhash64("file"), F.col("_n")).cast("int"))
+    left = dealt.select("commit", F.col("_b").alias("i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("j"), "file")
+    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "_b")).alias("i"), F.col("_b").alias("j"), "file")
+    return left, right
+
+
+def cochange(commits: DataFrame, limit: int | None = 200, most: int = FILES_A_BLOCK) -> DataFrame:
     """(file1, file2, n): pairs of files by how many commits change both. commits:
-    commit, file. A commit's files are joined with themselves, one order of each pair."""
-    c = commits.select("commit", "file").distinct()
-    x, y = c.alias("x"), c.alias("y")
-    pairs = x.join(y, (F.col("x.commit") == F.col("y.commit")) & (F.col("x.file") < F.col("y.file")))
-    counts = pairs.groupBy(F.col("x.file").alias("file1"), F.col("y.file").alias("file2")).agg(F.count("*").alias("n"))
+    commit, file. Blocks of a commit's files are joined, each pair of blocks once."""
+    left, right = commit_blocks(commits, most)
+    both = left.join(right.withColumnRenamed("file", "_other"), ["commit", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("file") < F.col("_other")))
+    counts = both.groupBy(F.least("file", "_other").alias("file1"), F.greatest("file", "_other").alias("file2")).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "file1", "file2").limit(limit) if limit else counts
 
 
@@ -98,9 +114,9 @@ def parse_hunks(diffs: DataFrame, diff_col: str = "diff") -> DataFrame:
 
 def diff_symbols(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     """Symbols whose lines a changed range overlaps. hunks: file_id, start, count."""
-    h = hunks.where("count > 0").select("file_id", "start", (F.col("start") + F.col("count") - 1).alias("end"))
-    on = (symbols.file_id == h.file_id) & (h.start <= symbols.end_line) & (h.end >= symbols.start_line)
-    return symbols.join(h, on, "left_semi").select("id", "name", "kind", "file_id")
+    changed = hunks.where("count > 0").select("file_id", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
+    hit = overlapping(symbols.select("id", "file_id", "start_line", "end_line"), changed, "file_id", ("id", "start_line", "end_line"))
+    return symbols.join(hit, "id", "left_semi").select("id", "name", "kind", "file_id")
 
 
 def diff_impact(symbols: DataFrame, hunks: DataFrame, calls: DataFrame, depth: int = 3) -> DataFrame:
@@ -120,7 +136,7 @@ def branch_compare(status_lines: DataFrame, symbols_v: DataFrame) -> DataFrame:
 
 def import_candidates(path: Column, target: Column) -> Column:
     """The files a relative import may mean, in order of precedence; [] if it is not relative."""
-    extensions = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs")
+    extensions = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs")  # fixed values, in this order
     folder = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     parts = F.concat(folder, F.split(target, "/"))
     step = lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))

@@ -87,29 +87,67 @@ def impact(calls: DataFrame, symbols: DataFrame, node: int, depth: int = 5, dire
     return found.join(symbols, found.node == symbols.id).select("id", "name", "file_id", "depth")
 
 
+READ_BACK = 16  # steps of a path that one job reads back
+LOPSIDED = 8  # a side that is so many times wider than the other waits
+
+
+def _fronts(steps: DataFrame, start: int, goal: int) -> tuple[list[DataFrame], list[DataFrame]] | None:
+    """Levels from the start and back from the goal until they meet, as (node, prev); None
+    if they do not. Each round goes a step on both sides in one job, or on one side while
+    the other is ``LOPSIDED`` times wider."""
+    spark = steps.sparkSession
+    ends = {"f": start, "b": goal}
+    frontier = spark.createDataFrame(list(ends.items()), "side string, node long")
+    known, sizes = frontier, {"f": 1, "b": 1}
+    levels = {side: [one(spark, node)] for side, node in ends.items()}
+    both = steps.select(F.lit("f").alias("side"), "a", "b").union(steps.select(F.lit("b").alias("side"), F.col("b").alias("a"), F.col("a").alias("b")))
+    while True:
+        go = [side for side, other in ("fb", "bf") if sizes[side] <= LOPSIDED * sizes[other]]
+        here = frontier.where(F.col("side").isin(go))
+        found = both.join(here, (both.side == here.side) & (both.a == here.node)).groupBy(both.side, F.col("b").alias("node")).agg(F.min("a").alias("prev"))
+        level = cut(found.join(known, ["side", "node"], "left_anti"), "level")
+        new = {r["side"]: r["n"] for r in level.groupBy("side").agg(F.count("*").alias("n")).collect()}
+        last = {side: levels[side][-1] for side in ends}
+        for side in go:
+            sizes[side] = new.get(side, 0)
+            levels[side].append(level.where(F.col("side") == side).select("node", "prev"))
+        meet = lambda x, y: not x.join(y.select("node"), "node", "left_semi").isEmpty()
+        if "f" in go and meet(levels["f"][-1], last["b"]):
+            return levels["f"], levels["b"][: len(levels["b"]) - ("b" in go)]
+        if "b" in go and meet(levels["b"][-1], levels["f"][-1]):
+            return levels["f"], levels["b"]
+        if not all(sizes.values()):
+            return None
+        known = cut(known.union(level.select("side", "node")), "seen")
+        frontier = level.select("side", "node") if len(go) == 2 else frontier.where(~F.col("side").isin(go)).union(level.select("side", "node"))
+
+
 def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
     """(step, node) of a shortest directed path; of several, the one with the least
-    predecessor at every step, seen from the goal. Empty if there is none."""
+    predecessor at every step, seen from the goal. Empty if there is none. The search
+    goes from both ends; predecessors of the far half are found from the middle on."""
     spark = edges.sparkSession
     if start == goal:
         return spark.createDataFrame([(0, start)], "step int, node long")
     steps = cut(_turned(edges, "down").distinct(), "steps")
-    levels = [one(spark, start)]
-    known = levels[0]
-    while True:
-        before = levels[-1]
-        found = steps.join(before, steps.a == before.node).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("prev"))
-        level = cut(found.join(known, "node", "left_anti"), "level")
-        levels.append(level)
-        if not level.where(F.col("node") == goal).isEmpty():
-            break
-        if level.isEmpty():
-            return spark.createDataFrame([], "step int, node long")
-        known = cut(known.union(level.select("node")), "seen")
-    path, node = [goal], goal
-    for level in reversed(levels[1:]):
-        node = level.where(F.col("node") == node).first()["prev"]
-        path.append(node)
+    fronts = _fronts(steps, start, goal)
+    if fronts is None:
+        return spark.createDataFrame([], "step int, node long")
+    forward, back = fronts
+    on_path = cut(forward[-1].join(back[-1].select("node"), "node", "left_semi").select("node"), "middle")
+    levels = forward[1:]
+    for behind in reversed(back[:-1]):
+        ahead = steps.join(on_path, steps.a == on_path.node).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("prev"))
+        levels.append(cut(ahead.join(behind.select("node"), "node", "left_semi"), "far"))
+        on_path = levels[-1].select("node")
+    path = [goal]
+    while levels:
+        chunk, levels = levels[-READ_BACK:], levels[:-READ_BACK]
+        row = chunk[-1].where(F.col("node") == path[-1]).select(F.col("prev").alias("p0"))
+        for k, level in enumerate(reversed(chunk[:-1])):
+            row = row.join(level.select(F.col("node").alias(f"p{k}"), F.col("prev").alias(f"p{k + 1}")), f"p{k}")
+        found = row.first()
+        path += [found[f"p{k}"] for k in range(len(chunk))]
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node long")
 
 
@@ -127,6 +165,7 @@ def execution_flow(calls: DataFrame, start: int, depth: int = 5, most: int = MOS
     for d in range(depth):
         nxt = level.join(shown, level.node == shown.src).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), F.lit(d).alias("depth"), F.array_contains("path", F.col("dst")).alias("cyclic"), F.lit(0).cast("long").alias("more"))
         more = level.join(rest, level.node == rest.src).select(F.concat("path", F.array(F.lit(-1).cast("long"))).alias("path"), F.lit(-1).cast("long").alias("node"), F.lit(d).alias("depth"), F.lit(False).alias("cyclic"), "more")
+        nxt = cut(nxt, "flow")
         out += [nxt, more]
         level = nxt.where(~F.col("cyclic")).select("path", "node")
     return reduce(DataFrame.union, out)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code
 from . import graph
+from .ordinals import ordinals
 
 
 def exported_names(symbols: DataFrame) -> DataFrame:
@@ -69,13 +70,27 @@ def entry_points_api(symbols_v: DataFrame, roles: DataFrame, limit: int = 30) ->
 
 
 def module_communities(files: DataFrame) -> DataFrame:
-    """(id, module, community): communities are numbered as their first file comes. One row per module is ranked."""
+    """(id, module, community): communities are numbered as their first file comes."""
     keyed = files.select("id", code.module_key(F.col("relative_path")).alias("module"))
     first = keyed.groupBy("module").agg(F.min("id").alias("_f"))
-    numbered = first.select("module", (F.dense_rank().over(Window.orderBy("_f")) - 1).cast("long").alias("community"))
+    numbered = first.join(ordinals(first, "_f", "community"), "_f").select("module", "community")
     return keyed.join(numbered, "module").select("id", "module", "community")
 
 
+def community_list(members: DataFrame, least: int = 0, contains: str = "", sort: str = "id") -> DataFrame:
+    """(prefix, community, name, size): the communities of a list of (community, name),
+    a row a member, with at least ``least`` members and a text in their name. The
+    prefix is what comes before the first ``·`` or ``/`` of the name, ``_`` without one.
+    sort: id, name, count-desc or count-asc."""
+    orders = {"id": ["community"], "name": ["name", "community"], "count-desc": [F.desc("size"), "community"], "count-asc": ["size", "community"]}
+    if sort not in orders:
+        raise ValueError(f"unknown order {sort}; use {', '.join(orders)}")
+    sized = members.groupBy("community").agg(F.max("name").alias("name"), F.count("*").alias("size")).where((F.col("size") >= least) & F.lower("name").contains(contains.lower()))
+    before = lambda mark: F.when(F.col("name").contains(mark), F.substring_index("name", mark, 1))
+    prefix = F.coalesce(before("·"), before("/"), F.lit("_"))
+    return sized.select(prefix.alias("prefix"), "community", "name", "size").orderBy(*orders[sort])
+
+
 def node_bands(imports: DataFrame, files: DataFrame) -> DataFrame:
     f = graph.fan(imports, files)
     return f.select("id", "fan_in", "fan_out", code.band(F.col("fan_in") + F.col("fan_out")).alias("band"))

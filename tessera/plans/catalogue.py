@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import code, words
 from ..operators import governance as gov
 from ..operators import fulltext, graph, incremental, metrics, relational, search
+from ..operators.ordinals import ordinals
 from ..plans.storage import cut, folder
 from ..streaming import sessions
 from .bindings import Bound, with_relations
@@ -522,6 +523,22 @@ def communities_cc(b: Bound) -> DataFrame:
     return graph.communities(b.calls, b.symbols)
 
 
+@query("e AS (SELECT src AS a, dst AS b FROM calls UNION SELECT dst, src FROM calls), walk AS (SELECT id, id AS c FROM symbols UNION SELECT e.b, c FROM walk JOIN e ON e.a = walk.id AND c < e.b), comp AS (SELECT id, min(c) AS component FROM walk GROUP BY 1) SELECT id, component, dense_rank() OVER (ORDER BY component) - 1 AS ordinal FROM (SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp) WHERE size >= 2", "calls symbols", recursive=True)
+def community_ordinals(b: Bound) -> DataFrame:
+    """Components numbered as their first symbols come."""
+    found = cut(graph.communities(b.calls, b.symbols), "communities")
+    return found.join(ordinals(found, "component", "ordinal"), "component").select("id", "component", "ordinal")
+
+
+@query(
+    "m AS (SELECT id, split_part(relative_path, '/', 1) || '/' || split_part(relative_path, '/', 2) AS module FROM files), c AS (SELECT module, count(*) AS size, min(id) AS first FROM m GROUP BY 1), n AS (SELECT *, dense_rank() OVER (ORDER BY first) - 1 AS community FROM c) SELECT split_part(module, '/', 1) AS prefix, community, module AS name, size FROM n WHERE size >= 2 AND contains(module, 'a') ORDER BY size DESC, community",
+    "files",
+)
+def community_list(b: Bound) -> DataFrame:
+    found = metrics.module_communities(b.files).select("community", F.col("module").alias("name"))
+    return metrics.community_list(found, 2, "A", "count-desc")
+
+
 @query("e AS (SELECT src AS a, dst AS b FROM imports UNION SELECT dst, src FROM imports), start AS (SELECT src AS id FROM imports WHERE src <> dst GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), walk AS (SELECT id, 0 AS d FROM start UNION SELECT b, d + 1 FROM walk JOIN e ON a = walk.id WHERE d < 2) SELECT id AS node, min(d) AS depth FROM walk WHERE id NOT IN (SELECT id FROM start) GROUP BY 1", "imports", recursive=True)
 def k_hop(b: Bound) -> DataFrame:
     top = b.imports.where("src <> dst").groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").first()

@@ -77,16 +77,18 @@ def test_changes_give_the_scores_of_an_index_built_anew(spark, tmp_path):
     assert got(index.search("run", None, some)) == {i: s for i, s in brute(docs, "run").items() if i in sorted(docs)[::2]}
 
 
-def test_a_search_reads_one_bucket_a_word(spark, tmp_path):
+def test_a_search_reads_one_bucket_a_word(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "buckets_for", lambda docs: 16)
     index = T.Index(spark, f"file://{tmp_path}/ix", ["a", "b"])
     index.change(frame(spark, {1: ["running nodes", "relational cafe x42"], 2: ["path", None]}), frame(spark, {}), "c0")
-    rows = T.read(spark, index._found(), T.wanted_buckets(spark, T.phrases(spark, "running relate")))
-    assert len({f.split("/bucket=")[1].split("/")[0] for f in rows.select("token").inputFiles()}) > 2  # all, before pruning
-    asked = T.wanted_buckets(spark, T.phrases(spark, "running relate"))
-    assert len(asked) <= 2
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and all(str(b) in plan.split("PartitionFilters: ")[1].split("]")[0] for b in asked)
-    assert T.wanted_buckets(spark, T.phrases(spark, "r")) is None
+    assert len(list((tmp_path / "ix/c0/postings").glob("bucket=*"))) > 2
+    starts = T.hashed_starts(spark, T.phrases(spark, "running relate"))
+    wanted = {h % 16 for h in starts}
+    plan = T.read(spark, index._found(), starts)._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert len(wanted) <= 2 and "bucket" in filters and all(str(b) in filters for b in wanted)
+    assert got(index.search("running relate")).keys() == {1}
+    assert T.hashed_starts(spark, T.phrases(spark, "r")) is None
 
 
 def test_empty_index(spark, tmp_path):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import tools
+from tessera.plans.store import BUCKETED as TABLES_IN_BUCKETS
 from tessera.plans.store import Store
 from tessera.operators import governance
 from tessera.sources import extract, git, ingest
@@ -183,12 +184,28 @@ def test_watch(spark, tree, store, tmp_path):
     before, batch = store.latest().number, store.latest().named["batch"]
     store.replace_files(ingest.scan(spark, tree), batch)
     assert store.latest().number == before
-    (tmp_path / "tree/tool/d.py").unlink()
+    (tmp_path / "tree/tool/d.py").unlink()  # a delete alone, after a restart
+    watch.watch(spark, tree, store, check, every=None).awaitTermination(60)
+    assert "tool/d.py" not in {r.relative_path for r in store.table("files").collect()} and store.latest().number == before + 1
+    (tmp_path / "tree/tool/b.py").write_text("def thing(n, m):\n    return thing2(n, m)\n")
     (tmp_path / "tree/tool/e.py").write_text("def later():\n    pass\n")
     other = f"file://{tmp_path}/other"  # a new checkpoint counts its batches from 0 again
     watch.watch(spark, tree, store, other, every=None).awaitTermination(60)
-    paths = {r.relative_path for r in store.table("files").collect()}
-    assert "tool/e.py" in paths and "tool/d.py" not in paths and store.latest().number > before
+    assert "tool/e.py" in {r.relative_path for r in store.table("files").collect()}
+    assert store.table("calls").where("call_name = 'thing2'").count() == 1  # a file that changes is seen again
+
+
+def test_a_half_written_file_waits(spark, tree, store, tmp_path):
+    waiting = watch.Waiting(500)
+    ready = lambda at: sorted((r.relative_path, r.event) for r in waiting.ready(watch.changes(store, tree), at).collect())
+    store.index(tree)
+    (tmp_path / "tree/tool/n.py").write_text("def ha")
+    (tmp_path / "tree/tool/a.py").unlink()
+    assert ready(1000) == [("tool/a.py", "unlink")]
+    (tmp_path / "tree/tool/n.py").write_text("def half():\n    pass\n")
+    assert ready(1600) == [("tool/a.py", "unlink")]
+    assert ready(2000) == [("tool/a.py", "unlink")]
+    assert ready(2100) == [("tool/a.py", "unlink"), ("tool/n.py", "add")]
 
 
 def test_two_writers(spark, tree, store, tmp_path):
@@ -247,6 +264,64 @@ def test_debounce(spark, tmp_path):
     assert sorted((r.k, r.changes) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 3), ("b", 1)]
 
 
+def sources(spark, texts, folder="m"):
+    """Scanned files out of texts by path."""
+    rows = [("p" * 16, path, text) for path, text in texts.items()]
+    df = spark.createDataFrame(rows, "project_id string, relative_path string, content string")
+    return df.select("project_id", F.xxhash64("project_id", "relative_path").alias("id"), F.col("relative_path").alias("path"), "relative_path", F.lit("python").alias("language"), F.length("content").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), F.sha2("content", 256).alias("hash"), "content")
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tessera.plans.store.FILES_A_BUCKET", 20)
+    texts = {f"m/f{k}.py": f"from .f{k // 2} import go{k // 2}\ndef go{k}(n):\n    return go{k // 2}(n)\n" for k in range(200)}
+    texts["m/f0.py"] = "def go0(n):\n    return lost(n)\n"
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.replace_files(sources(spark, texts))
+    before = {t: set(store.latest().paths(t)) for t in TABLES_IN_BUCKETS}
+    assert all(len(before[t]) == 10 for t in ("files", "symbols"))
+    texts["m/f199.py"] = "def go199(n):\n    return 1\ndef lost(n):\n    return 2\n"  # what f0 calls is found now
+    store.replace_files(sources(spark, {"m/f199.py": texts["m/f199.py"]}))
+    after = {t: set(store.latest().paths(t)) for t in TABLES_IN_BUCKETS}
+    new = {t: len(after[t] - before[t]) for t in TABLES_IN_BUCKETS}
+    assert new["files"] == new["symbols"] == 1 and new["imports"] <= 1 and 1 <= new["calls"] <= 2
+    assert len(store.latest().index().segments) == 2
+    fresh = Store(spark, f"file://{tmp_path}/fresh")
+    fresh.replace_files(sources(spark, texts))
+    for t in TABLES_IN_BUCKETS:
+        assert sorted(map(str, store.table(t).collect())) == sorted(map(str, fresh.table(t).collect())), t
+    one, other = store.latest().index(), fresh.latest().index()
+    assert (one.docs, one.tokens) == (other.docs, other.tokens)
+    assert one.search("lost go12").collect() == other.search("lost go12").collect() != []
+    left = tmp_path / "store/data/leftover"
+    left.mkdir()
+    assert store.clean(age_ms=86_400_000) == 0 and left.exists()
+    assert store.clean(age_ms=-10_000) == 1 and not left.exists() and store.table("files").count() == 200
+
+
+def test_sources_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree/a.py").write_bytes(b"# caf\xe9\ndef go(n):\n    return run(n)\n")
+    (tmp_path / "tree/b.py").write_text("def run(n):\n    return n\n")
+    store = Store(spark, f"file://{tmp_path}/store")
+    pid = store.index(f"file://{tmp_path}/tree")
+    assert {r.name for r in store.table("symbols").collect()} == {"go", "run"}
+    assert tools.file_content(store, pid, "a.py").first().text.startswith("# caf\ufffd\n")
+    call = lambda name, **a: tools.call(store, name, project_id=pid, **a)
+    assert call("search_graph", query="running").first().name == "run"  # by its stem
+    assert call("search_graph", query="u").first().name == "run"  # no word begins so, but a name contains it
+    assert call("search_graph", query="run", kinds=["class"]).count() == 0
+    both = {r.name: r.score for r in call("search_graph", query="run go").collect()}
+    assert both["run"] == call("search_graph", query="run go", kinds=["function"]).where("name = 'run'").first().score
+    assert call("complexity", min_complexity=1).first().highest == 1
+    assert [r.name for r in tools.file_symbols(store, pid, "a.py").collect()] == ["go"]
+    assert '"kind":"function"' in tools.as_json(tools.file_symbols(store, pid, "a.py")).first().json
+    assert tools.entry_points(store, pid).count() == 1
+    import os
+
+    os.utime(tmp_path / "tree/b.py", (5, 5))
+    assert store.changes(f"file://{tmp_path}/tree").count() == 1 and store.changes(f"file://{tmp_path}/tree", by_hash=True).count() == 0
+
+
 def test_git(spark, tmp_path):
     import subprocess
 

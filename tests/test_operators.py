@@ -232,3 +232,115 @@ def test_cochange_and_adrs(spark):
     assert gov.adr_next(none).first().number == 1
     one = gov.adr_create(none, "T")
     assert [(r.number, r.title, r.status) for r in one.collect()] == [(1, "T", "proposed")]
+
+
+def test_long_path_takes_half_the_rounds(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(16)] + [(0, 100), (100, 2), (5, 200), (14, 300)]
+    e = spark.createDataFrame(chain, "src long, dst long")
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, tag: (written.append(tag), real(df, tag))[1])
+    assert [r.node for r in graph.shortest_path(e, 0, 16).orderBy("step").collect()] == list(range(17))
+    assert written.count("level") == 8
+    assert graph.shortest_path(e, 300, 0).count() == 0
+
+
+def test_paths_as_by_single_search(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(110)] + [(1, 70 + k) for k in range(30)]
+    cut_edges = spark.createDataFrame(edges, "src long, dst long")
+    before = {}
+    for a, b in edges:
+        before.setdefault(b, set()).add(a)
+
+    def plain(start, goal):
+        level, at = {start}, {start: 0}
+        while level and goal not in at:
+            level = {b for a, b in edges if a in level and b not in at}
+            at |= {b: max(at.values()) + 1 for b in level}
+        if goal not in at:
+            return []
+        path = [goal]
+        while path[-1] != start:
+            path.append(min(a for a in before[path[-1]] if at.get(a, -1) == at[path[-1]] - 1))
+        return path[::-1]
+
+    for start, goal in [(1, 17), (3, 44), (9, 71), (12, 12), (20, 5)]:
+        assert [r.node for r in graph.shortest_path(cut_edges, start, goal).orderBy("step").collect()] == plain(start, goal), (start, goal)
+
+
+def test_ordinals(spark):
+    from tessera.operators.ordinals import ordinals
+
+    keys = [None, 5, 5, -3, 900, 12, 7, 7, 41, 42, 43]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    want = {k: i for i, k in enumerate(sorted({k for k in keys if k is not None}, key=int), 1)} | {None: 0}
+    for ranges in (1, 4):
+        assert {r.k: r.n for r in ordinals(df, "k", "n", ranges).collect()} == want
+    assert ordinals(df.limit(0), "k", "n").count() == 0
+
+
+def test_intervals_as_all_pairs(spark):
+    import random
+
+    from tessera.operators import intervals
+
+    rng = random.Random(1)
+    ranges = [(i, rng.randrange(3), a, a + rng.choice([0, 1, 7, 300, -1])) for i, a in enumerate(rng.randrange(2000) for _ in range(300))] + [(900, 0, 0, 2**31 - 1)]
+    others = [(rng.randrange(4), a, a + rng.choice([0, 2, 90])) for a in (rng.randrange(2500) for _ in range(60))]
+    r = spark.createDataFrame(ranges, "id long, g int, s int, e int")
+    o = spark.createDataFrame(others, "g int, first int, last int")
+    got = sorted(x.id for x in intervals.overlapping(r, o, "g", ("id", "s", "e")).collect())
+    assert got == sorted(i for i, g, s, e in ranges if s <= e and any(g == h and a <= e and b >= s for h, a, b in others))
+
+
+def test_intervals_look_at_rows_not_pairs(spark):
+    """One file of many nested symbols: rows that the joins see grow with the symbols."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import intervals
+
+    n = 20_000
+    r = spark.range(n).select("id", F.lit(1).alias("g"), F.col("id").cast("int").alias("s"), (2 * n - F.col("id")).cast("int").alias("e"))
+    sizes = r.select(F.size(intervals.cover(F.col("s"), F.col("e"))).alias("c")).agg(F.max("c")).first()[0]
+    assert sizes <= 2 * intervals.LEVELS
+    o = r.where("id % 2 = 0").select("g", F.col("s").alias("first"), F.col("e").alias("last"))
+    assert intervals.overlapping(r, o, "g", ("id", "s", "e")).count() == n
+
+
+def test_cochange_in_blocks(spark):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    commits = [(c, f) for c in range(6) for f in rng.sample(range(40), rng.randint(1, 30))] + [(9, f) for f in range(300)]
+    df = spark.createDataFrame(commits + commits[:20], "commit long, file long")
+    want = Counter(p for c in {c for c, _ in commits} for p in combinations(sorted({f for d, f in commits if d == c}), 2))
+    assert {(r.file1, r.file2): r.n for r in gov.cochange(df, None, most=8).collect()} == want
+    left, right = gov.commit_blocks(spark.range(5000).select(F.lit(1).alias("commit"), F.col("id").alias("file")), most=100)
+    sizes = left.union(right).groupBy("commit", "i", "j").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 300 and sizes[1] == 50 * 51 // 2
+
+
+def test_crowded_nodes(spark, monkeypatch):
+    from tessera.operators import components as c
+
+    monkeypatch.setattr(c, "CROWDED", 20)
+    edges = [(0, k) for k in range(1, 90)] + [(200, k) for k in range(201, 230)] + [(300, 301), (89, 500)]
+    got = {r.node: r.component for r in c.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in [*range(90), 500]} | {k: 200 for k in range(200, 230)} | {300: 300, 301: 300}
+
+
+def test_community_list(spark):
+    from tessera.operators import metrics
+
+    members = spark.createDataFrame([(1, "a/x")] * 3 + [(0, "b · y")] * 2 + [(2, "a/z"), (3, "plain")], "community long, name string")
+    rows = lambda **a: [tuple(r) for r in metrics.community_list(members, **a).collect()]
+    assert rows() == [("b ", 0, "b · y", 2), ("a", 1, "a/x", 3), ("a", 2, "a/z", 1), ("_", 3, "plain", 1)]
+    assert [r[1] for r in rows(sort="count-desc")] == [1, 0, 2, 3] and [r[1] for r in rows(sort="count-asc")] == [2, 3, 0, 1]
+    assert rows(least=2, contains="X", sort="name") == [("a", 1, "a/x", 3)]
