@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,25 @@ def cyclomatic(body: Column, language: str = "generic") -> Column:
     return F.when(_blank(body), 1).otherwise(F.least(F.regexp_count(body, F.lit(rx)) + 1, F.lit(CAP)))
 
 
+def _decisions(language: str) -> list[str]:
+    """The words and operators of a language's decision points, as texts."""
+    inner = CYCLOMATIC[language].removeprefix(r"\b(").removesuffix(r")\b")
+    return [w.replace("\\", "") for w in inner.replace(r"\|\|", "\0").split("|") for w in [w.replace("\0", "||")] if r"\s" not in w]
+
+
+def decision_points(body: Column) -> Column:
+    """Everything in the body that is a decision point in some language, found in one
+    pass. A whole word or an operator between words is matched alone, so a language's
+    points are those of these that it has; ``else if`` counts by its ``if``."""
+    every = sorted({w for language in CYCLOMATIC for w in _decisions(language)})
+    return F.regexp_extract_all(body, F.lit(r"\b(" + "|".join(re.escape(w) for w in every) + r")\b"), F.lit(0))
+
+
+def cyclomatic_of(points: Column, language: str) -> Column:
+    """``cyclomatic`` by the body's ``decision_points``."""
+    return F.least(F.coalesce(F.size(F.filter(points, lambda w: w.isin(_decisions(language)))), F.lit(0)) + 1, F.lit(CAP))
+
+
 def _any_word(words: str) -> str:
     return r"\b(" + "|".join(words.split()) + r")\b"
 
@@ -89,6 +110,26 @@ def cognitive(body: Column, language: str = "generic", lines: Column | None = No
     return F.when(_blank(body), 0).otherwise(F.least(total.cast("long"), F.lit(CAP)).cast("int"))
 
 
+def nesting_marks(lines: Column, languages: list[str]) -> Column:
+    """For each of the ``code_lines`` with a nesting word of some language a number
+    whose bit k says that language k has one of its words: one pass over the words."""
+    masks = {w: sum(1 << k for k, x in enumerate(languages) if w in NESTING[x].split()) for w in sorted({w for x in languages for w in NESTING[x].split()})}
+    rx = _any_word(" ".join(masks))
+    of_word = F.create_map(*[F.lit(x) for pair in masks.items() for x in pair])
+    found = lambda line: F.regexp_extract_all(line, F.lit(rx), F.lit(0))
+    return F.transform(F.filter(lines, lambda x: x.rlike(rx)), lambda x: F.aggregate(found(x), F.lit(0), lambda m, w: m.bitwiseOR(F.element_at(of_word, w))))
+
+
+def operators(lines: Column) -> Column:
+    return _operators(lines)
+
+
+def cognitive_of(body: Column, marks: Column, ops: Column, k: int) -> Column:
+    """``cognitive`` of the k-th language of ``nesting_marks``, one that leaves no level."""
+    n = F.size(F.filter(marks, lambda m: m.bitwiseAND(F.lit(1 << k)) != 0)).cast("long")
+    return F.when(_blank(body), 0).otherwise(F.least((n * (n + 1) / 2 + ops).cast("long"), F.lit(CAP)).cast("int"))
+
+
 def maintainability(cyclomatic_: Column, start_line: Column, end_line: Column) -> Column:
     """171 - 5.2 ln(loc) - 0.23 max(1, cyclomatic) - 16.2 ln(loc), within 0 and 100; 100 without lines."""
     loc = end_line - start_line + 1

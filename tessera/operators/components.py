@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut, rows, small_enough
+from ..plans.storage import cut, small_enough
 
 SALTS, CROWDED = 16, 10_000
 
@@ -19,9 +19,9 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     comes first; only a crowded node's goes to shares of its pairs, and only such nodes
     are looked up to know their shares: they are few, as each has ``CROWDED`` pairs."""
     least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-    crowded = cut(least.where(F.col("n") >= CROWDED).select("u", F.col("m").alias("_m")), "crowded")
-    if not rows(crowded):
+    if least.where(F.col("n") >= CROWDED).isEmpty():
         return pairs.join(least.select("u", "m"), "u")
+    crowded = cut(least.where(F.col("n") >= CROWDED).select("u", F.col("m").alias("_m")), "crowded")
     marked = pairs.join(small_enough(crowded), "u", "left")
     shares = crowded.select("u", F.col("_m").alias("m")).withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
     salted = marked.where("_m is not null").select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("_s")).join(shares, ["u", "_s"]).select("u", "v", "m")

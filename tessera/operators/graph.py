@@ -88,6 +88,7 @@ def impact(calls: DataFrame, symbols: DataFrame, node: int, depth: int = 5, dire
 
 
 READ_BACK = 16  # steps of a path that one job reads back
+KNOWN_PARTS = 8  # levels that are held as they are before they become one table
 LOPSIDED = 8  # a side that is so many times wider than the other waits
 
 
@@ -98,31 +99,73 @@ def _fronts(steps: DataFrame, start: int, goal: int) -> tuple[list[DataFrame], l
     spark = steps.sparkSession
     ends = {"f": start, "b": goal}
     frontier = spark.createDataFrame(list(ends.items()), "side string, node long")
-    known, sizes = frontier, {"f": 1, "b": 1}
+    known, sizes = [frontier], {"f": 1, "b": 1}
     levels = {side: [one(spark, node)] for side, node in ends.items()}
     both = steps.select(F.lit("f").alias("side"), "a", "b").union(steps.select(F.lit("b").alias("side"), F.col("b").alias("a"), F.col("a").alias("b")))
     while True:
         go = [side for side, other in ("fb", "bf") if sizes[side] <= LOPSIDED * sizes[other]]
         here = frontier.where(F.col("side").isin(go))
         found = both.join(here, (both.side == here.side) & (both.a == here.node)).groupBy(both.side, F.col("b").alias("node")).agg(F.min("a").alias("prev"))
-        level = cut(found.join(known, ["side", "node"], "left_anti"), "level")
-        new = {r["side"]: r["n"] for r in level.groupBy("side").agg(F.count("*").alias("n")).collect()}
-        last = {side: levels[side][-1] for side in ends}
+        level = cut(found.join(reduce(DataFrame.union, known), ["side", "node"], "left_anti"), "level")
+        last = {side: levels[side][-1].select("node", F.lit(True).alias(f"last_{side}")) for side in ends}
+        at = level.groupBy("node").agg(*[F.max(F.col("side") == side).alias(side) for side in ends])
+        seen = at.join(last["f"], "node", "left").join(last["b"], "node", "left").agg(F.count_if("f").alias("f"), F.count_if("b").alias("b"), F.count_if(F.col("f") & F.col("last_b")).alias("forward"), F.count_if(F.col("b") & F.col("last_f")).alias("backward"), F.count_if(F.col("f") & F.col("b")).alias("between")).first()
         for side in go:
-            sizes[side] = new.get(side, 0)
+            sizes[side] = seen[side]
             levels[side].append(level.where(F.col("side") == side).select("node", "prev"))
-        meet = lambda x, y: not x.join(y.select("node"), "node", "left_semi").isEmpty()
-        if "f" in go and meet(levels["f"][-1], last["b"]):
+        if seen["forward"]:
             return levels["f"], levels["b"][: len(levels["b"]) - ("b" in go)]
-        if "b" in go and meet(levels["b"][-1], levels["f"][-1]):
-            return levels["f"], levels["b"]
+        if seen["backward"] or seen["between"]:
+            return levels["f"][: len(levels["f"]) - ("f" in go and not seen["between"])], levels["b"]
         if not all(sizes.values()):
             return None
-        known = cut(known.union(level.select("side", "node")), "seen")
-        frontier = level.select("side", "node") if len(go) == 2 else frontier.where(~F.col("side").isin(go)).union(level.select("side", "node"))
-
-
-def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
+        level = level.select("side", "node")
+        known.append(level)
+        if len(known) > KNOWN_PARTS:
+            known = [cut(reduce(DataFrame.union, known), "seen")]
+        frontier = level if len(go) == 2 else frontier.where(~F.col("side").isin(go)).union(level)
+
+
+def _path_of_few(steps: DataFrame, start: int, goal: int, narrow: int) -> list[int] | None:
+    """The path, [] if there is none, while a round looks at ``narrow`` edges at most and
+    the driver can hold them; None beyond that."""
+    ahead: dict[int, int | None] = {start: None}
+    back: dict[int, set[int]] = {goal: set()}
+    front, rear = {start}, {goal}
+    while front and rear:
+        rows = steps.where(F.col("a").isin(list(front)) | F.col("b").isin(list(rear))).limit(narrow + 1).collect()
+        if len(rows) > narrow or len(ahead) + len(back) > 2 * narrow:
+            return None
+        new_front: dict[int, int] = {}
+        new_rear: dict[int, set[int]] = {}
+        for a, b in rows:
+            if a in front and b not in ahead:
+                new_front[b] = min(new_front.get(b, a), a)
+            if b in rear and a not in back:
+                new_rear.setdefault(a, set()).add(b)
+        ahead |= new_front
+        middle = new_front.keys() & rear
+        if not middle:
+            back |= new_rear
+            middle = new_front.keys() & new_rear.keys()
+        if middle:
+            before, level = {}, set(middle)
+            while goal not in level:
+                far: dict[int, int] = {}
+                for x in level:
+                    for y in back[x]:
+                        far[y] = min(far.get(y, x), x)
+                before |= far
+                level = set(far)
+            path = [goal]
+            while path[-1] != start:
+                path.append(before[path[-1]] if path[-1] in before else ahead[path[-1]])
+            return path[::-1]
+        front, rear = set(new_front), set(new_rear)
+    return []
+
+
+def shortest_path(edges: DataFrame, start: int, goal: int, narrow: int = NARROW) -> DataFrame:
     """(step, node) of a shortest directed path; of several, the one with the least
     predecessor at every step, seen from the goal. Empty if there is none. The search
     goes from both ends; predecessors of the far half are found from the middle on."""
@@ -130,6 +173,9 @@ def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
     if start == goal:
         return spark.createDataFrame([(0, start)], "step int, node long")
     steps = cut(_turned(edges, "down").distinct(), "steps")
+    few = _path_of_few(steps, start, goal, narrow)
+    if few is not None:
+        return spark.createDataFrame(list(enumerate(few)), "step int, node long")
     fronts = _fronts(steps, start, goal)
     if fronts is None:
         return spark.createDataFrame([], "step int, node long")

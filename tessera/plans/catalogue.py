@@ -272,7 +272,8 @@ def _cyclomatic_sql(rx: str) -> str:
 
 @query("SELECT doc_id, " + ", ".join(f"{_cyclomatic_sql(rx)} AS {lang}" for lang, rx in code.CYCLOMATIC.items()) + " FROM documents")
 def cyclomatic(b: Bound) -> DataFrame:
-    return b.documents.select("doc_id", *[code.cyclomatic(F.col("text"), lang).alias(lang) for lang in code.CYCLOMATIC])
+    found = b.documents.select("doc_id", code.decision_points(F.col("text")).alias("_points"))
+    return found.select("doc_id", *[code.cyclomatic_of(F.col("_points"), lang).alias(lang) for lang in code.CYCLOMATIC])
 
 
 def _cognitive_sql(lang: str) -> str:
@@ -291,7 +292,9 @@ _CODE_LINES = (
 
 @query(_CODE_LINES + "SELECT doc_id, " + ", ".join(f"{_cognitive_sql(x)} AS {x}" for x in _BRACE) + " FROM o")
 def cognitive_brace(b: Bound) -> DataFrame:
-    return _cognitive(b, _BRACE)
+    lines = b.documents.select("doc_id", "text", code.code_lines(F.col("text")).alias("_lines"))
+    marked = lines.select("doc_id", "text", code.nesting_marks(F.col("_lines"), _BRACE).alias("_marks"), code.operators(F.col("_lines")).alias("_ops"))
+    return marked.select("doc_id", *[code.cognitive_of(F.col("text"), F.col("_marks"), F.col("_ops"), k).alias(x) for k, x in enumerate(_BRACE)])
 
 
 def _cognitive(b: Bound, languages: list[str]) -> DataFrame:
@@ -564,25 +567,31 @@ def manifesto_check(b: Bound) -> DataFrame:
     return gov.manifesto_check(_rules(b), gov.measures(b.symbols, _roles(b)))
 
 
-ADRS = "(1, 'Use Parquet', 'accepted', 'ctx', 'dec', 'con'), (2, 'Shard by key', 'proposed', NULL, 'd2', NULL), (7, 'Drop RDDs', 'superseded', 'c7', NULL, 'x7')"
-ADR_CHANGES = "(2, 'accepted', 'why'), (7, NULL, NULL), (9, 'accepted', 'none')"
+
+
+#: Decision records: an order each, numbered by its key; what the order's lines say revises it.
+_ADR_SQL = "a AS (SELECT CAST(o_orderkey AS INT) AS number, 'Order of ' || o_custkey AS title, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'superseded' ELSE 'proposed' END AS status, o_orderpriority AS context_text, 'buy for ' || CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS consequences FROM orders), r AS (SELECT CAST(l_orderkey AS INT) AS number, CASE WHEN min(l_returnflag) = 'R' THEN 'deprecated' END AS status, CASE WHEN count(*) > 3 THEN count(*) || ' lines' END AS context_text FROM lineitem GROUP BY 1)"
 
 
 def _adrs(b: Bound) -> DataFrame:
-    return b.spark.sql(f"SELECT * FROM VALUES {ADRS} AS t(number, title, status, context_text, decision, consequences)")
+    status = F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "P", "superseded").otherwise("proposed")
+    decision = F.concat(F.lit("buy for "), F.round("o_totalprice").cast("long").cast("string"))
+    return b.table("orders").select(F.col("o_orderkey").cast("int").alias("number"), F.concat(F.lit("Order of "), F.col("o_custkey").cast("string")).alias("title"), status.alias("status"), F.col("o_orderpriority").alias("context_text"), decision.alias("decision"), F.lit(None).cast("string").alias("consequences"))
 
 
-@query(f"SELECT CAST(coalesce(max(number), 0) + 1 AS INT) AS number FROM (VALUES {ADRS}) t(number, title, status, context_text, decision, consequences)")
+@query(f"WITH {_ADR_SQL} SELECT CAST(coalesce(max(number), 0) + 1 AS INT) AS number FROM a")
 def adr_next(b: Bound) -> DataFrame:
     return gov.adr_next(_adrs(b))
 
 
-@query(f"SELECT t.number, title, coalesce(c.status, t.status) AS status, coalesce(c.context_text, t.context_text) AS context_text, decision, consequences FROM (VALUES {ADRS}) t(number, title, status, context_text, decision, consequences) LEFT JOIN (VALUES {ADR_CHANGES}) c(number, status, context_text) ON c.number = t.number")
+@query(f"WITH {_ADR_SQL} SELECT a.number, title, coalesce(r.status, a.status) AS status, coalesce(r.context_text, a.context_text) AS context_text, decision, consequences FROM a LEFT JOIN r ON r.number = a.number")
 def adr_update(b: Bound) -> DataFrame:
-    return gov.adr_update(_adrs(b), b.spark.sql(f"SELECT * FROM VALUES {ADR_CHANGES} AS t(number, status, context_text)"))
+    n = F.count("*")
+    revised = b.table("lineitem").groupBy(F.col("l_orderkey").cast("int").alias("number")).agg(F.when(F.min("l_returnflag") == "R", "deprecated").alias("status"), F.when(n > 3, F.concat(n.cast("string"), F.lit(" lines"))).alias("context_text"))
+    return gov.adr_update(_adrs(b), revised)
 
 
-@query(f"SELECT number, title, status, context_text, decision, consequences FROM (VALUES {ADRS}, (8, 'New', 'proposed', NULL, 'do', NULL)) t(number, title, status, context_text, decision, consequences) WHERE status = 'proposed'")
+@query(f"WITH {_ADR_SQL} SELECT * FROM a WHERE status = 'proposed' UNION ALL SELECT CAST(max(number) + 1 AS INT), 'New', 'proposed', NULL, 'do', NULL FROM a")
 def adr_create_list(b: Bound) -> DataFrame:
     return gov.adr_list(gov.adr_create(_adrs(b), "New", decision="do"), "proposed")
 

@@ -227,12 +227,19 @@ class Store:
     def project_of(self, root: str) -> str:
         return self.spark.range(1).select(ingest.project_id(plain_path(root)).alias("id")).first()["id"]
 
-    def update(self, root: str, by_hash: bool = False, now_ms: int | None = None) -> None:
-        """Indexes only what changed, and drops what is gone."""
-        changed = cut(self.changes(root, by_hash), "changes")
+    def update(self, root: str, by_hash: bool = False, now_ms: int | None = None, journal: str | None = None) -> None:
+        """Indexes only what changed, and drops what is gone; with the name of a journal
+        that is in the root, only of what that lists, and removes it when that is done."""
+        listed = ingest.journal(self.spark, root, journal) if journal else None
+        changed = self.changes(root, by_hash)
+        if listed is not None:
+            changed = changed.join(listed, "relative_path", "left_semi")
+        changed = cut(changed, "changes")
         gone = changed.where("status = 'deleted'").select(F.xxhash64(F.lit(self.project_of(root)), "relative_path").alias("id"))
         fresh = changed.where("status <> 'deleted'").select("relative_path")
         self.replace_files(ingest.scan(self.spark, root).join(fresh, "relative_path", "left_semi"), gone=gone, project=self.project_of(root), now_ms=now_ms)
+        if listed is not None:
+            ingest.clear_journal(self.spark, root, journal)
 
     def replace_files(self, files: DataFrame, batch: str | None = None, gone: DataFrame | None = None, project: str | None = None, now_ms: int | None = None) -> None:
         """Puts these files of one project in place of what was stored for them, without ``gone`` (ids)."""

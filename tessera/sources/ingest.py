@@ -82,6 +82,21 @@ def git_ignored(spark: SparkSession, root: str) -> Column:
     return F.exists(F.sequence(F.lit(1), F.size(parts)), ignored)
 
 
+def journal(spark: SparkSession, root: str, name: str = "changes.journal") -> DataFrame | None:
+    """(relative_path): the files that a journal in the root lists, a line each; None
+    without one. Its name must not begin with a dot, as Spark reads no such files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.text(path.toString()).select(F.trim("value").alias("relative_path")).where("relative_path <> ''")
+
+
+def clear_journal(spark: SparkSession, root: str, name: str = "changes.journal") -> None:
+    """Removes the journal, if there is one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() or c in "/_" else "\\" + c for c in text)
 

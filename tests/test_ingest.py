@@ -322,6 +322,18 @@ def test_sources_that_are_not_utf8(spark, tmp_path):
     assert store.changes(f"file://{tmp_path}/tree").count() == 1 and store.changes(f"file://{tmp_path}/tree", by_hash=True).count() == 0
 
 
+def test_journal(spark, tree, store, tmp_path):
+    assert ingest.journal(spark, tree) is None
+    ingest.clear_journal(spark, tree)
+    store.index(tree)
+    for name in ("x", "y"):
+        (tmp_path / f"tree/tool/{name}.py").write_text("def f():\n    pass\n")
+    (tmp_path / "tree/changes.journal").write_text("  tool/x.py \n\ntool/none.py\n")
+    store.update(tree, journal="changes.journal")
+    paths = {r.relative_path for r in store.table("files").collect()}
+    assert "tool/x.py" in paths and "tool/y.py" not in paths and not (tmp_path / "tree/changes.journal").exists()
+
+
 def test_git(spark, tmp_path):
     import subprocess
 

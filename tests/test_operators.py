@@ -240,9 +240,9 @@ def test_long_path_takes_half_the_rounds(spark, monkeypatch):
     written = []
     real = graph.cut
     monkeypatch.setattr(graph, "cut", lambda df, tag: (written.append(tag), real(df, tag))[1])
-    assert [r.node for r in graph.shortest_path(e, 0, 16).orderBy("step").collect()] == list(range(17))
+    assert [r.node for r in graph.shortest_path(e, 0, 16, narrow=0).orderBy("step").collect()] == list(range(17))
     assert written.count("level") == 8
-    assert graph.shortest_path(e, 300, 0).count() == 0
+    assert graph.shortest_path(e, 300, 0, narrow=0).count() == graph.shortest_path(e, 300, 0).count() == 0
 
 
 def test_paths_as_by_single_search(spark):
@@ -268,7 +268,8 @@ def test_paths_as_by_single_search(spark):
         return path[::-1]
 
     for start, goal in [(1, 17), (3, 44), (9, 71), (12, 12), (20, 5)]:
-        assert [r.node for r in graph.shortest_path(cut_edges, start, goal).orderBy("step").collect()] == plain(start, goal), (start, goal)
+        for narrow in (1000, 12):
+            assert [r.node for r in graph.shortest_path(cut_edges, start, goal, narrow).orderBy("step").collect()] == plain(start, goal), (start, goal)
 
 
 def test_ordinals(spark):
