@@ -6,19 +6,28 @@ sum; whole blocks that it touches make up the text. Weights are log-odds of
 lying inside the content, counted on labelled pages: those that mark their
 content themselves with ``article`` or ``main``: ``SAMPLE`` of them, or all if
 there are fewer, chosen by hash among the distinct ones, so that neither copies
-nor pages without marks take up places. Fixed prior counts stand for what the sample lacks. A word's
-weight depends on where it stands: in a link or not, inside or outside a mark of
-content where the page has one, or in an element that is not content by its
-name, role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-comments); such elements lie outside the text even within the region. A class or
-id names such an element if all its parts do, beside words for place and shape
-("site-footer", not "content-sidebar-wrap" or "comments-open"). None of these
-rules takes out an element around a ``main``, around the page's longest marked
+nor pages without marks take up places. Fixed prior counts stand for what the
+sample lacks. A word in a link weighs against.
+
+On a page to be extracted a mark is evidence of bounded weight: tags in it weigh
+nothing, and a plain word outside marks weighs as a plain word times 1 - 2 s, where s
+is the share of the page's plain words that lie in marks. So where the marks have most
+of the text, what is outside counts against, and where they have little of it, it counts
+for. The scan gives all maximal scoring subsequences in one pass (Ruzzo and Tompa);
+of a page with marks each one that has marked words is taken, else the best one.
+
+Elements that are no content by their name, role or class (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) lie outside the text even within the
+region. A class or id names such an element if all its parts do, beside words for
+place and shape ("site-footer", not "content-sidebar-wrap" or "comments-open"). These
+rules take out no element around a ``main``, around the page's longest marked
 part, or with more words of its own outside links than the page has around it
-(``nav``, ``aside`` and their like stay out however long); a form around an
-``article`` is no form. Inside a mark of content such elements, and all tags, weigh nothing, so that the region
-takes in the mark from its first word to its last. A page with several marks has a
-region for each that the best one does not reach.
+(``nav``, ``aside`` and their like stay out however long, and so do readers' comments,
+though they be longer than the text, or each an ``article``); a form around an
+``article`` is no form. On a page without marks what lies in one list or in one such
+element counts against ``SHARED_COST`` plain words at most, so a long list between two
+parts of a text does not cut one off, and a title from which less than ``HEAD_COST``
+plain words part the region belongs to it.
 
 Defined results: null or empty html gives an empty text; a very long page is read
 whole; of regions with equal sums the first counts; an empty table gives an empty
@@ -42,6 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 500
+SHARED_COST, HEAD_COST = 30, 20
 
 # Element names and words of class names, in HTML use.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +70,8 @@ OUTSIDE_WORDS = set(
 BESIDE_WORDS = set(
     "top bottom left right upper lower site page main primary secondary global mobile desktop header inner outer box area bar block section container wrap wrapper slot unit list item items link links button buttons btn icon icons title heading active close form post posts article articles story stories entry column col row".split()
 )
+COMMENT_WORDS = set("comment comments disqus respond reply replies".split())
+LISTS = set("ul ol dl table menu select".split())
 HEADER_WORDS = {"site", "global", "main", "top", "wrap", "wrapper", "inner", "container"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
@@ -79,17 +91,21 @@ def _named(token: str, in_content: bool) -> bool:
 
 def _outside(name: str, attributes: str, in_content: bool) -> str:
     """How the element is no content by its name, role or class: "never" is text,
-    "apart" or "named"; "" if it may be."""
+    "apart", "comment" or "named"; "" if it may be."""
     if name in OUTSIDE:
         return "never"
     how = "apart" if name in APART else "named" if name == "form" or name == "header" and not in_content else ""
-    if not attributes or name in ("html", "body", *CONTENT):
+    if not attributes or name in ("html", "body"):
         return how
     for m in _ATTR.finditer(attributes):
         key = (m[1] or m[5]).lower()
         if key == "hidden":
             return "never"
         value = next((v for v in m.groups()[1:4] if v), "").lower()
+        if key in ("class", "id") and any(COMMENT_WORDS & set(_WORDS.split(one)) and _named(one, in_content) for one in value.split()):
+            return "comment"
+        if name in CONTENT:
+            continue
         if key == "role" and value in OUTSIDE_ROLES:
             how = how or ("named" if value == "form" else "apart")
         elif key in ("class", "id") and not how and any(_named(one, in_content) for one in value.split()):
@@ -101,7 +117,9 @@ def _outside(name: str, attributes: str, in_content: bool) -> str:
 class Token:
     """A tag (its name) or a run of text. place: "out", "link", "in" (a mark of
     content) or "plain". block: the number of the block that a run belongs to.
-    inside: of "out", the element that is no content lies in a mark of content."""
+    inside: of "out", the element that is no content lies in a mark of content.
+    group: the outermost list or element that is no content around it, or 0. head: it
+    lies in an h1."""
 
     tag: str = ""
     text: str = ""
@@ -109,6 +127,8 @@ class Token:
     place: str = "plain"
     block: int = 0
     inside: bool = False
+    group: int = 0
+    head: bool = False
 
 
 @dataclass
@@ -121,6 +141,7 @@ class _Part:
     around: int
     form: bool = False
     apart: bool = False
+    comment: bool = False
     in_content: bool = False
     in_main: bool = False
     words: int = 0
@@ -138,12 +159,13 @@ def _settle(parts: list[_Part]) -> None:
     for p in parts[1:]:
         p.whole = p.words
         p.apart = p.apart or parts[p.around].apart
-        everything += 0 if p.apart else p.words
-    named = [not p.apart for p in parts]
+        p.comment = p.comment or parts[p.around].comment
+        everything += 0 if p.apart or p.comment else p.words
+    named = [not p.apart and not p.comment for p in parts]
     for i in range(len(parts) - 1, 0, -1):
         p, q = parts[i], parts[parts[i].around]
         holds_mark = not p.in_main and p.main or not p.in_content and p.marked and (p.form or p.marked >= longest)
-        p.out = not holds_mark and not (named[i] and p.words > everything - p.whole)
+        p.out = p.comment or not holds_mark and not (named[i] and p.words > everything - p.whole)
         if named[i]:
             q.whole += p.whole
         if not p.out:
@@ -156,7 +178,10 @@ def _settle(parts: list[_Part]) -> None:
 
 @dataclass
 class _State:
-    open: list[tuple[str, str, int]] = field(default_factory=list)
+    open: list[tuple[str, str, int, int]] = field(default_factory=list)
+    group: int = 0
+    groups: int = 0
+    head: int = 0
     never: int = 0
     content: int = 0
     main: int = 0
@@ -165,19 +190,24 @@ class _State:
     parts: list[_Part] = field(default_factory=lambda: [_Part(0)])
 
     def push(self, name: str, outside: str) -> None:
-        self.open.append((name, outside, self.part))
-        if outside in ("apart", "named"):
-            self.parts.append(_Part(self.part, name == "form", outside == "apart", self.content > 0, self.main > 0))
+        self.open.append((name, outside, self.part, self.group))
+        if outside in ("apart", "named", "comment"):
+            self.parts.append(_Part(self.part, name == "form", outside == "apart", outside == "comment", self.content > 0, self.main > 0))
             self.part = len(self.parts) - 1
+        if not self.group and (name in LISTS or outside in ("apart", "comment")):
+            self.groups += 1
+            self.group = self.groups
+        self.head += name == "h1"
         self.never += outside == "never"
-        self.content += name in CONTENT
+        self.content += name in CONTENT and outside != "comment"
         self.main += name == "main"
         self.link += name == "a"
 
     def pop(self) -> None:
-        name, outside, self.part = self.open.pop()
+        name, outside, self.part, self.group = self.open.pop()
+        self.head -= name == "h1"
         self.never -= outside == "never"
-        self.content -= name in CONTENT
+        self.content -= name in CONTENT and outside != "comment"
         self.main -= name == "main"
         self.link -= name == "a"
 
@@ -208,6 +238,7 @@ def tokens(page: str) -> list[Token]:
             t.place, t.inside = "out", s.content > 0
         else:
             t.place = "in" if s.content else "link" if s.link and not t.tag else "plain"
+        t.group, t.head = s.group, s.head > 0
         out.append(t)
         parts.append(s.part)
 
@@ -252,14 +283,13 @@ class Weights:
     tags: dict[str, float]
     words: dict[str, float]
 
-    def of(self, t: Token, marked: bool) -> float:
-        """marked: the page marks its content, so what lies elsewhere counts as outside."""
+    def of(self, t: Token, outside: float) -> float:
+        """outside: by what a plain word outside marks is multiplied."""
         if t.inside or t.tag and t.place in ("in", "out"):
             return 0.0
         if t.tag:
             return self.tags.get(t.tag, self.tags[""])
-        place = "out" if marked and t.place in ("plain", "link") else t.place
-        return t.words * self.words[place]
+        return t.words * self.words[t.place] * (outside if t.place == "plain" else 1)
 
 
 def _odds(inside: float, outside: float) -> float:
@@ -298,34 +328,72 @@ def weights(pages: list[str]) -> Weights:
     return Weights(by_tag, by_word)
 
 
-def best_region(scores: list[float]) -> tuple[int, int]:
-    """The first contiguous region with the greatest positive sum, or (0, 0)."""
-    best, region, total, start = 0.0, (0, 0), 0.0, 0
+def maximal(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring subsequences (start, end, sum), from left to right, in one
+    pass: the best one, the best ones of what is left on its sides, and so on."""
+    found: list[tuple[int, int, float, float, int]] = []  # with the sums before and after, and the last one with less before
+    total = 0.0
     for i, x in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, i
+        if x > 0:
+            start, low, high = i, total, total + x
+            while True:
+                j = len(found) - 1
+                while j >= 0 and found[j][2] >= low:
+                    j = found[j][4]
+                if j < 0 or found[j][3] >= high:
+                    found.append((start, i + 1, low, high, j))
+                    break
+                start, low = found[j][0], found[j][2]
+                del found[j:]
         total += x
-        if total > best:
-            best, region = total, (start, i + 1)
-    return region
+    return [(a, b, high - low) for a, b, low, high, _ in found]
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The first contiguous region with the greatest positive sum, or (0, 0)."""
+    return max(maximal(scores), key=lambda r: r[2], default=(0, 0, 0.0))[:2]
+
+
+def scored(found: list[Token], w: Weights) -> list[float]:
+    """A score a token; without marks what counts against in one group ends at ``SHARED_COST`` words."""
+    inside = sum(t.words for t in found if t.place == "in")
+    beside = sum(t.words for t in found if t.place == "plain" and not t.tag)
+    outside = 1 - 2 * inside / max(1, inside + beside)
+    out, spent, most = [], {}, SHARED_COST * w.words["plain"]
+    for t in found:
+        x = w.of(t, outside)
+        if x < 0 and t.group and not inside:
+            x = max(x, spent.get(t.group, 0.0) - most)
+            spent[t.group] = spent.get(t.group, 0.0) - x
+        out.append(x)
+    return out
 
 
 def regions(found: list[Token], w: Weights) -> list[tuple[int, int]]:
-    """The best region; where the page marks its content, also the best regions of what
-    is left before and after it, as long as they hold marked words."""
-    marked = any(t.place == "in" and t.words for t in found)
-    scores = [w.of(t, marked) for t in found]
-    start, end = best_region(scores)
-    out = [(start, end)] if end else []
-    rest = [(0, start), (end, len(found))] if end and marked else []
-    while rest:
-        a, b = rest.pop()
-        if any(t.place == "in" and t.words for t in found[a:b]):
-            start, end = best_region(scores[a:b])
-            if end:
-                out.append((a + start, a + end))
-                rest += [(a, a + start), (a + end, b)]
-    return sorted(out)
+    """The parts of the page that make up its text, from first to last."""
+    scores = scored(found, w)
+    all_ = maximal(scores)
+    if not all_:
+        return []
+    marked = [0]
+    for t in found:
+        marked.append(marked[-1] + (t.words if t.place == "in" else 0))
+    with_marks = [(a, b) for a, b, _ in all_ if marked[b] > marked[a]]
+    if with_marks:
+        return with_marks
+    start, end, _ = max(all_, key=lambda r: r[2])
+    if not any(t.head for t in found[start:end]):
+        cost, most = 0.0, HEAD_COST * w.words["plain"]
+        for i in range(start - 1, -1, -1):
+            if found[i].head and found[i].words and found[i].place != "out":
+                while i > 0 and found[i - 1].head:
+                    i -= 1
+                start = i
+                break
+            cost += abs(scores[i])
+            if cost > most:
+                break
+    return [(start, end)]
 
 
 def main_text(page: str | None, w: Weights) -> str:

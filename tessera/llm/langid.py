@@ -9,11 +9,15 @@ by expectation-maximisation over the same lattice, on word counts of a bounded
 sample: at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_WORDS`` distinct
 words a language, chosen by hash and by count; of longer words training takes
 consecutive stretches of ``STRETCH`` characters, the mark included. Everything
-else covers all rows.
+else covers all rows. Pieces of two letters or more to which the fit gives less than
+``LEAST_PIECE`` in every language are left out of the lattice afterwards; each
+segmentation that this takes away has such a piece, so the probability of a word of n
+letters falls by n (n + 1) / 2 * 1e-7 at most (prefixes and suffixes sum to 1 at most).
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0;
 ties go to the language that sorts first; letters outside the vocabulary weigh
-the same in every language; without labelled rows every text gets ``und``;
+the same in every language; without labelled rows every text gets ``und``, and an
+empty table gives no rows; a very long text is read whole, in slices of distinct words;
 repeated rows give equal values; other columns are ignored. The score is the
 posterior probability of the language predicted.
 """
@@ -35,6 +39,7 @@ from pyspark.sql import types as T
 from .common import packed, unpacked
 
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 2000, 50_000, 4
+LEAST_PIECE = 1e-7  # in some language, for a piece to stay after the fit
 UNKNOWN = 1e-9  # of a letter that is no piece
 SHARED, FLOOR = 0.02, 1e-8  # share of the languages' mean in each, and the least probability of a piece
 MARK = "▁"
@@ -204,7 +209,7 @@ def fit(samples: dict[str, tuple[list[str], np.ndarray, int]], names: list[str],
             p = c / c.sum()
         columns.append(p)
     p = np.array(columns).T
-    used = (p > 1e-7).any(axis=1) | np.array([len(x) == 1 for x in names])
+    used = (p > LEAST_PIECE).any(axis=1) | np.array([len(x) == 1 for x in names])
     p = p[used]
     p = (1 - SHARED) * p + SHARED * p.mean(axis=1, keepdims=True)
     p = np.maximum(p / p.sum(axis=0), FLOOR)

@@ -146,8 +146,8 @@ class _Pid:
             return
         whole = b"".join(self.pes)
         self.pes = []
-        if whole[:3] != b"\x00\x00\x01" or len(whole) < 9:
-            s.sync_errors += 1
+        if whole[:3] != b"\x00\x00\x01" or len(whole) < 9 or len(whole) < 9 + whole[8] or whole[7] & 0x80 and whole[8] < 5:
+            s.sync_errors += 1  # no start code, or cut off within its header
             return
         size, head = int.from_bytes(whole[4:6], "big"), 9 + whole[8]
         data = whole[head : 6 + size] if size else whole[head:]

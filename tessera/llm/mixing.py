@@ -18,8 +18,9 @@ work. The source table has a row per source.
 
 Defined results: a null text has no words; a null source is a source of its own,
 sorted last; documents without words take nothing; with no words at all every
-target is 0; repeated rows are separate documents; the same rows give the same
-mix; other columns are ignored.
+target is 0, and an empty table gives no rows; repeated rows are separate documents,
+and equal places in the hashed order go by row; a very long text is counted whole and
+taken block by block; the same rows give the same mix; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ independent, so the scan needs no shuffle and bounded memory, and only trigrams
 that some query names are kept.
 
 Defined results: a null or empty text has no spans; offsets count code points,
-ends are exclusive; repeated rows give equal values; other columns are ignored.
+ends are exclusive; a very long text is scanned whole; spans of
+several kinds at one place are all kept, by start and then kind; an empty table gives no
+rows; repeated rows give equal values; other columns are ignored.
 """
 
 from __future__ import annotations

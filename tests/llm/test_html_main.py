@@ -169,3 +169,52 @@ def test_long_and_deep_pages():
     w = H.weights([])
     assert H.main_text(deep, w) == ("word " * 200).strip()
     assert H.main_text(long, w).count("\n") == 39_999
+
+
+def test_maximal_subsequences():
+    def recursive(xs, at=0):
+        i, j = max(((i, j) for i in range(len(xs)) for j in range(i + 1, len(xs) + 1)), key=lambda r: (sum(xs[r[0] : r[1]]), -r[0], r[0] - r[1]), default=(0, 0))
+        if i == j or sum(xs[i:j]) <= 0:
+            return []
+        return recursive(xs[:i], at) + [(at + i, at + j, sum(xs[i:j]))] + recursive(xs[j:], at + j)
+
+    rng = random.Random(5)
+    for _ in range(300):
+        xs = [rng.choice([-7, -5, -3, -2, 1, 2, 3, 5, 11]) + rng.random() / 64 for _ in range(rng.randint(0, 14))]
+        got = H.maximal(xs)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in recursive(xs)]
+
+
+def test_comments_are_no_content_however_long():
+    text, readers = "plain words " * 30, "what a reader says " * 22
+    for mark in ("section id='comments'", "div class='comment-list'", "article class='comment'", "div class='comments'><article"):
+        page = f"<body><div><p>{text}</p></div><{mark}><p>{readers}</p></{mark.split()[0]}></body>"
+        assert H.main_text(page, W) == text.strip(), mark
+    page = f"<body><article><p>One</p></article><article class='comment'><p>{readers}</p></article></body>"
+    assert "reader" not in H.main_text(page, W)
+
+
+def test_title_and_parts_beside_links():
+    links = lambda n: "".join(f"<li><a href='/{i}'>linked words</a></li>" for i in range(n))
+    page = f"<body><div><h1>A title</h1><a href=1>tag one</a> <a href=2>tag two</a> <a href=3>tag three</a><p>{'body ' * 60}</p></div></body>"
+    text = H.main_text(page, W)
+    assert text.startswith("A title\n") and text.endswith("body")
+    page = f"<body><div><p>{'first ' * 60}</p><ul>{links(30)}</ul><p>{'second ' * 60}</p></div></body>"
+    text = H.main_text(page, W)
+    assert text.startswith("first") and text.endswith("second")
+    page = f"<body><div><h2>Site name</h2><ul>{links(30)}</ul></div><div><p>{'body ' * 60}</p></div></body>"
+    assert H.main_text(page, W) == ("body " * 60).strip()
+
+
+def test_a_mark_of_little_does_not_decide():
+    page = f"<body><article><p>Teaser words</p></article><div><p>{'body ' * 90}</p></div></body>"
+    assert "body" in H.main_text(page, W)
+
+
+def test_many_marked_parts_in_linear_time():
+    import time
+
+    part = "<article><p>some marked words</p></article><ul>" + "<li><a href=x>go there</a></li>" * 3 + "</ul>"
+    began = time.process_time()
+    assert H.main_text(part * 4000, W).count("some marked words") == 4000
+    assert time.process_time() - began < 6  # about one second on an idle machine

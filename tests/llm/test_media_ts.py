@@ -135,3 +135,11 @@ def test_digests_of_awkward_texts(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
     assert rows[6].feature == rows[7].feature and rows[6].media_sha256 == rows[7].media_sha256
     assert M.media_digests(edge_docs(spark, [])).count() == 0
+
+
+def test_pes_header_that_is_cut_off():
+    for head in (b"\x00\x00\x01\xe0\x00\x00\x80\x80\x05\x21", b"\x00\x00\x01\xe0\x00\x00\x80\x80\x01\x21", b"\x00\x00\x01\xe0\x00\x00\x80\x00\x09", b"\x00\x00\x01"):
+        s, pid = M.Stream(), M._Pid()
+        pid.pes = [head]
+        pid.end_pes(s, 256)
+        assert s.sync_errors == 1 and not s.units
