@@ -12,6 +12,10 @@ first ``PREFIX`` coordinates go at once, and the others are posted under their
 pair that the short ones give, the collisions are counted over all coordinates in
 the two nodes' own signatures, and pairs below ``MATCHES`` go.
 
+A family of documents that share a passage, with similarities between ``MATCHES`` /
+``COORDS`` and the threshold, collides in enough coordinates though none of it is
+linked: its lists stay long, and the second round looks at each of its pairs.
+
 Pairs come from the lists in two rounds, so that a group of thousands of near
 copies costs pairs in proportion to its size. First each list gives the pairs of
 its nodes with one of them, the one whose values are held by the most nodes in all:
@@ -71,10 +75,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
+    """A value a coordinate, with the coordinate in its last bits: a posting's key is both."""
     out = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 1 << 12):
         np.minimum(out, (s[None, at : at + (1 << 12)] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=out)
-    return out
+    return out & ~np.uint64(COORDS - 1) | np.arange(COORDS, dtype=np.uint64)
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:

@@ -13,8 +13,9 @@ never one task's work.
 
 Defined results: a null text is empty; an empty text is one piece, of the end
 token only; only documents longer than the capacity are cut, and their first
-piece takes the remainder; an empty table gives no rows; repeated rows are
-packed as often as they occur; other columns are ignored.
+piece takes the remainder; pieces of equal length are numbered in the order of
+their other columns; an empty table gives no rows; repeated rows are packed as often
+as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
