@@ -5,13 +5,18 @@ for a tokenizer version. A batch becomes signed rows, the old state's with a
 minus and the new one's with a plus; summed by source, language and tokenizer
 version they are added to the totals, which are never recomputed from documents.
 
-The documents' state is kept in ``BUCKETS`` buckets by a hash of their ids. A batch
-reads and rewrites the buckets that its documents fall into, and no other, nor any
-earlier batch. A version names the folder of each bucket and of the totals, and the
-batches applied; it is a file that appears whole or not at all, and only if no other
-writer took its number. A batch commits once: a second run of it changes nothing; a
-run that fails leaves folders that no version names; of two batches at once the later
-one finds its number taken and is applied anew to what the other left.
+The documents' state is kept in buckets by a hash of their ids, of about
+``BUCKET_ROWS`` rows, so a commit has as many tasks as the state needs: a state that
+outgrows its buckets twice over is dealt anew, and each row is dealt a constant number
+of times on average. Any other batch reads and rewrites the buckets that its documents
+fall into, and no other, nor any earlier batch. A version names the folder of each
+bucket and of the totals, and its batch; it is a file that appears whole or not at all,
+and only if no other writer took its number. A batch commits once: its name is in its
+version, and then a file of its own, which the next writer leaves if the first one
+ended too early, so a second run changes nothing and no list of batches is carried
+along. A run that fails leaves folders that no version names; ``clean`` removes these
+by age. Of two batches at once the later one finds its number taken and is applied
+anew to what the other left.
 
 Defined results: inserting a document that is there, and revising one that is
 not, both set its state; deleting one that is not there does nothing; of several
@@ -25,7 +30,9 @@ empty batch is a version with the same totals; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import folder, publish, published, read_text
-from .common import WORD, materialize, text_or_empty
+from ..plans.storage import drop_folder, folder, publish, published, read_text, subfolders
+from .common import WORD, materialize, rows_of, text_or_empty
 
 GROUP = ["source", "lang", "tokenizer"]
 STATE = "doc_id long, tokenizer string, source string, lang string, tokens long"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
-BUCKETS = 64
+BUCKET_ROWS = 250_000  # rows of three numbers and two names
 VOCABULARY = "byte_bpe_50k"
 
 #: Tokenizer versions that need no vocabulary: the token's expression.
@@ -69,16 +76,28 @@ def vocabulary_counts(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 class Rollup:
     """Totals kept under a folder that all executors reach."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
-        """buckets: of a new rollup; one that is there keeps its own."""
-        self.spark, self.root, self._buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.root, self.bucket_rows = spark, root.rstrip("/"), bucket_rows
+
+    def _version(self, path: str) -> dict:
+        return json.loads(read_text(self.spark, path))
+
+    def _versions(self) -> dict[int, str]:
+        return {int(n): path for n, path in published(self.spark, f"{self.root}/versions").items()}
 
     def _current(self) -> tuple[int, dict]:
         """The latest version and its number."""
-        found = {int(n): path for n, path in published(self.spark, f"{self.root}/versions").items()}
+        found = self._versions()
         if not found:
-            return 0, {"buckets": self._buckets, "state": {}, "totals": None, "batches": []}
-        return max(found), json.loads(read_text(self.spark, found[max(found)]))
+            return 0, {"buckets": 0, "state": {}, "totals": None, "batch": None}
+        return max(found), self._version(found[max(found)])
+
+    def _mark(self, batch: str) -> str:
+        """The file that tells of a committed batch, whatever its name holds."""
+        return f"{self.root}/batches/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    def committed(self, batch: str) -> bool:
+        return self._current()[1]["batch"] == batch or bool(published(self.spark, self._mark(batch)))
 
     def _publish(self, number: int, version: dict) -> bool:
         return publish(self.spark, f"{self.root}/versions/{number}", json.dumps(version))
@@ -100,24 +119,51 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """changes: op (insert, delete, revise), doc_id, source, lang, tokenizer, tokens
         and, if a document may occur twice, seq. False if the batch was committed before."""
-        if batch in self._current()[1]["batches"]:
+        if self.committed(batch):
             return False
         if "seq" not in changes.columns:
             changes = changes.withColumn("seq", F.lit(0))
         given = changes.where("doc_id is not null and tokenizer is not null")
         whole = F.struct("seq", "op", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang")
         last = materialize(given.groupBy("doc_id", "tokenizer").agg(F.max(whole).alias("n")), "changes")
-        while True:
+        while not self.committed(batch):
             number, version = self._current()
-            if batch in version["batches"]:
-                return False
-            if self._publish(number + 1, self._applied(version, last) | {"batches": [*version["batches"], batch]}):
+            if version["batch"] is not None:  # its writer may have ended before it left the file
+                publish(self.spark, self._mark(version["batch"]), str(number))
+            if self._publish(number + 1, self._applied(version, last) | {"batch": batch}):
+                publish(self.spark, self._mark(batch), str(number + 1))
                 return True
+        return False
+
+    def clean(self, keep: int = 1, age_ms: int = 86_400_000) -> int:
+        """Deletes the buckets and totals that none of the last ``keep`` versions names, and
+        what failed or overtaken commits left, if it is older than ``age_ms``; returns how
+        many folders went. A commit or a reader that takes longer loses its files."""
+        found = self._versions()
+        named = set()
+        for n in sorted(found)[-max(keep, 1) :]:
+            version = self._version(found[n])
+            named |= {*version["state"].values(), version["totals"]}
+        gone = 0
+        before = time.time() * 1000 - age_ms
+        for at, changed in subfolders(self.spark, f"{self.root}/data").items():
+            if changed > before:
+                continue
+            parts = [f"data/{at}/{part}" for x in ("", "state/") for n in subfolders(self.spark, f"{self.root}/data/{at}/{x}") if (part := x + n) != "state"]
+            left = [x for x in parts if x in named]
+            for x in [x for x in parts if x not in named] if left else [f"data/{at}"]:
+                drop_folder(self.spark, f"{self.root}/{x}")
+                gone += 1
+        return gone
 
     def _applied(self, version: dict, last: DataFrame) -> dict:
         """The version with the last changes of a batch."""
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(version["buckets"])).cast("int")
-        touched = sorted(r[0] for r in last.select(bucket).distinct().collect())
+        held = self._totals(version).agg(F.sum("docs").alias("n")).first()["n"] or 0
+        wanted = max(1, -(-(held + rows_of(last)) // self.bucket_rows))
+        anew = wanted > 2 * version["buckets"]
+        buckets = wanted if anew else version["buckets"]
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+        touched = sorted(map(int, version["state"])) if anew else sorted(r[0] for r in last.select(bucket).distinct().collect())
         key = ["doc_id", "tokenizer"]
         old = self._state(version, touched)
         new = last.where("n.op <> 'delete'").select(*key, "n.source", "n.lang", "n.tokens")
@@ -131,7 +177,7 @@ class Rollup:
         gone = old.join(last.select(*key), key, "left_semi")
         rows = signed(gone, -1).union(signed(new, 1)).union(self._totals(version).select(*GROUP, "docs", "tokens"))
         rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.root}/{at}/totals")
-        return {"buckets": version["buckets"], "state": state, "totals": f"{at}/totals"}
+        return {"buckets": buckets, "state": state, "totals": f"{at}/totals"}
 
 
 def _distinct_lines() -> Column:

@@ -75,9 +75,13 @@ def test_two_batches_at_once(spark, monkeypatch):
     assert len(runs) == 2 and totals(one) == {("a", "x", "v1"): (1, 5)}
 
 
+def inserts(spark, first, end):
+    return spark.range(first, end).selectExpr("'insert' op", "id doc_id", "'a' source", "'x' lang", "'v1' tokenizer", "1L tokens")
+
+
 def test_a_commit_touches_only_its_buckets(spark):
-    rollup = R.Rollup(spark, "file://" + tempfile.mkdtemp(), buckets=8)
-    rollup.commit("load", spark.range(200).selectExpr("'insert' op", "id doc_id", "'a' source", "'x' lang", "'v1' tokenizer", "1L tokens"))
+    rollup = R.Rollup(spark, "file://" + tempfile.mkdtemp(), bucket_rows=25)
+    rollup.commit("load", inserts(spark, 0, 200))
     before = rollup._current()[1]["state"]
     rollup.commit("one", spark.createDataFrame([("delete", 3, None, None, "v1", None, 0)], CHANGES))
     after = rollup._current()[1]["state"]
@@ -85,6 +89,44 @@ def test_a_commit_touches_only_its_buckets(spark):
     assert totals(rollup) == {("a", "x", "v1"): (199, 199)}
 
 
+def test_buckets_grow_with_the_state(spark):
+    rollup = R.Rollup(spark, "file://" + tempfile.mkdtemp(), bucket_rows=25)
+    rollup.commit("nothing", inserts(spark, 0, 0))
+    sizes = []
+    for end in (50, 100, 1000):
+        assert rollup.commit(f"up to {end}", inserts(spark, 0, end))
+        sizes.append(rollup._current()[1]["buckets"])
+        assert totals(rollup) == {("a", "x", "v1"): (end, end)} and rollup.state().count() == end
+    assert sizes == [1, 6, 44]  # two are not more than twice one; then by 50 held and 100 given, 100 and 1000
+
+
+def test_a_version_names_its_batch_only(spark, monkeypatch):
+    """The mark of a batch whose writer ended early is left by the next one."""
+    rollup = R.Rollup(spark, "file://" + tempfile.mkdtemp())
+    publish = R.publish
+    with monkeypatch.context() as m:
+        m.setattr(R, "publish", lambda s, path, text: "/batches/" not in path and publish(s, path, text))
+        assert rollup.commit("a/b c", inserts(spark, 0, 3))
+    assert not R.published(spark, f"{rollup.root}/batches") and not rollup.commit("a/b c", inserts(spark, 0, 9))
+    for b in range(3):
+        assert rollup.commit(f"b{b}", inserts(spark, b, b + 1))
+    assert rollup._current()[1]["batch"] == "b2" and len(R.published(spark, f"{rollup.root}/batches")) == 4
+    assert not any(rollup.commit(b, inserts(spark, 0, 9)) for b in ("a/b c", "b0", "b1", "b2"))
+    assert totals(rollup) == {("a", "x", "v1"): (3, 3)}
+
+
+def test_clean(spark):
+    rollup = R.Rollup(spark, "file://" + tempfile.mkdtemp(), bucket_rows=25)
+    rollup.commit("load", inserts(spark, 0, 200))
+    rollup.commit("one", inserts(spark, 3, 4))
+    assert rollup.clean() == 0  # all of it is young
+    assert rollup.clean(keep=2, age_ms=-60_000) == 0
+    assert rollup.clean(age_ms=-60_000) == 2  # the first totals and the bucket written anew
+    assert totals(rollup) == {("a", "x", "v1"): (200, 200)} and rollup.state().count() == 200
+    rollup._applied(rollup._current()[1], R.materialize(inserts(spark, 5, 6).groupBy("doc_id", "tokenizer").agg(R.F.max(R.F.struct(R.F.lit(0).alias("seq"), "op", "tokens", "source", "lang")).alias("n")), "test"))
+    assert rollup.clean(age_ms=-60_000) == 1 and rollup.state().count() == 200  # an attempt that no version names
+
+
 def test_awkward_texts(spark):
     docs = edge_docs(spark)
     rows = R.pattern_report(docs).where("tokenizer = 'words-1'").collect()
