@@ -24,10 +24,12 @@ enough words, since each line of a maximal run lies in one of them. A segment
 leaves the doubling when no longer run is to be looked up.
 
 The sort is by range and by position within equal keys, so that a line or a
-passage in a third of all documents is dealt over many tasks. Intervals that
-cross from one task to the next are joined by a summary of each task, which is
+passage in a third of all documents is dealt over many tasks; there is a range for
+every ``RANGE`` suffixes, so a task's memory does not grow with the table. Intervals
+that cross from one task to the next are joined by a summary of each task, which is
 one row (its first and last keys and their intervals); those rows are all that
-the driver sees.
+the driver sees. A line with more than a ``HOT``-th of all repeated lines, such as the
+empty one, is known by a list of fewer than ``HOT``, and its rows are dealt by place.
 
 Defined results: a null or empty text is unchanged; an empty table gives an empty
 one; a very long text is handled whole, its arrays growing with its lines; rows that
@@ -55,6 +57,8 @@ MIN_WORDS = 50
 _FIRST = -(1 << 63)
 _END = -(1 << 63)  # stands after a segment's last line
 BATCH = 50_000  # lines in a batch that leaves a Python worker
+RANGE = 500_000  # suffixes that a task sweeps
+HOT = 1_000
 
 _KEYS = ["a1", "a2", "b1", "b2"]
 _NEED = pa.list_(pa.struct([("m", pa.int32()), ("t1", pa.int64()), ("t2", pa.int64())]))
@@ -210,9 +214,9 @@ def _sweep(rows: pa.Table, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["_d", "_t", "start", "at", "part", "place", "first", "found", "open", "more", "summary"])
 
 
-def swept(rows: DataFrame) -> DataFrame:
-    """The suffix array, range by range; see ``_sweep``. Suffixes with equal keys are
-    dealt by position, so that no key fills a task."""
+def swept(rows: DataFrame, n: int) -> DataFrame:
+    """The suffix array of ``n`` suffixes, range by range; see ``_sweep``. Suffixes with
+    equal keys are dealt by position, so that no key fills a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -222,7 +226,8 @@ def swept(rows: DataFrame) -> DataFrame:
             for k in range(0, done.num_rows, BATCH):
                 yield done.slice(k, BATCH)
 
-    dealt = rows.repartitionByRange(*_KEYS, "_d", "_t", "start", "at").withColumn("_part", F.spark_partition_id())
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    dealt = rows.repartitionByRange(ranges, *_KEYS, "_d", "_t", "start", "at").withColumn("_part", F.spark_partition_id())
     return dealt.mapInArrow(run, SWEPT)
 
 
@@ -260,7 +265,7 @@ def stitch(notes: list[tuple[int, dict]]) -> list[tuple]:
 
 def ranked(rows: DataFrame) -> DataFrame:
     """(_d, _t, start, at, rank, found, more) of a written sweep: ranks over all
-    tasks, and open intervals settled. A row a task is broadcast."""
+    tasks, and open intervals settled."""
     spark = rows.sparkSession
     notes = sorted((r["part"], json.loads(r["summary"])) for r in rows.where("summary is not null").select("part", "summary").collect())
     fixes = spark.createDataFrame(stitch(notes), "part int, _offset long, _first long, _mins array<struct<side: int, m: int, at: struct<d: long, t: long, line: long>>>")
@@ -268,16 +273,29 @@ def ranked(rows: DataFrame) -> DataFrame:
     beaten = F.filter("open", lambda o: F.exists("_mins", lambda x: (x["side"] == o["side"]) & (x["m"] == o["m"]) & (x["at"] != own)))
     open_found = F.when(F.size("open") > 0, F.coalesce(F.array_max(F.transform(beaten, lambda o: o["m"])), F.lit(0))).otherwise(0)
     rank = F.when(F.col("first"), F.col("_first")).otherwise(F.col("_offset") + F.col("place"))
-    return rows.join(F.broadcast(fixes), "part").select("_d", "_t", "start", "at", rank.alias("rank"), F.greatest("found", open_found).alias("found"), "more")
+    fixes = F.broadcast(fixes) if len(notes) <= BROADCAST else fixes
+    return rows.join(fixes, "part").select("_d", "_t", "start", "at", rank.alias("rank"), F.greatest("found", open_found).alias("found"), "more")
+
+
+def only_again(lines: DataFrame, again: DataFrame) -> DataFrame:
+    """The lines that are in ``again``, a written table of (h1, h2, c). Fewer than ``HOT``
+    lines have more than a ``HOT``-th of the sum of c; these are told without a shuffle,
+    and in the join with the others their rows go by place."""
+    hot = again.join(again.agg(F.sum("c").alias("_all")), F.col("c") * HOT > F.col("_all")).select("h1", "h2", F.lit(True).alias("_hot"))
+    told = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    by = F.when(F.col("_hot"), F.xxhash64("_d", "_t", "pos")).otherwise(F.col("h1"))
+    known = again.select(F.col("h1").alias("_k1"), F.col("h2").alias("_k2"), F.lit(True).alias("_known"))
+    both = told.withColumn("_by", by).join(known, (F.col("_by") == F.col("_k1")) & (F.col("h2") == F.col("_k2")), "left")
+    return both.where("_hot or _known").select(*lines.columns)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_d, _t, from, to) of later copies, in lines, ``to`` exclusive. docs: _d, _t, text."""
     split = docs.select("_d", "_t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = split.select("_d", "_t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("words"))
-    again = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "lines")
+    again = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), "lines")
     own = F.sort_array(F.collect_list(F.struct("pos", "h1", "h2", "words"))).alias("own")
-    kept = lines.join(again, ["h1", "h2"]).groupBy("_d", "_t").agg(own)
+    kept = only_again(lines, again).groupBy("_d", "_t").agg(own)
     segments = materialize(_segments(kept, min_words), "segments")
 
     place = ["_d", "_t", "start"]
@@ -285,10 +303,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     headed = materialize(segments.join(first, place, "left"), "heads")
     level = headed.where("_head")
     found = [headed.where("_head is null").select("_d", "_t", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to"))]
-    longest = level.agg(F.max("longest").alias("n")).first()["n"] or 0
+    total, longest = level.agg(F.sum("n"), F.max("longest")).first()
     size, done = 1, 0
-    while done < longest:
-        step = ranked(materialize(swept(suffixes(level, size)), "sweep"))
+    while done < (longest or 0):
+        step = ranked(materialize(swept(suffixes(level, size), total), "sweep"))
         begin = F.col("start") + F.col("at")
         found.append(step.where("found > 0").select("_d", "_t", begin.alias("from"), (begin + F.col("found")).alias("to")))
         done = 2 * size
@@ -296,6 +314,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             whole = step.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("at", "rank", "more"))).alias("s"))
             longer = whole.where(F.exists("s", lambda x: F.size(x["more"]) > 0))
             level = materialize(longer.select(*place, F.col("s.rank").alias("a1"), F.col("s.more").alias("more")), "level")
+            total = level.agg(F.sum(F.size("a1"))).first()[0] or 0
         size *= 2
     return reduce(DataFrame.union, found)
 

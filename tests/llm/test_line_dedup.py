@@ -61,7 +61,7 @@ def test_ranks_are_those_of_a_suffix_array(spark):
     level, size = arrays(spark, seqs), 1
     suffixes = [tuple(s[i:]) for s in seqs for i in range(len(s))]
     for _ in range(3):
-        rows = L.ranked(L.materialize(L.swept(L.suffixes(level, size)), "test")).collect()
+        rows = L.ranked(L.materialize(L.swept(L.suffixes(level, size), len(suffixes)), "test")).collect()
         got = {(r._d, r["at"]): (r["rank"], r.found) for r in rows}
         for i, s in enumerate(seqs):
             for k in range(len(s)):
@@ -110,6 +110,33 @@ def test_intervals_across_many_tasks(spark):
     assert {r.doc_id: {x for a in r.removed or [] for x in range(a["from"], a["to"])} for r in rows} == want
 
 
+def test_ranges_grow_with_the_suffixes(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE", 10)
+    rows = L.swept(L.suffixes(arrays(spark, [[k % 7 for k in range(60)]] * 5), 1), 300)
+    parts = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert sum(parts) == 300 and 25 <= len(parts) <= 30 and max(parts) <= 30
+
+
+def test_a_frequent_line_is_dealt_by_place(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT", 10)
+    rows = [(d, 0, p, 1 if p % 2 else 100 + p, 1 if p % 2 else d % 9, 1) for d in range(90) for p in range(40)]
+    lines = spark.createDataFrame(rows, "_d long, _t long, pos int, h1 long, h2 long, words int")
+    again = L.materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1 and (h1 = 1 or h2 < 5)"), "test")
+    adaptive = "spark.sql.adaptive.enabled"
+    wide = "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(adaptive, "false")
+        spark.conf.set(wide, "-1")
+        got = L.only_again(lines, again)
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        got = sorted((r._d, r.pos) for r in got.collect())
+    finally:
+        spark.conf.unset(adaptive)
+        spark.conf.unset(wide)
+    assert got == [(r[0], r[2]) for r in rows if r[3] == 1 or r[4] < 5]
+    assert len(tasks) == 4 and max(tasks) < 0.4 * len(got)  # the line is 1800 of 2800 rows
+
+
 def test_shortest_runs():
     rng = random.Random(9)
     for _ in range(200):
