@@ -14,7 +14,15 @@ the two nodes' own signatures, and pairs below ``MATCHES`` go.
 
 A family of documents that share a passage, with similarities between ``MATCHES`` /
 ``COORDS`` and the threshold, collides in enough coordinates though none of it is
-linked: its lists stay long, and the second round looks at each of its pairs.
+linked. So of the nodes whose lists would cost more than ``BUSY`` pairs a shingle the
+private shingles are counted, those that no other component of such nodes holds. Sets
+of n and m shingles, p and q of them private, have at most (n + m - p - q) / 2 in
+common, so linked ones have p + q <= (n + m) (DEN - NUM) / (DEN + NUM), and one of the
+two is light: its own share of private shingles is no more than that. Pairs without a
+light node are never formed. Nodes that are not busy count as light and cost at most
+``BUSY`` pairs a shingle. What can still grow faster than the texts are lists of light
+nodes that are not linked: documents put together from passages of which each is held
+by others as well.
 
 Pairs come from the lists in two rounds, so that a group of thousands of near
 copies costs pairs in proportion to its size. First each list gives the pairs of
@@ -23,8 +31,8 @@ in a family of copies that is the original. Linked nodes are a component. Then t
 lists that still hold several components give the pairs across components; a value
 that no other component holds cannot collide, so it only takes up a place in the
 prefix. In both rounds a pair must first pass a length filter and an odd sketch of
-the sets, a bound that no linked pair fails. Texts are read only of pairs with
-enough collisions; whether those are linked is decided by their full sets alone.
+the sets, a bound that no linked pair fails. Texts are read only of busy nodes and of
+pairs with enough collisions; whether those are linked is decided by their full sets alone.
 
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; fewer than ``SHINGLE`` words are one shingle; a very long text
@@ -50,6 +58,8 @@ SHINGLE, COORDS, MATCHES, ODD = 5, 64, 32, 512
 PREFIX = COORDS - MATCHES + 1
 NUM, DEN = 75, 100  # links: DEN * intersection >= NUM * union
 LEAVES = 4096  # of one node in one task, about, when texts are compared
+BLOCK = 4096  # light nodes of one list in one task, about
+BUSY = 16  # a node with more pairs to look at for each shingle has its private shingles counted first
 
 _rng = np.random.default_rng(20_240_607)
 _MUL = _rng.integers(1, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,18 +158,57 @@ def star_pairs(nodes: DataFrame) -> DataFrame:
     return both.where((F.col("x.node") != F.col("hub.node")) & _fits("x", "hub") & _near("x", "hub")).select(F.col("hub.node").alias("a"), F.col("x.node").alias("b")).distinct()
 
 
-def cross_pairs(nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b): nodes of different components that share a list of their prefixes, over
-    the lists that hold several components. comps: node, component; a node without is its own."""
+def private_shingles(busy: DataFrame, texts: DataFrame) -> DataFrame:
+    """(set, private): how many of a set's shingles no other component of ``busy`` holds.
+    Those that three or more sets of one component share are left out, which lowers the
+    number. busy: node, comp, distinct; texts: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), held], names=["comp", "set_key", "held"])
+
+    of = texts.join(small_enough(busy), "node").select("comp", "text")
+    held = of.mapInArrow(run, f"comp {busy.schema['comp'].dataType.simpleString()}, set_key binary, held array<long>")
+    posts = held.select("comp", F.xxhash64("set_key").alias("set"), F.explode("held").alias("shingle"))
+    ends = posts.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("set").alias("a"), F.max("set").alias("b"))
+    own = ends.where("lo = hi").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("set"))
+    return own.groupBy("set").agg(F.count("*").alias("private"))
+
+
+def cross_lists(nodes: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value, c, node, comp, n, odd, light): the prefixes' lists that hold several components.
+    ``c`` bounds a list's length; two nodes that are not light cannot be linked.
+    comps: node, component; a node without is its own."""
     told = nodes.join(small_enough(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     posts = told.select("node", "comp", F.explode("sig").alias("value"))
     mixed = posts.groupBy("value").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "c")
     own = posts.join(mixed, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("_own")).where(F.size("_own") >= MATCHES)
     prefix = F.slice("_own", F.lit(1), PREFIX - COORDS + F.size("_own"))
-    lists = materialize(told.join(own, "node").select(F.explode(F.transform(prefix, lambda x: x["value"])).alias("value"), "node", "comp", "n", "odd"), "mixed")
-    x, y = lists.alias("x"), lists.alias("y")
-    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") < F.col("y.comp")) & _fits("x", "y") & _near("x", "y")
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    short = told.join(own, "node").select("node", "comp", "n", "odd", "set", prefix.alias("posts"))
+    looks = F.aggregate("posts", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["c"])
+    short = materialize(short.withColumn("busy", looks > BUSY * F.col("n")), "mixed")
+    busy = materialize(short.where("busy").select("node", "comp").distinct(), "busy")
+    if rows_of(busy):
+        private = small_enough(materialize(private_shingles(busy, texts), "private"))
+        heavy = F.col("busy") & ((DEN + NUM) * F.coalesce("private", F.lit(0)) > (DEN - NUM) * F.col("n"))
+        short = materialize(short.join(private, "set", "left").withColumn("light", ~heavy), "weighed")
+    else:
+        short = short.withColumn("light", F.lit(True))
+    return short.select(F.explode("posts").alias("_post"), "node", "comp", "n", "odd", "light").select("_post.value", "_post.c", "node", "comp", "n", "odd", "light")
+
+
+def cross_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): nodes of different components that share a list, one of them light at least.
+    The light nodes of a list are dealt over tasks, about ``BLOCK`` to each."""
+    blocks = F.floor(F.col("c") / BLOCK)
+    x = lists.where("light").withColumn("block", F.pmod(F.xxhash64("node"), 1 + blocks)).alias("x")
+    y = lists.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks))).alias("y")
+    once = ~F.col("y.light") | (F.col("x.comp") < F.col("y.comp"))
+    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.comp") != F.col("y.comp")) & once
+    return x.join(y, on & _fits("x", "y") & _near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,12 +266,12 @@ def _link(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = materialize(keyed.select("_id", "set_key").join(small_enough(copied), "set_key").where("_id <> node").distinct(), "members")
     leave = small_enough(members).select(F.col("_id").alias("_m"), F.col("set_key").alias("_k"))
     own = keyed.join(leave, (F.col("_id") == F.col("_m")) & (F.col("set_key") == F.col("_k")), "left_anti")
-    nodes = own.select(F.col("_id").alias("node"), F.col("n_shingles").alias("n"), "odd", "sig")
-    nodes = materialize(with_partners(nodes.dropDuplicates(["node", "n", "odd"])), "nodes")
+    nodes = own.select(F.col("_id").alias("node"), F.col("n_shingles").alias("n"), F.xxhash64("set_key").alias("set"), "odd", "sig")
+    nodes = materialize(with_partners(nodes.dropDuplicates(["node", "set"])), "nodes")
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
 
     comps = materialize(components(confirm(colliding(star_pairs(nodes), nodes), texts)), "components")
-    across = confirm(colliding(cross_pairs(nodes, comps), nodes), texts)
+    across = confirm(colliding(cross_pairs(cross_lists(nodes, comps, texts)), nodes), texts)
     if rows_of(across):
         end = lambda x: small_enough(comps).select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
         of = across.join(end("u"), "u", "left").join(end("v"), "v", "left")

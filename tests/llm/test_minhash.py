@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from edge import EDGE_TEXTS, edge_docs
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash as M
 
@@ -121,3 +122,65 @@ def test_full_sets_alone_confirm(spark):
     given = spark.createDataFrame(pairs + [(a, a + 2) for a, _ in pairs], "a long, b long")
     got = M.confirm(given, spark.createDataFrame(texts, "node long, text string")).collect()
     assert sorted((r.u, r.v) for r in got) == pairs
+
+
+def family(n, own, shared=70):
+    """Documents of ``shared`` words that all have and ``own`` words that one has."""
+    return [(i, " ".join([f"s{j}" for j in range(shared)] + [f"o{i}x{j}" for j in range(own)])) for i in range(n)]
+
+
+def looked_at(spark, docs, monkeypatch):
+    """Pairs that the second round forms, before any filter; and the result."""
+    seen, lists_of = [], M.cross_lists
+
+    def spy(*given):
+        lists = lists_of(*given)
+        rows = lists.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.col("light").cast("long")).alias("l"))
+        seen.append(rows.agg(F.coalesce(F.sum(F.expr("l * c")), F.lit(0)).alias("n")).first().n)
+        return lists
+
+    with monkeypatch.context() as m:
+        m.setattr(M, "cross_lists", spy)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    return seen[0], got
+
+
+def test_a_family_of_unlinked_documents_costs_no_pairs(spark, monkeypatch):
+    """Similarities of 0.54 to 0.74: its nodes collide, but all have private shingles."""
+    docs = family(400, 28)
+    pairs, got = looked_at(spark, docs, monkeypatch)
+    assert pairs <= M.BUSY * sum(n for n, _ in got.values())
+    assert got == {i: (94, i) for i, _ in docs}
+    monkeypatch.setattr(M, "BUSY", 0)
+    for own in (20, 13):
+        docs = family(150, own)
+        pairs, got = looked_at(spark, docs, monkeypatch)
+        assert pairs == 0
+        assert got == {i: (66 + own, i) for i, _ in docs}
+    # one that all others nearly contain is light: a pair for each document and shared value
+    docs = family(150, 13) + [(999, " ".join([f"s{j}" for j in range(70)] + ["t1", "t2"]))]
+    pairs, got = looked_at(spark, docs, monkeypatch)
+    assert pairs <= 2 * M.PREFIX * len(docs)
+    assert {c for _, c in got.values()} == {0}
+
+
+def test_private_shingles_change_no_link(spark, monkeypatch):
+    """All nodes busy, lists in small blocks; groups of near copies within the family."""
+    monkeypatch.setattr(M, "BUSY", 0)
+    for seed, block in ((3, 4096), (4, 3)):
+        monkeypatch.setattr(M, "BLOCK", block)
+        rng = random.Random(seed)
+        texts = sample(seed, 60) + [t for _, t in family(20, 28)] + [t for _, t in family(20, 10)]
+        for t in rng.sample(texts, 40):
+            w = t.split(" ")
+            w[rng.randrange(len(w))] = "other"
+            texts.append(" ".join(w))
+        docs = list(enumerate(texts))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == brute(docs)
+    # an id with two texts, one of which is a copy of another document
+    base = [f"w{i}" for i in range(40)]
+    near = base[:-1] + ["z"]
+    odd = [(4, " ".join(base)), (4, "a b c d e f g"), (2, "a b c d e f g"), (9, " ".join(near)), (7, " ".join(near[1:]))]
+    rows = {(r.doc_id, r.component_id) for r in M.near_duplicates(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert rows == {(4, 4), (4, 2), (2, 2), (9, 4), (7, 4)}
