@@ -14,7 +14,7 @@ the two nodes' own signatures, and pairs below ``MATCHES`` go.
 
 A family of documents that share a passage, with similarities between ``MATCHES`` /
 ``COORDS`` and the threshold, collides in enough coordinates though none of it is
-linked. So of the nodes whose lists would cost more than ``BUSY`` pairs a shingle the
+linked. So of the nodes that have more than ``BUSY`` pairs across components a shingle the
 private shingles are counted, those that no other component of such nodes holds. Sets
 of n and m shingles, p and q of them private, have at most (n + m - p - q) / 2 in
 common, so linked ones have p + q <= (n + m) (DEN - NUM) / (DEN + NUM), and one of the
@@ -58,8 +58,8 @@ SHINGLE, COORDS, MATCHES, ODD = 5, 64, 32, 512
 PREFIX = COORDS - MATCHES + 1
 NUM, DEN = 75, 100  # links: DEN * intersection >= NUM * union
 LEAVES = 4096  # of one node in one task, about, when texts are compared
-BLOCK = 4096  # light nodes of one list in one task, about
-BUSY = 16  # a node with more pairs to look at for each shingle has its private shingles counted first
+BLOCK = 4096  # nodes of one list in one task, about
+BUSY = 16  # a node with more pairs across components for each shingle has its private shingles counted first
 
 _rng = np.random.default_rng(20_240_607)
 _MUL = _rng.integers(1, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,36 +179,43 @@ def private_shingles(busy: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def cross_lists(nodes: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(value, c, node, comp, n, odd, light): the prefixes' lists that hold several components.
-    ``c`` bounds a list's length; two nodes that are not light cannot be linked.
-    comps: node, component; a node without is its own."""
+    """(value, c, main, node, comp, n, odd, light): the prefixes' lists that hold several
+    components. c: a list's length; main: of the component with most nodes in the list;
+    two nodes that are not light cannot be linked. comps: node, component; a node without is
+    its own."""
     told = nodes.join(small_enough(comps), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     posts = told.select("node", "comp", F.explode("sig").alias("value"))
     mixed = posts.groupBy("value").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value", "c")
     own = posts.join(mixed, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("_own")).where(F.size("_own") >= MATCHES)
-    prefix = F.slice("_own", F.lit(1), PREFIX - COORDS + F.size("_own"))
-    short = told.join(own, "node").select("node", "comp", "n", "odd", "set", prefix.alias("posts"))
-    looks = F.aggregate("posts", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["c"])
-    short = materialize(short.withColumn("busy", looks > BUSY * F.col("n")), "mixed")
-    busy = materialize(short.where("busy").select("node", "comp").distinct(), "busy")
+    prefix = F.transform(F.slice("_own", F.lit(1), PREFIX - COORDS + F.size("_own")), lambda x: x["value"])
+    lists = materialize(told.join(own, "node").select(F.explode(prefix).alias("value"), "node", "comp", "n", "odd", "set"), "mixed")
+    groups = materialize(lists.groupBy("value", "comp").agg(F.count("*").alias("k")), "groups")
+    wholes = groups.groupBy("value").agg(F.sum("k").alias("c"), F.count("*").alias("m"), F.max(F.struct("k", "comp")).alias("top")).where("m > 1")
+    sized = groups.join(wholes, "value").select("value", "comp", "c", (F.col("c") - F.col("k")).alias("others"), (F.col("comp") == F.col("top.comp")).alias("main"))
+    lists = materialize(lists.join(sized, ["value", "comp"]), "placed")
+    busy = materialize(lists.groupBy("node", "set", "comp", "n").agg(F.sum("others").alias("looks")).where(F.col("looks") > BUSY * F.col("n")), "busy")
     if rows_of(busy):
-        private = small_enough(materialize(private_shingles(busy, texts), "private"))
-        heavy = F.col("busy") & ((DEN + NUM) * F.coalesce("private", F.lit(0)) > (DEN - NUM) * F.col("n"))
-        short = materialize(short.join(private, "set", "left").withColumn("light", ~heavy), "weighed")
+        private = private_shingles(materialize(busy.select("node", "comp").distinct(), "busy_nodes"), texts)
+        heavy = busy.join(private, "set").where((DEN + NUM) * F.col("private") > (DEN - NUM) * F.col("n")).select("set", F.lit(True).alias("heavy"))
+        lists = lists.join(small_enough(materialize(heavy, "heavy")), "set", "left").withColumn("light", F.col("heavy").isNull())
     else:
-        short = short.withColumn("light", F.lit(True))
-    return short.select(F.explode("posts").alias("_post"), "node", "comp", "n", "odd", "light").select("_post.value", "_post.c", "node", "comp", "n", "odd", "light")
+        lists = lists.withColumn("light", F.lit(True))
+    return lists.select("value", "c", "main", "node", "comp", "n", "odd", "light")
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
     """(a, b): nodes of different components that share a list, one of them light at least.
-    The light nodes of a list are dealt over tasks, about ``BLOCK`` to each."""
+    The nodes outside a list's main component meet all its nodes; no component is larger
+    than the main one, so at most every other pair formed is within a component. They are
+    dealt over tasks, about ``BLOCK`` to each."""
     blocks = F.floor(F.col("c") / BLOCK)
-    x = lists.where("light").withColumn("block", F.pmod(F.xxhash64("node"), 1 + blocks)).alias("x")
-    y = lists.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks))).alias("y")
-    once = ~F.col("y.light") | (F.col("x.comp") < F.col("y.comp"))
-    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.comp") != F.col("y.comp")) & once
-    return x.join(y, on & _fits("x", "y") & _near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    meets = F.explode(F.when(F.col("light"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    x = lists.where("not main").withColumn("block", F.pmod(F.xxhash64("node"), 1 + blocks)).withColumn("side", meets).alias("x")
+    y = lists.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks))).withColumn("side", F.col("light")).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("value", "block", "side")]
+    once = (F.col("x.comp") < F.col("y.comp")) | F.col("y.main") & (F.col("x.comp") != F.col("y.comp"))
+    on = same[0] & same[1] & same[2] & once & _fits("x", "y") & _near("x", "y")
+    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

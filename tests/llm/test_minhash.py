@@ -135,8 +135,9 @@ def looked_at(spark, docs, monkeypatch):
 
     def spy(*given):
         lists = lists_of(*given)
-        rows = lists.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.col("light").cast("long")).alias("l"))
-        seen.append(rows.agg(F.coalesce(F.sum(F.expr("l * c")), F.lit(0)).alias("n")).first().n)
+        number = lambda where: F.sum(F.expr(f"cast({where} as long)"))
+        rows = lists.groupBy("value").agg(F.count("*").alias("c"), number("light").alias("l"), number("not main and light").alias("x"), number("not main and not light").alias("h"))
+        seen.append(rows.agg(F.coalesce(F.sum(F.expr("x * c + h * l")), F.lit(0)).alias("n")).first().n)
         return lists
 
     with monkeypatch.context() as m:
@@ -164,6 +165,16 @@ def test_a_family_of_unlinked_documents_costs_no_pairs(spark, monkeypatch):
     assert {c for _, c in got.values()} == {0}
 
 
+def test_a_large_component_is_not_paired_with_itself(spark, monkeypatch):
+    """Near copies of one text, and two texts that share half of it."""
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(80)]
+    docs += [(900 + k, " ".join(base[:60] + [f"y{k}_{j}" for j in range(20)])) for k in range(2)]
+    pairs, got = looked_at(spark, docs, monkeypatch)
+    assert pairs <= 2 * 2 * M.PREFIX * len(docs)
+    assert got == brute(docs)
+
+
 def test_private_shingles_change_no_link(spark, monkeypatch):
     """All nodes busy, lists in small blocks; groups of near copies within the family."""
     monkeypatch.setattr(M, "BUSY", 0)
