@@ -14,6 +14,11 @@ into words and stemmed: ``get_item`` asks for ``get`` and then a word that begin
 ``item``. BM25 counts such runs; see ``search`` for its constants. Columns are one
 text with a gap between them, so no run goes over it.
 
+Words are counted first, and those that come most often are stemmed once each, in a
+broadcast table of at most ``COMMON`` words; a rarer word is stemmed where it stands.
+Documents are dealt over tasks of about ``DOCS_A_TASK``, and a bucket of a large segment
+over several, each a sorted file.
+
 Defined results: a null text has no words; a search without words finds nothing; equal
 scores go by id; an id that is added again must be removed by the same change."""
 
@@ -26,19 +31,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.words import words
+from ..functions.words import stem, words
+from ..plans.storage import cut, rows as rows_of
 from .search import B, FLOOR, K1
 
 BUCKETS, DOCS_A_BUCKET, MERGE, RATIO = 64, 2000, 4, 2
+COMMON, DOCS_A_TASK = 200_000, 4000
 POSTINGS = "token string, id long, positions array<int>, doc_len int"
 
 
-def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(token, id, positions, doc_len). docs: id and text columns."""
+def occurrences(docs: DataFrame, columns: list[str], n: int = 0) -> DataFrame:
+    """(id, doc_len, pos, word), a row a word that is not yet stemmed, a document's rows in one task. n: how many documents there are."""
     gap = F.array(F.lit(None).cast("string"))
-    parts = [x for c in columns for x in (F.coalesce(words(F.col(c)), F.array().cast("array<string>")), gap)]
-    rows = docs.select("id", F.concat(*parts[:-1]).alias("_t")).select("id", "_t", F.size(F.filter("_t", lambda t: t.isNotNull())).alias("doc_len"))
-    each = rows.select("id", "doc_len", F.posexplode("_t").alias("pos", "token")).where("token is not null")
+    parts = [x for c in columns for x in (F.coalesce(words(F.col(c), stems=False), F.array().cast("array<string>")), gap)]
+    tasks = max(-(-n // DOCS_A_TASK), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = (tasks, "id") if n > DOCS_A_TASK else ("id",)
+    dealt = docs.select("id", *columns).repartition(*by)  # a table may be one file of few row groups
+    rows = dealt.select("id", F.concat(*parts[:-1]).alias("_t")).select("id", "_t", F.size(F.filter("_t", lambda t: t.isNotNull())).alias("doc_len"))
+    # outer: else Spark filters by the array's size first, and so makes the array twice
+    return rows.select("id", "doc_len", F.posexplode_outer("_t").alias("pos", "word")).where("word is not null")
+
+
+def count_words(docs: DataFrame, columns: list[str], n: int = 0) -> DataFrame:
+    """(word, n), a written table."""
+    return cut(occurrences(docs, columns, n).groupBy("word").agg(F.count("*").alias("n")), "words")
+
+
+def common_words(counted: DataFrame, most: int) -> DataFrame:
+    """(word) of at most ``most`` words: those that come 2^k times or more, for the least such k."""
+    power = F.floor(F.log2(F.col("n"))).cast("int")
+    left, least = most, 64
+    for r in counted.groupBy(power.alias("k")).agg(F.count("*").alias("c")).orderBy(F.desc("k")).collect():  # at most 64 rows
+        if r["c"] > left:
+            break
+        left, least = left - r["c"], r["k"]
+    return counted.where(power >= least).select("word")
+
+
+def postings(docs: DataFrame, columns: list[str], counted: DataFrame, n: int = 0, most: int = COMMON) -> DataFrame:
+    """(token, id, positions, doc_len). docs: id and text columns; counted: what ``count_words`` gave for them; n: how many there are."""
+    all_ = rows_of(counted) <= most
+    stems = (counted if all_ else common_words(counted, most)).select("word", stem(F.col("word")).alias("stem"))
+    each = occurrences(docs, columns, n).join(F.broadcast(stems), "word", "inner" if all_ else "left")
+    each = each.withColumn("token", F.col("stem") if all_ else F.coalesce("stem", stem(F.col("word"))))
     return each.groupBy("token", "id", "doc_len").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("token", "id", "positions", "doc_len")
 
 
@@ -53,9 +88,12 @@ def buckets_for(docs: int) -> int:
     return max(1, min(BUCKETS, docs // DOCS_A_BUCKET))
 
 
-def write_segment(rows: DataFrame, path: str, buckets: int) -> None:
+def write_segment(rows: DataFrame, path: str, buckets: int, docs: int = 0) -> None:
+    """Beyond the size that ``BUCKETS`` are for, a bucket is more tasks and files, not larger ones."""
+    files = max(1, -(-docs // (DOCS_A_BUCKET * BUCKETS)))
     laid = rows.withColumn("bucket", F.pmod(F.hash(F.substring("token", 1, 2)), F.lit(buckets)))
-    laid.repartition("bucket").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(path)
+    dealt = laid.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("id"), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(path)
 
 
 @dataclass
@@ -177,7 +215,10 @@ class Index:
         """Adds documents (id and the text columns) and takes away others (as they were).
         Writes one segment, below ``folder``; merges it with others where that is due."""
         self.last += 1
-        n, w = lengths(added, self.columns)
+        n, w, counted = added.count(), 0, None
+        if n:
+            counted = count_words(added, self.columns, n)
+            w = counted.agg(F.sum("n")).first()[0] or 0
         gone_n, gone_w = lengths(removed, self.columns)
         self.docs, self.tokens = self.docs + n - gone_n, self.tokens + w - gone_w
         gone = ""
@@ -188,7 +229,7 @@ class Index:
             return
         k = to_merge(self.segments, n)
         kept, merged = (self.segments[:-k], self.segments[-k:]) if k else (self.segments, [])
-        rows = postings(added, self.columns)
+        rows = postings(added, self.columns, counted, n) if n else self.spark.createDataFrame([], POSTINGS)
         if merged:
             old = read(self.spark, [*self._found(merged), Segment("", self._full(gone), self.last, 0)]).drop("at")
             rows = rows.unionByName(old)
@@ -202,7 +243,7 @@ class Index:
         path, size = "", n + sum(s.rows for s in merged)
         if n or merged:
             path = f"{folder}/postings"
-            write_segment(rows, self._full(path), buckets_for(size))
+            write_segment(rows, self._full(path), buckets_for(size), size)
         self.segments = [*kept, Segment(path, gone, self.last, size, buckets_for(size))]
 
     def search(self, query: str, limit: int | None = 20, among: DataFrame | None = None) -> DataFrame:

@@ -91,6 +91,29 @@ def test_a_search_reads_one_bucket_a_word(spark, tmp_path, monkeypatch):
     assert T.hashed_starts(spark, T.phrases(spark, "r")) is None
 
 
+def test_common_words_are_stemmed_once(spark, tmp_path):
+    rng = random.Random(9)
+    docs = frame(spark, {i: [text(rng), "running " * i] for i in range(30)})
+    counted = T.count_words(docs, ["a", "b"])
+    got_ = {m: sorted(map(tuple, T.postings(docs, ["a", "b"], counted, 30, m).collect())) for m in (100, 3, 0)}
+    assert got_[100] == got_[3] == got_[0] and {"run", "relat"} <= {r[0] for r in got_[0]}
+    common = [r.word for r in T.common_words(counted, 3).collect()]
+    assert "running" in common and len(common) <= 3
+    plan = T.postings(docs, ["a", "b"], counted, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9]") == 1  # the stems, of the counted words only
+    assert plan.count("split(") == 2  # each column once
+
+
+def test_large_buckets_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "DOCS_A_BUCKET", 1)
+    monkeypatch.setattr(T, "BUCKETS", 2)
+    index = T.Index(spark, f"file://{tmp_path}/ix", ["a", "b"])
+    docs = {i: ["node", "path"] for i in range(40)}
+    index.change(frame(spark, docs), frame(spark, {}), "c0")
+    assert min(len(list(p.glob("*.parquet"))) for p in (tmp_path / "ix/c0/postings").glob("bucket=*")) > 2
+    assert got(index.search("node", None)) == brute(docs, "node")
+
+
 def test_empty_index(spark, tmp_path):
     index = T.Index(spark, f"file://{tmp_path}/ix", ["a", "b"])
     assert index.search("run").count() == 0
