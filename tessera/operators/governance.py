@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut, rows, small_enough
 from . import graph
 from .intervals import overlapping
 
@@ -69,30 +70,63 @@ def adr_list(adrs: DataFrame, status: str = "") -> DataFrame:
     return (adrs.where(F.col("status") == status) if status else adrs).orderBy("number")
 
 
-FILES_A_BLOCK = 256
+FILES_A_BLOCK, A_TASK = 256, 1_000_000  # rows or pairs of a task
+
+
+def tasks_for(df: DataFrame, n: int) -> int:
+    """As many as Spark is set to, or more, so that a task's share doesn't grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // A_TASK))
+
+
+def commit_files(commits: DataFrame) -> DataFrame:
+    """(commit, file, size): each file of a commit once, with the number of them."""
+    dealt = commits.select("commit", "file").dropna()
+    dealt = dealt.repartition(tasks_for(dealt, commits.count()), "commit").distinct()
+    return dealt.withColumn("size", F.count("*").over(Window.partitionBy("commit")))
+
+
+def blocks(files: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides that ``commit_blocks`` describes, of ``commit_files``."""
+    n = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    dealt = files.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("file"), F.col("_n")).cast("int"))
+    left = dealt.select("commit", F.col("_b").alias("i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("j"), "file")
+    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "_b")).alias("i"), F.col("_b").alias("j"), "file")
+    return left, right
 
 
 def commit_blocks(commits: DataFrame, most: int = FILES_A_BLOCK) -> tuple[DataFrame, DataFrame]:
     """A commit's files as two sides of (commit, i, j, file) with i <= j: files are dealt
     into blocks of about ``most``, and block i stands against each block j from itself on.
     So a commit of very many files is many tasks, of two blocks each."""
-    files = commits.select("commit", "file").distinct()
-    sizes = files.groupBy("commit").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("_n"))
-    dealt = files.join(sizes, "commit").withColumn("_b", F.pmod(F.xxhash64("file"), F.col("_n")).cast("int"))
-    left = dealt.select("commit", F.col("_b").alias("i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("j"), "file")
-    right = dealt.select("commit", F.explode(F.sequence(F.lit(0), "_b")).alias("i"), F.col("_b").alias("j"), "file")
-    return left, right
+    return blocks(commit_files(commits), most)
 
 
 def cochange(commits: DataFrame, limit: int | None = 200, most: int = FILES_A_BLOCK) -> DataFrame:
     """(file1, file2, n): pairs of files by how many commits change both. commits:
-    commit, file. Blocks of a commit's files are joined, each pair of blocks once."""
-    left, right = commit_blocks(commits, most)
-    both = left.join(right.withColumnRenamed("file", "_other"), ["commit", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("file") < F.col("_other")))
-    counts = both.groupBy(F.least("file", "_other").alias("file1"), F.greatest("file", "_other").alias("file2")).agg(F.count("*").alias("n"))
+    commit, file. Blocks of a commit's files are brought together, each pair of blocks once, in as
+    many tasks as the number of pairs asks for; each task adds up its pairs before they
+    are dealt by file."""
+    files = cut(commit_files(commits), "commits")
+    tasks = tasks_for(files, files.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0))).first()[0] // 2)
+    slot = F.pmod(F.xxhash64("commit", "i", "j"), F.lit(16 * tasks))  # so many that tasks get even shares
+    left, right = blocks(files, most)
+    none = F.lit(None).cast(files.schema["file"].dataType)
+    sides = left.withColumn("_l", F.col("file")).withColumn("_r", none).union(right.where("i < j").withColumn("_l", none).withColumn("_r", F.col("file")))
+    met = sides.withColumn("_s", slot).repartition(tasks, "_s").groupBy("_s", "commit", "i", "j").agg(F.collect_list("_l").alias("_l"), F.collect_list("_r").alias("_r"))  # two blocks at most
+    other = F.when(F.col("i") < F.col("j"), F.col("_r")).otherwise(F.col("_l"))
+    each = met.select("_s", "i", "j", F.explode("_l").alias("file"), other.alias("_o")).select("_s", "i", "j", "file", F.explode("_o").alias("_other"))
+    both = each.where((F.col("i") < F.col("j")) | (F.col("file") < F.col("_other")))
+    added = both.groupBy("_s", F.least("file", "_other").alias("file1"), F.greatest("file", "_other").alias("file2")).agg(F.count("*").alias("n"))
+    counts = added.repartition(tasks, "file1", "file2").groupBy("file1", "file2").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "file1", "file2").limit(limit) if limit else counts
 
 
+def of_known_files(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """The commits without the files that are not among ``files`` (a column id)."""
+    missing = cut(commits.select("file").distinct().join(files.select(F.col("id").alias("file")), "file", "left_anti"), "missing")
+    return commits.join(small_enough(missing), "file", "left_anti") if rows(missing) else commits
+
+
 def cochange_files(pairs: DataFrame, files: DataFrame, limit: int = 50) -> DataFrame:
     """The most frequent pairs (file1, file2, n) with both files' paths and languages."""
     of = lambda k: files.select(F.col("id").alias(f"file{k}"), F.col("relative_path").alias(f"path{k}"), F.col("language").alias(f"language{k}"))

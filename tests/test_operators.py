@@ -345,3 +345,26 @@ def test_community_list(spark):
     assert rows() == [("b ", 0, "b · y", 2), ("a", 1, "a/x", 3), ("a", 2, "a/z", 1), ("_", 3, "plain", 1)]
     assert [r[1] for r in rows(sort="count-desc")] == [1, 0, 2, 3] and [r[1] for r in rows(sort="count-asc")] == [2, 3, 0, 1]
     assert rows(least=2, contains="X", sort="name") == [("a", 1, "a/x", 3)]
+
+
+def test_cochange_tasks_follow_pairs(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    monkeypatch.setattr(gov, "A_TASK", 50)
+    commits = [(c, (c * f) % 31) for c in range(1, 9) for f in range(12)] + [(9, f) for f in range(40)] + [(9, None), (None, 1), (None, 2)]
+    df = spark.createDataFrame(commits, "commit long, file long")
+    want = Counter(p for c in range(1, 10) for p in combinations(sorted({f for d, f in commits if d == c and f is not None}), 2))
+    found = gov.cochange(df, None, most=8)
+    assert {(r.file1, r.file2): r.n for r in found.collect()} == want  # a null file is in no pair, also of a commit in blocks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file1#" in plan and int(plan.split("hashpartitioning(file1#")[1].split("),")[0].split(", ")[2].rstrip(")")) == -(-sum(want.values()) // 50)
+
+
+def test_cochange_of_known_files(spark):
+    commits = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)], "commit long, file long")
+    files = spark.createDataFrame([(1, "a", "go"), (2, "b", "py")], "id long, relative_path string, language string")
+    known = gov.of_known_files(commits, files)
+    assert [tuple(r) for r in gov.cochange_files(gov.cochange(known, 1), files).collect()] == [("a", "go", "b", "py", 1)]
+    all_ = files.union(spark.createDataFrame([(3, "c", "js")], files.schema))
+    assert gov.of_known_files(commits, all_) is commits
