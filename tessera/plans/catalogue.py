@@ -253,7 +253,7 @@ _PAIRS = "SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM (SELECT
 @query(f"SELECT f.relative_path AS path1, f.language AS language1, g.relative_path AS path2, g.language AS language2, n FROM ({_PAIRS}) JOIN files f ON a = f.id JOIN files g ON b = g.id ORDER BY n DESC, a, b LIMIT 50", "files")
 def cochange_files(b: Bound) -> DataFrame:
     commits = b.table("lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("file"))
-    return gov.cochange_files(gov.cochange(commits, None), b.files)
+    return gov.cochange_files(gov.cochange(gov.of_known_files(commits, b.files), 50), b.files)
 
 
 @query("SELECT coalesce(language, 'unknown') AS language, count(*) AS files, sum(d)::BIGINT AS connections FROM files JOIN (SELECT id, (SELECT count(DISTINCT src) FROM imports WHERE dst = f.id AND src <> f.id) + (SELECT count(DISTINCT dst) FROM imports WHERE src = f.id AND dst <> f.id) AS d FROM files f) USING (id) GROUP BY ALL", "files imports")
